@@ -19,4 +19,4 @@ def high_watermark(df: DataFrame, col: str, default: Any = BEGINNING) -> Any:
 
 def newer_than(df: DataFrame, col: str, mark: Any = BEGINNING) -> DataFrame:
     """Rows strictly after the watermark; the literal reaches the scan as a pushed filter."""
-    return df.filter(F.col(col) > F.lit(mark))
+    return df.filter(F.col(col) > F.lit(mark).cast(df.schema[col].dataType))

@@ -6,7 +6,7 @@ were grouped.  Every step can be repeated after a crash: see ``varve.sources.tab
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,9 +100,15 @@ def run_setup(spark: SparkSession, settings: Settings) -> None:
 # Bronze -------------------------------------------------------------------------------------
 
 
-def run_bronze(spark: SparkSession, settings: Settings, max_files: int | None = None) -> None:
+def run_bronze(
+    spark: SparkSession,
+    settings: Settings,
+    feeds: Sequence[str] = tuple(feed.name for feed in FEEDS),
+    max_files: int | None = None,
+) -> None:
     for feed in FEEDS:
-        ingest(spark, feed, settings, max_files=max_files)
+        if feed.name in feeds:
+            ingest(spark, feed, settings, max_files=max_files)
 
 
 # Silver -------------------------------------------------------------------------------------
