@@ -44,42 +44,33 @@ def new(name: str) -> Column:
     return F.col(f"s.{name}")
 
 
-def _lane(df: DataFrame, keys: Sequence[str], null_safe: bool) -> Column:
-    """Second join key that scatters rows with null keys.
+def _all_known(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
-    With plain equality such rows match nothing, yet all would hash to one partition;
-    the lane is 0 for complete keys and a hash of the row otherwise.
-    """
-    if null_safe:
-        return F.lit(0)
-    incomplete = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    return F.when(incomplete, F.pmod(F.xxhash64(*df.columns), F.lit(_LANES)).cast("int")).otherwise(0)
 
+def _scattered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add a second join key that spreads rows with null keys over many partitions.
 
-def _on(keys: Sequence[str], null_safe: bool) -> Column:
-    equal = [old(k).eqNullSafe(new(k)) if null_safe else old(k) == new(k) for k in keys]
-    if not null_safe:
-        equal.append(old(_SPREAD) == new(_SPREAD))
-    return reduce(lambda a, b: a & b, equal)
+    With plain equality such rows match nothing, yet all would hash to one partition.  The
+    lane is 0 for complete keys and a hash of the row otherwise.
+    """
+    lane = F.pmod(F.xxhash64(*df.columns), F.lit(_LANES)).cast("int")
+    return df.withColumn(_SPREAD, F.when(_all_known(keys), 0).otherwise(lane))
 
 
-def _checked_source(source: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
-    """Fail while running if two source rows share a key, as SQL MERGE does.
+def _checked(source: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:
+    """Mark rows, failing while running if two of them share a key, as SQL MERGE does.
 
     With plain equality the row number needs the partitioning the join needs anyway, so it
     adds no shuffle.
     """
-    clean = source.columns
-    spread = source.withColumn(_SPREAD, _lane(source, keys, null_safe))
-    window = Window.partitionBy(*keys, _SPREAD).orderBy(F.lit(0))
-    repeat = F.row_number().over(window) > 1
+    by = list(keys) if null_safe else [*keys, _SPREAD]
+    repeat = F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0))) > 1
     if not null_safe:
-        repeat = repeat & (F.col(_SPREAD) == 0) & reduce(
-            lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]
-        )
+        repeat = repeat & _all_known(keys)
     message = F.lit(f"merge source has several rows for one key {list(keys)}")
     seen = F.when(repeat, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
-    return spread.withColumn(_SEEN, seen).select(*clean, _SPREAD, _SEEN)
+    return source.withColumn(_SEEN, seen)
 
 
 def merge(
@@ -98,14 +89,19 @@ def merge(
     :func:`new`; all of them see values from before the merge, and target columns left out
     keep their value on update and are null on insert.  ``when`` restricts the update,
     ``update=None`` makes matches a no-op.  ``null_safe`` lets null keys match each other.
-    Pass ``check_unique=False`` only for a source that is unique by construction.
+    Pass ``check_unique=False`` only for a source that is unique by construction, null keys
+    included: it is then joined in whatever partitioning it already has.
     """
     types = {f.name: f.dataType for f in target.schema.fields}
-    if check_unique:
-        s = _checked_source(source, keys, null_safe)
-    else:
-        s = source.withColumn(_SPREAD, _lane(source, keys, null_safe)).withColumn(_SEEN, F.lit(True))
-    t = target.withColumn(_SPREAD, _lane(target, keys, null_safe)).withColumn(_SEEN, F.lit(True))
+    t, s = target, source
+    scatter = check_unique and not null_safe
+    if scatter:
+        t, s = _scattered(t, keys), _scattered(s, keys)
+    s = _checked(s, keys, null_safe) if check_unique else s.withColumn(_SEEN, F.lit(True))
+    t = t.withColumn(_SEEN, F.lit(True))
+    same = [old(k).eqNullSafe(new(k)) if null_safe else old(k) == new(k) for k in keys]
+    if scatter:
+        same.append(old(_SPREAD) == new(_SPREAD))
 
     matched = old(_SEEN).isNotNull() & new(_SEEN).isNotNull()
     updates = matched if when is None else matched & F.coalesce(when, F.lit(False))
@@ -114,7 +110,7 @@ def merge(
         action = action.when(updates, F.lit("update"))
     joined = (
         t.alias("t")
-        .join(s.alias("s"), _on(keys, null_safe), "full_outer")
+        .join(s.alias("s"), reduce(lambda a, b: a & b, same), "full_outer")
         .withColumn(_ACTION, action.otherwise(F.lit("keep")))
     )
 
@@ -165,9 +161,7 @@ def insert_only(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> Da
     Only the key columns of the target are read.  Rows with a null key match nothing and
     are all returned.
     """
-    t = target.select(*keys).withColumn(_SPREAD, F.lit(0))
-    s = source.withColumn(_SPREAD, _lane(source, keys, null_safe=False))
-    return s.alias("s").join(t.alias("t"), _on(keys, null_safe=False), "left_anti").drop(_SPREAD)
+    return source.join(target.select(*keys), list(keys), "left_anti")
 
 
 def additive_merge(

@@ -36,14 +36,14 @@ AGE_RANGE = (18, 100)
 RATING_RANGE = (0, 5)
 
 
-def _newest(df: DataFrame) -> list[str]:
-    return [c for c in ("inserted_time", "source_modified") if c in df.columns]
+_STAMPS = ("inserted_time", "source_modified")
 
 
-def _finish(df: DataFrame, keys: Sequence[str], ddl: str) -> DataFrame:
-    latest = latest_by_key(df, keys, _newest(df))
-    kept = [c for c in schemas.columns(ddl) if c in latest.columns]
-    return latest.select(*kept, "inserted_time")
+def _latest(df: DataFrame, keys: Sequence[str], feed: str) -> DataFrame:
+    """Newest row per key, cut to the feed's columns before the shuffle."""
+    stamps = [c for c in _STAMPS if c in df.columns]
+    rows = df.select(*schemas.columns(feed), *stamps)
+    return latest_by_key(rows, keys, stamps).drop("source_modified")
 
 
 def customer_segment(total_purchases: Column | str) -> Column:
@@ -63,28 +63,28 @@ def clean_customers(df: DataFrame, as_of: Column | date | None = None) -> DataFr
     valid = df.filter(
         present("email") & F.col("age").between(*AGE_RANGE) & (F.col("total_purchases") >= 0)
     )
-    shaped = valid.select(
-        "*",
+    return _latest(valid, ["customer_id"], schemas.CUSTOMERS_FEED).select(
+        *schemas.columns(schemas.CUSTOMERS_FEED),
         customer_segment("total_purchases").alias("customer_segment"),
         days_since("registration_date", as_of).alias("days_since_registration"),
         F.col("inserted_time").alias("last_updated"),
+        "inserted_time",
     )
-    return _finish(shaped, ["customer_id"], schemas.CUSTOMERS_SI)
 
 
 def clean_products(df: DataFrame) -> DataFrame:
     """Products with price, stock and rating in range; the categories see the clamped values."""
-    clamped = df.withColumns({
+    clamped = _latest(df, ["product_id"], schemas.PRODUCTS_FEED).withColumns({
         "price": clamp("price", lo=0),
         "stock_quantity": clamp_text("stock_quantity", lo=0),
         "rating": clamp("rating", *RATING_RANGE),
     })
-    shaped = clamped.select(
-        "*",
+    return clamped.select(
+        *schemas.columns(schemas.PRODUCTS_FEED),
         price_category("price").alias("price_category"),
         stock_status("stock_quantity").alias("stock_status"),
+        "inserted_time",
     )
-    return _finish(shaped, ["product_id"], schemas.PRODUCTS_SI)
 
 
 def clean_transactions(df: DataFrame) -> DataFrame:
@@ -93,14 +93,16 @@ def clean_transactions(df: DataFrame) -> DataFrame:
         present("transaction_date", fold=False)
         & F.col("customer_id").isNotNull()
         & F.col("product_id").isNotNull()
-    ).withColumns({
-        "transaction_date": safe_date("transaction_date"),
+    ).withColumn("transaction_date", safe_date("transaction_date"))
+    valid = dated.filter(F.col("transaction_date").isNotNull())
+    latest = _latest(valid, ["transaction_id", "transaction_date"], schemas.TRANSACTIONS_FEED)
+    clamped = latest.withColumns({
         "quantity": clamp("quantity", lo=0),
         "total_amount": clamp("total_amount", lo=0),
     })
-    shaped = dated.filter(F.col("transaction_date").isNotNull()).select(
-        "*",
+    return clamped.select(
+        *schemas.columns(schemas.TRANSACTIONS_FEED),
         order_status("quantity", "total_amount").alias("order_status"),
         F.col("inserted_time").alias("last_updated"),
+        "inserted_time",
     )
-    return _finish(shaped, ["transaction_id", "transaction_date"], schemas.TRANSACTIONS_SI)
