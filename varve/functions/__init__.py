@@ -1,4 +1,4 @@
-from varve.functions.money import add, mean, total
+from varve.functions.money import add, amounts, mean, total
 from varve.functions.rules import (
     clamp,
     clamp_text,
@@ -14,6 +14,7 @@ from varve.functions.rules import (
 
 __all__ = [
     "add",
+    "amounts",
     "clamp",
     "clamp_text",
     "days_since",

@@ -14,13 +14,23 @@ from pyspark.sql import functions as F
 UNITS = 10_000
 
 
-def total(amount: Column | str) -> Column:
-    """Sum of an amount column rounded half-up to cents; null when every amount is null."""
+def _known(amount: Column | str) -> Column:
+    """The amount, null where it is no number."""
     c = F.col(amount) if isinstance(amount, str) else amount
-    units = F.when(~F.isnan(c), F.rint(c * F.lit(UNITS))).cast("bigint")
+    return F.nanvl(c, F.lit(None).cast("double"))
+
+
+def total(amount: Column | str) -> Column:
+    """Sum of an amount column rounded half-up to cents; null when no amount is known."""
+    units = F.rint(_known(amount) * F.lit(UNITS)).cast("bigint")
     return F.round(F.sum(units) / F.lit(UNITS), 2)
 
 
+def amounts(amount: Column | str) -> Column:
+    """How many amounts ``total`` adds up."""
+    return F.count(_known(amount))
+
+
 def add(a: Column, b: Column) -> Column:
     """``a + b`` where a missing side counts as nothing, as it does inside SUM."""
     return F.coalesce(a + b, a, b)

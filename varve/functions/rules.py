@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 Col = Column | str
 
+ISO_DATE = "yyyy-MM-dd"
+_ISO_SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
 _COMPARE = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "==": operator.eq}
 
 
@@ -62,9 +65,16 @@ def order_status(quantity: Col, amount: Col) -> Column:
     return F.when(cancelled, F.lit("Cancelled")).otherwise(F.lit("Completed"))
 
 
-def safe_date(c: Col, fmt: str = "yyyy-MM-dd") -> Column:
-    """Text to DATE; null where it does not parse."""
-    return F.try_to_date(_col(c), fmt)
+def safe_date(c: Col, fmt: str = ISO_DATE) -> Column:
+    """Text to DATE; null where it does not parse.
+
+    ISO dates take the plain cast behind a check of their shape (the cast alone also accepts
+    ``2024``, ``2024-1`` or trailing text), several times cheaper than a format parser.
+    """
+    c = _col(c)
+    if fmt == ISO_DATE:
+        return F.when(c.rlike(_ISO_SHAPE), c.try_cast("date"))
+    return F.try_to_date(c, fmt)
 
 
 def days_since(c: Col, as_of: Column | date | None = None) -> Column:

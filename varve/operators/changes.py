@@ -46,6 +46,5 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str]) ->
     target is neither shuffled nor sorted.
     """
     touched = changes.filter(F.col(CHANGE_TYPE) == PREIMAGE).select(*keys)
-    return target.join(touched, list(keys), "left_anti").unionByName(
-        new_images(changes).select(*target.columns)
-    )
+    kept = target.join(touched, list(keys), "left_anti").select(*target.columns)
+    return kept.unionByName(new_images(changes).select(*target.columns))

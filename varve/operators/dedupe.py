@@ -5,28 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_RANK = "_varve_rank"
+_REST = "_varve_rest"
 
 
-def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The newest row of every key (null keys form one group).
 
-    ``order`` names the newest-first columns; all other columns break ties, so the survivor
-    never depends on partitioning.  Filtering on rank 1 lets Spark put a group limit in front
-    of the shuffle: each map task sends at most one row per key, however hot the key is.
+    Newest is the greatest in the ``order`` columns; the other columns break ties, so the
+    survivor never depends on partitioning.  As an aggregate it is folded before the shuffle:
+    each map task sends at most one row per key, however hot the key is.
     """
-    newest = [F.col(c).desc_nulls_last() if isinstance(c, str) else c for c in order]
-    named = {c for c in order if isinstance(c, str)} | set(keys)
-    ties = [F.col(c).desc_nulls_last() for c in df.columns if c not in named]
-    window = Window.partitionBy(*keys).orderBy(*newest, *ties)
-    return (
-        df.withColumn(_RANK, F.row_number().over(window))
-        .filter(F.col(_RANK) == 1)
-        .drop(_RANK)
-    )
+    ties = [c for c in df.columns if c not in {*order, *keys}]
+    newest = F.max(F.struct(*order, *ties)).alias(_REST)
+    picked = {c: F.col(c) if c in keys else F.col(f"{_REST}.{c}").alias(c) for c in df.columns}
+    return df.groupBy(*keys).agg(newest).select(*picked.values())
 
 
 def rows_not_in(df: DataFrame, other: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -161,7 +161,7 @@ def insert_only(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> Da
     Only the key columns of the target are read.  Rows with a null key match nothing and
     are all returned.
     """
-    return source.join(target.select(*keys), list(keys), "left_anti")
+    return source.join(target.select(*keys), list(keys), "left_anti").select(*source.columns)
 
 
 def additive_merge(

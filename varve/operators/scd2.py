@@ -83,12 +83,7 @@ def active_after(active: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """The active rows after the changes; closed rows leave, new versions come in."""
     closed = changes.filter(F.col(CHANGE_TYPE) == PREIMAGE).select(key)
     opened = changes.filter(F.col(CHANGE_TYPE) == INSERT).select(*active.columns)
-    return active.join(closed, [key], "left_anti").unionByName(opened)
-
-
-def closed_by(changes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The rows the changes moved into history."""
-    return changes.filter(F.col(CHANGE_TYPE) == POSTIMAGE).select(*columns)
+    return active.join(closed, [key], "left_anti").select(*active.columns).unionByName(opened)
 
 
 def scd2_merge(

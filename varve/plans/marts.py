@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions import days_since
-from varve.functions.money import add, add_money, mean, total
+from varve.functions.money import add, add_money, amounts, mean, total
 from varve.operators.merge import MergeResult, additive_merge, new, old
 
 SALES_KEYS = ("transaction_date", "store_type", "payment_method")
@@ -34,14 +34,14 @@ def counted(tx: DataFrame) -> DataFrame:
 
 
 def sales_summary(tx: DataFrame, stamp: Column | None = None) -> DataFrame:
-    spent, amounts = total("total_amount"), F.count("total_amount")
+    spent = total("total_amount")
     return (
         counted(tx)
         .groupBy(*SALES_KEYS)
         .agg(
             spent.alias("total_sales"),
             F.count("transaction_id").alias("total_transactions"),
-            mean(spent, amounts).alias("avg_order_value"),
+            mean(spent, amounts("total_amount")).alias("avg_order_value"),
             F.sum("quantity").alias("total_quantity_sold"),
         )
         .withColumn("last_updated", _now(stamp))
@@ -76,7 +76,7 @@ def customer_days(tx: DataFrame) -> DataFrame:
         .groupBy("customer_id", "transaction_date")
         .agg(
             F.count("transaction_id").alias("transactions"),
-            F.count("total_amount").alias("amounts"),
+            amounts("total_amount").alias("amounts"),
             total("total_amount").alias("spent"),
         )
     )
@@ -130,7 +130,7 @@ def customer_stats(
             F.max("transaction_date").alias("last_order_date"),
             F.countDistinct("transaction_date").cast("int").alias("distinct_transaction_dates"),
             F.count("transaction_id").alias("total_transactions"),
-            mean(spent, F.count("total_amount")).alias("avg_order_value"),
+            mean(spent, amounts("total_amount")).alias("avg_order_value"),
             spent.alias("total_spent"),
         )
     )

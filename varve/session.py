@@ -15,8 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # latest_by_key relies on the map-side group limit (any value >= 1 keeps it on).
-    "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
 }
 
 
