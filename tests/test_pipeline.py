@@ -8,6 +8,7 @@ import pytest
 
 from varve.errors import CheckpointLost, CursorMissing, DatabaseMissing
 from varve.operators.changes import read_changes
+from varve.operators.merge import upsert
 from varve.plans import pipeline
 from varve.plans.marts import customer_stats, product_sales, sales_summary
 from varve.sources import cursors, tables
@@ -382,3 +383,43 @@ def test_two_snapshots_stay_on_disk(spark, settings):
     assert table(spark, s, "silver", "customers_si").count() == 4
     base = f"{s.layer_path('silver')}/customers_si"
     assert sorted(d for d in os.listdir(base) if d.startswith("v")) == ["v2", "v3"]
+
+
+def test_merging_does_not_shuffle_the_stored_side(spark, two_rounds):
+    s, _ = two_rounds
+    current = table(spark, s, "silver", "customers_si")
+    batch = spark.createDataFrame([(1, "x")], "customer_id INT, name STRING")
+    merged = upsert(current, batch, ["customer_id"], check_unique=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (merged.rows, merged.changes):
+            text = df._jdf.queryExecution().executedPlan().toString()
+            assert text.count("Exchange") == 1 and "Bucketed: true" in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    files = [f for f in os.listdir(tables.location_of(spark, s.table("silver", "customers_si")).removeprefix("file:"))
+             if f.endswith(".parquet")]
+    assert 0 < len(files) <= 4
+
+
+def test_fact_lookup_without_month_pruning(spark, settings, rows, monkeypatch):
+    s = settings
+    monkeypatch.setattr(pipeline, "MONTHS_TO_PRUNE_BY", 0)
+    pipeline.run_setup(spark, s)
+    for name in ("t1.json", "t2.json"):
+        transactions(s, name, ("a", 1, 1, 1, 1.0, "2024-01-01", "card", "web"), (name, 1, 1, 1, 1.0, "2024-02-01", "card", "web"))
+        ingest(spark, TRANSACTIONS, s)
+        pipeline.load_transactions(spark, s)
+    assert rows(table(spark, s, "silver", "transactions_si"), "transaction_id", "_commit_version") == [
+        ("a", 0), ("t1.json", 0), ("t2.json", 1),
+    ]
+
+
+def test_unknown_products_are_counted(spark, settings):
+    s = settings
+    pipeline.run_setup(spark, s)
+    transactions(s, "t.json", *[(f"t{i}", 1, 7, 1, 1.0, "2024-01-01", "card", "web") for i in range(3)])
+    ingest(spark, TRANSACTIONS, s)
+    pipeline.load_transactions(spark, s)
+    assert pipeline.update_product_sales(spark, s) == {0: 3}
+    assert table(spark, s, "gold", "product_sales_summary_gd").count() == 0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.operators.changes import CHANGE_TYPE, INSERT, POSTIMAGE, PREIMAGE
-from varve.operators.merge import MergeResult
+from varve.operators.merge import MergeResult, upsert
 
 META = ("is_active", "start_date", "end_date", "last_updated")
 
@@ -80,10 +80,9 @@ def scd2_changes(
 
 
 def active_after(active: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """The active rows after the changes; closed rows leave, new versions come in."""
-    closed = changes.filter(F.col(CHANGE_TYPE) == PREIMAGE).select(key)
-    opened = changes.filter(F.col(CHANGE_TYPE) == INSERT).select(*active.columns)
-    return active.join(closed, [key], "left_anti").select(*active.columns).unionByName(opened)
+    """The active rows after the changes: every key that was closed or is new has one insert."""
+    opened = changes.filter(F.col(CHANGE_TYPE) == INSERT)
+    return upsert(active, opened, [key], check_unique=False).rows
 
 
 def scd2_merge(

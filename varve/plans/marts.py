@@ -180,6 +180,7 @@ def fold_customer_stats(
             "recency_days": days_since(last, as_of),
             "last_updated": new("last_updated"),
         },
+        null_safe=False,
         check_unique=False,
     )
 

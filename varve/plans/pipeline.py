@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from varve import schemas
 from varve.functions import month_of, safe_date
-from varve.operators.changes import COMMITTED, POSTIMAGE, VERSION, apply_changes, read_changes
+from varve.operators.changes import COMMITTED, POSTIMAGE, VERSION, new_images, read_changes
 from varve.operators.merge import insert_only, upsert
 from varve.operators.scd2 import active_after, scd2_changes
 from varve.plans import marts
@@ -64,13 +64,13 @@ def run_setup(spark: SparkSession, settings: Settings) -> None:
         table, path = at("bronze", name)
         create_append_table(spark, table, ddl, path, f"{BATCH} BIGINT")
 
-    for name, ddl in (
-        ("customers_si", schemas.CUSTOMERS_SI),
-        ("products_si_active", schemas.PRODUCTS_SI),
-        ("meta_si", schemas.META_SI),
+    for name, ddl, key in (
+        ("customers_si", schemas.CUSTOMERS_SI, "customer_id"),
+        ("products_si_active", schemas.PRODUCTS_SI, "product_id"),
+        ("meta_si", schemas.META_SI, None),
     ):
         table, path = at("silver", name)
-        create_snapshot_table(spark, table, ddl, path)
+        create_snapshot_table(spark, table, ddl, path, key=key, buckets=settings.buckets)
     for name, ddl in (
         ("customers_si_changes", schemas.CUSTOMERS_SI),
         ("products_si_changes", schemas.PRODUCTS_SI),
@@ -83,12 +83,12 @@ def run_setup(spark: SparkSession, settings: Settings) -> None:
     )
     _publish_history_view(spark, settings)
 
-    for name, ddl in (
-        ("sales_summary_gd", schemas.SALES_SUMMARY_GD),
-        ("customers_stats_gd", schemas.CUSTOMERS_STATS_GD),
+    for name, ddl, key in (
+        ("sales_summary_gd", schemas.SALES_SUMMARY_GD, None),
+        ("customers_stats_gd", schemas.CUSTOMERS_STATS_GD, "customer_id"),
     ):
         table, path = at("gold", name)
-        create_snapshot_table(spark, table, ddl, path)
+        create_snapshot_table(spark, table, ddl, path, key=key, buckets=settings.buckets)
     table, path = at("gold", "product_sales_summary_gd")
     create_snapshot_table(spark, table, schemas.PRODUCT_SALES_GD, path, f"{MONTH} STRING")
     table, path = at("gold", "customer_days_gd")
@@ -128,7 +128,9 @@ def apply_customers(
     keys, current = ["customer_id"], spark.table(table)
     changes = upsert(current, clean_customers(batch, as_of), keys, check_unique=False).changes
     written = _write_changes(spark, f"{table}_changes", changes, version)
-    publish_snapshot(spark, table, apply_changes(current, written, keys), version, sort_by=keys)
+    # A full-outer merge keeps the buckets of the table; see apply_changes for the same by keys.
+    after = upsert(current, new_images(written), keys, check_unique=False).rows
+    publish_snapshot(spark, table, after, version)
 
 
 def apply_products(
@@ -146,7 +148,7 @@ def apply_products(
         written = _write_changes(
             spark, settings.table("silver", "products_si_changes"), changes, version
         )
-        publish_snapshot(spark, table, active_after(active, written, key), version, sort_by=[key])
+        publish_snapshot(spark, table, active_after(active, written, key), version)
     _publish_history_view(spark, settings)
 
 
@@ -274,7 +276,7 @@ def apply_customer_stats(
         written = spark.table(helper).filter((F.col(VERSION) == version) & F.col("is_known"))
         batch = marts.stats_from_days(written, customers, as_of)
         folded = marts.fold_customer_stats(spark.table(table), batch, as_of)
-        publish_snapshot(spark, table, folded.rows, version, sort_by=marts.CUSTOMER_KEYS)
+        publish_snapshot(spark, table, folded.rows, version)
     lost = spark.table(helper).filter((F.col(VERSION) == version) & ~F.col("is_known"))
     return lost.agg(F.sum("transactions")).first()[0] or 0
 
@@ -305,7 +307,9 @@ def apply_product_sales(
             months,
             sort_by=marts.PRODUCT_KEYS[:1],
         )
-    return tx.select("product_id").join(active.select("product_id"), "product_id", "left_anti").count()
+    sold = tx.groupBy("product_id").agg(F.count("*").alias("n"))
+    unknown = sold.join(active.select("product_id"), "product_id", "left_anti")
+    return unknown.agg(F.sum("n")).first()[0] or 0
 
 
 def _update_gold(

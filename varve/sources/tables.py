@@ -38,6 +38,8 @@ class Settings:
     env: str = "dev"
     landing: dict[str, str] = field(default_factory=dict)
     archive: dict[str, str] = field(default_factory=dict)
+    # Buckets of keyed snapshots; the session's shuffle partitions at setup when not given.
+    buckets: int | None = None
 
     def database(self, layer: str) -> str:
         return f"{self.env}_{layer}"
@@ -95,14 +97,24 @@ def create_change_table(spark: SparkSession, table: str, ddl: str, location: str
 
 
 def create_snapshot_table(
-    spark: SparkSession, table: str, ddl: str, location: str, partition: str | None = None
+    spark: SparkSession,
+    table: str,
+    ddl: str,
+    location: str,
+    partition: str | None = None,
+    key: str | None = None,
+    buckets: int | None = None,
 ) -> None:
+    """With a ``key`` the table is bucketed, so merging a batch into it does not shuffle it."""
     _require_database(spark, table)
-    columns, by = ddl, ""
+    columns, layout = ddl, ""
     if partition:
-        columns, by = f"{ddl}, {partition}", f"PARTITIONED BY ({partition.split()[0]})"
+        columns, layout = f"{ddl}, {partition}", f"PARTITIONED BY ({partition.split()[0]})"
+    if key:
+        count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        layout = f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {count} BUCKETS"
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet {by} "
+        f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet {layout} "
         f"LOCATION '{location}/initial'"
     )
 
@@ -114,9 +126,14 @@ def location_of(spark: SparkSession, table: str, partition: dict[str, str] | Non
     spec = ""
     if partition:
         spec = " PARTITION (" + ", ".join(f"{k} = '{v}'" for k, v in partition.items()) + ")"
+    return _described(spark, f"{table}{spec}")["Location"]
+
+
+def _described(spark: SparkSession, what: str) -> dict[str, str]:
     # Already on the driver: the answer of a catalog command, not a job.
-    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}{spec}").collect()
-    return next(r["data_type"] for r in described if r["col_name"] == "Location")
+    answer = spark.sql(f"DESCRIBE TABLE EXTENDED {what}").collect()
+    # The first of a repeated name counts: a partition's location precedes its table's.
+    return {r["col_name"]: r["data_type"] for r in reversed(answer)}
 
 
 def version_in(location: str) -> int:
@@ -198,14 +215,37 @@ def publish_snapshot(
     sort_by: Sequence[str] = (),
 ) -> None:
     """Make ``rows`` the contents of ``table``; the previous version stays on disk."""
-    current = location_of(spark, table)
-    base = current.rsplit("/", 1)[0]
+    described = _described(spark, table)
+    base = described["Location"].rsplit("/", 1)[0]
+    path = f"{base}/v{version}"
     rows = _in_table_shape(spark, table, rows)
-    if sort_by:
-        rows = rows.sortWithinPartitions(*sort_by)
-    rows.write.mode("overwrite").parquet(f"{base}/v{version}")
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{base}/v{version}'")
-    _drop_older(spark, f"{base}/v*", version_in(current))
+    if "Num Buckets" in described:
+        _write_bucketed(spark, table, rows, path, described)
+    else:
+        if sort_by:
+            rows = rows.sortWithinPartitions(*sort_by)
+        rows.write.mode("overwrite").parquet(path)
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+    _drop_older(spark, f"{base}/v*", version_in(described["Location"]))
+
+
+def _write_bucketed(
+    spark: SparkSession, table: str, rows: DataFrame, path: str, described: dict[str, str]
+) -> None:
+    """Write files in the table's buckets; only tables can be bucketed, so one stands in."""
+    stand_in = f"{table}__next"
+    keys = re.findall(r"`([^`]+)`", described["Bucket Columns"])
+    spark.sql(f"DROP TABLE IF EXISTS {stand_in}")
+    (
+        rows.write.mode("overwrite")
+        .bucketBy(int(described["Num Buckets"]), *keys)
+        .sortBy(*keys)
+        .option("path", path)
+        .format("parquet")
+        .saveAsTable(stand_in)
+    )
+    # External, so the files stay.
+    spark.sql(f"DROP TABLE {stand_in}")
 
 
 def publish_partitions(
