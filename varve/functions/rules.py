@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 Col = Column | str
 
+# The labels of an order's status.
+CANCELLED, COMPLETED = "Cancelled", "Completed"
+
 ISO_DATE = "yyyy-MM-dd"
 _ISO_SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
@@ -62,7 +65,7 @@ def ladder(c: Col, steps: Iterable[tuple[str, float, str]], default: str) -> Col
 def order_status(quantity: Col, amount: Col) -> Column:
     """Cancelled when nothing was bought or paid; an unknown alone never cancels."""
     cancelled = (_col(quantity) == F.lit(0)) | (_col(amount) == F.lit(0))
-    return F.when(cancelled, F.lit("Cancelled")).otherwise(F.lit("Completed"))
+    return F.when(cancelled, F.lit(CANCELLED)).otherwise(F.lit(COMPLETED))
 
 
 def safe_date(c: Col, fmt: str = ISO_DATE) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from varve.functions import days_since
 from varve.functions.money import add, add_money, amounts, mean, total
+from varve.functions.rules import CANCELLED
 from varve.operators.merge import MergeResult, additive_merge, new, old
 
 SALES_KEYS = ("transaction_date", "store_type", "payment_method")
@@ -27,7 +28,7 @@ def _now(stamp: Column | None) -> Column:
 
 def counted(tx: DataFrame) -> DataFrame:
     """Facts that count as sales."""
-    return tx.filter(F.col("order_status") != "Cancelled")
+    return tx.filter(F.col("order_status") != CANCELLED)
 
 
 # Sales by day, store type and payment method ------------------------------------------------

@@ -202,6 +202,8 @@ def _load_silver(
     meta = settings.table("silver", "meta_si")
     bronze = settings.table("bronze", SILVER[name])
     done = read_cursor(spark, meta, name)
+    # The stream wrote through its own session.
+    spark.catalog.refreshTable(bronze)
     pending = sorted(b for b in map(int, partition_values(spark, bronze, BATCH)) if b > done)
     for version in pending:
         apply(spark.table(bronze).filter(F.col(BATCH) == version), version)

@@ -1,4 +1,8 @@
-"""Fixed schemas of the feeds and tables, as DDL strings."""
+"""Fixed schemas of the feeds and tables, as DDL strings.
+
+Fixed values: names, types and order of the columns are the contract with the files that land
+and with the readers of the tables.
+"""
 
 from __future__ import annotations
 

@@ -191,6 +191,9 @@ SELECT customer_id, md5(concat_ws('|', {", ".join(
     f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
     for c in ("customer_id", "name", "email", "country", "gender", "age"))})) AS fingerprint
 FROM customer_feed""",
+    "temp_view_sql": f"""WITH {_CLEAN_TX}
+SELECT store_type, order_status, count(*) AS facts, CAST(sum(quantity) AS BIGINT) AS quantity
+FROM facts GROUP BY 1, 2""",
     "latest_by_key": """
 SELECT * EXCLUDE (rn, l_shipdate), CAST(l_shipdate AS DATE) AS l_shipdate FROM (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC,

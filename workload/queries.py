@@ -153,6 +153,15 @@ def row_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def temp_view_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned facts handed to SQL by a temporary view."""
+    clean_transactions(feeds.transactions(spark, sf_dir)).createOrReplaceTempView("varve_facts")
+    return spark.sql(
+        "SELECT store_type, order_status, count(*) AS facts, sum(quantity) AS quantity "
+        "FROM varve_facts GROUP BY store_type, order_status"
+    )
+
+
 # Dedup, joins, set operations ---------------------------------------------------------------
 
 
@@ -488,6 +497,7 @@ QUERIES: dict[str, Query] = {
     "safe_to_date": safe_to_date,
     "days_between": days_between,
     "row_fingerprint": row_fingerprints,
+    "temp_view_sql": temp_view_sql,
     "latest_by_key": latest_by_line,
     "anti_join_changed_rows": anti_join_changed_rows,
     "inner_join_customers": inner_join_customers,
