@@ -92,7 +92,9 @@ def run_setup(spark: SparkSession, settings: Settings) -> None:
     table, path = at("gold", "product_sales_summary_gd")
     create_snapshot_table(spark, table, schemas.PRODUCT_SALES_GD, path, f"{MONTH} STRING")
     table, path = at("gold", "customer_days_gd")
-    create_append_table(spark, table, schemas.CUSTOMER_DAYS_GD, path, f"{VERSION} BIGINT")
+    create_append_table(
+        spark, table, schemas.CUSTOMER_DAYS_GD, path, f"{VERSION} BIGINT, {MONTH} STRING"
+    )
 
     seed_cursors(spark, settings.table("silver", "meta_si"), [*SILVER, *GOLD])
 
@@ -264,17 +266,22 @@ def apply_customer_stats(
 ) -> int:
     """Fold one version of facts into the customer statistics.
 
-    The batch's customer days are written first, marked as new or seen before; the mart's
-    day count then simply adds up.  Days of unknown customers are kept apart in the same
-    table; returns how many transactions they hold.
+    The batch's customer days are written first, marked as new or seen before (only earlier
+    days of the same months are read); the mart's day count then simply adds up.  Days of
+    unknown customers are kept apart in the same table; returns how many transactions they hold.
     """
     table = settings.table("gold", "customers_stats_gd")
     helper = settings.table("gold", "customer_days_gd")
     customers = spark.table(settings.table("silver", "customers_si"))
     if snapshot_version(spark, table) < version:
-        earlier = spark.table(helper).filter((F.col(VERSION) < version) & F.col("is_new"))
+        facts = settings.table("silver", "transactions_si")
+        months = partition_values(spark, facts, MONTH, {VERSION: version})
+        earlier = spark.table(helper).filter(
+            (F.col(VERSION) < version) & F.col(MONTH).isin(months) & F.col("is_new")
+        )
         days = marts.mark_known(marts.customer_days(tx), customers)
-        append_version(spark, helper, marts.mark_new_days(days, earlier), version)
+        marked = marts.mark_new_days(days, earlier).withColumn(MONTH, month_of("transaction_date"))
+        append_version(spark, helper, marked, version, then_by=MONTH)
         written = spark.table(helper).filter((F.col(VERSION) == version) & F.col("is_known"))
         batch = marts.stats_from_days(written, customers, as_of)
         folded = marts.fold_customer_stats(spark.table(table), batch, as_of)
