@@ -12,7 +12,7 @@ from varve.operators.merge import upsert
 from varve.plans import pipeline
 from varve.plans.marts import customer_stats, product_sales, sales_summary
 from varve.sources import cursors, tables
-from varve.sources.feeds import CUSTOMERS, PRODUCTS, TRANSACTIONS, read_feed
+from varve.sources.feeds import CUSTOMERS, PRODUCTS, TRANSACTIONS, read_feed, stream_feed
 from varve.streaming.ingest import ingest
 
 AS_OF = date(2024, 6, 30)
@@ -423,3 +423,20 @@ def test_unknown_products_are_counted(spark, settings):
     pipeline.load_transactions(spark, s)
     assert pipeline.update_product_sales(spark, s) == {0: 3}
     assert table(spark, s, "gold", "product_sales_summary_gd").count() == 0
+
+
+def test_silver_straight_from_a_stream(spark, settings, rows):
+    """The batch steps are also foreachBatch bodies."""
+    s = settings
+    pipeline.run_setup(spark, s)
+    customers(s, "c1.csv", "1,Ann,ann@x,NL,new,2024-01-01,18,f,1", "1,Ann,null,NL,new,2024-01-01,18,f,1")
+    query = (
+        stream_feed(spark, CUSTOMERS, s.landing_path("customers"))
+        .writeStream.option("checkpointLocation", s.checkpoint_path("direct"))
+        .foreachBatch(lambda batch, n: pipeline.apply_customers(batch.sparkSession, s, batch, n, AS_OF))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    spark.catalog.refreshTable(s.table("silver", "customers_si"))
+    assert rows(table(spark, s, "silver", "customers_si"), "customer_id", "days_since_registration") == [(1, 181)]
