@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Bytes of text a worker turns into numpy arrays at once; one longer text is handled alone.
 SLICE_BYTES = 2 << 20
 # Words a worker remembers; beyond that it forgets them all and starts again.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -72,20 +72,30 @@ def kept(key: tuple, make: Callable):
 
 
 class WordCache(dict):
-    """Values of words, computed for all unknown words of a slice together."""
+    """Values of words, computed for all unknown words of a slice together.
+
+    When it is full it keeps the words met since the last time, so frequent ones stay.
+    """
 
     def __init__(self, compute: Callable[[list[str]], Iterable], most: int = CACHED_WORDS):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.older = compute, most, {}
 
     def of(self, words: list[str]) -> list:
         """The value of each of ``words``."""
         out = list(map(self.get, words))
         missing = [k for k, value in enumerate(out) if value is None]
         if missing:
-            new = list({words[k] for k in missing})
-            if len(self) + len(new) > self.most:
+            wanted = {words[k] for k in missing}
+            if 2 * (len(self) + len(wanted)) > self.most:
+                # Words of this slice that are known move on with it.
+                self.older = dict(self)
                 self.clear()
+                wanted = set(words)
+            older = self.older.get
+            known = {w: v for w in wanted if (v := older(w)) is not None}
+            self.update(known)
+            new = list(wanted.difference(known))
             self.update(zip(new, self.compute(new)))
             for k in missing:
                 out[k] = self[words[k]]

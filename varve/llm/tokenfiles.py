@@ -53,35 +53,53 @@ class _Encoder:
         self.closes = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         split = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(split).findall
-        self.split_printable = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+").findall
-        self.letters = {byte: letter for byte, letter in byte_letters().items() if letter != chr(byte)}
+        self.split = regex.compile(split + "|\n").findall
+        self.split_ascii = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|\n|[^\\sa-z0-9]+").findall
+        # Words reach the model as letters for bytes; blanks and line ends only stand between them.
+        self.letters = {byte: letter for byte, letter in byte_letters().items() if letter != chr(byte) and byte not in b" \n"}
         self.end = np.int32(end_id).tobytes()
         self.words = WordCache(self._encode_words)
         self.pieces = WordCache(self._encode_pieces)
 
-    def _split(self, piece: str) -> list[str]:
-        if piece.isascii() and piece.isprintable():
-            return self.split_printable(piece.lower())
-        lowered = "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
-        return [w.encode().decode("latin-1").translate(self.letters) for w in self.split(lowered)]
+    def _split(self, pieces: list[str]) -> list[str]:
+        """Words of normalised ``pieces``, with a line end between one piece and the next."""
+        joined = "\n".join(pieces)
+        if joined.isascii():
+            return self.split_ascii(joined.lower())
+        joined = unicodedata.normalize("NFC", joined)
+        # Only the lower case of sigma depends on what stands around it.
+        lowered = "".join([c.lower() for c in joined]) if "\u03a3" in joined else joined.lower()
+        words = " ".join(self.split(lowered))
+        return words.encode().decode("latin-1").translate(self.letters).split(" ")
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.model.encode(" ".join(words), add_special_tokens=False).ids, dtype="<i4")
+        words = [w if w != "\n" else "" for w in words]
+        chunks = [" ".join(words[k : k + 2_000]) for k in range(0, len(words), 2_000)]
+        encoded = self.model.encode_batch_fast(chunks, add_special_tokens=False)
+        ids = np.array([i for e in encoded for i in e.ids], dtype="<i4")
         raw, ends = ids.tobytes(), ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
-        assert len(ends) == len(words), "a word was split or joined on the way"
-        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        made = (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+        return [next(made) if w else b"" for w in words]
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        special = [any(s in p for s in self.specials) for p in pieces]
-        found = [[] if s else self._split(p) for p, s in zip(pieces, special)]
-        values = self.words.of([w for words in found for w in words])
-        made = [b"".join(part) for part in parts_of(values, map(len, found))]
-        for k, s in enumerate(special):
-            if s:
-                ids = self.whole.encode(pieces[k], add_special_tokens=False).ids
-                made[k] = np.array(ids, dtype="<i4").tobytes()
-        return made
+        made: dict[str, bytes] = {}
+        groups: tuple[list[str], list[str]] = ([], [])
+        for p in pieces:
+            groups[p.isascii() and p.isprintable()].append(p)
+        for group in groups:
+            if not group:
+                continue
+            if any(s in p for s in self.specials for p in ("\n".join(group),)):
+                special = [p for p in group if any(s in p for s in self.specials)]
+                for p in special:
+                    made[p] = np.array(self.whole.encode(p, add_special_tokens=False).ids, dtype="<i4").tobytes()
+                group = [p for p in group if p not in made]
+            words = self._split(group)
+            ends = [k for k, w in enumerate(words) if w == "\n"]
+            values = self.words.of(words)
+            starts = [0, *(e + 1 for e in ends)]
+            made.update((p, b"".join(values[a:e])) for p, a, e in zip(group, starts, [*ends, len(words)], strict=True))
+        return [made[p] for p in pieces]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
