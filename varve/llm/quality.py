@@ -51,13 +51,24 @@ class Settings:
     seed: int = 7
 
 
-def word_buckets(word: str, s: Settings) -> list[int]:
-    """Buckets of a word and of its character n-grams, borders marked."""
-    marked = f"<{word}>"
-    grams = [marked]
-    for n in range(s.shortest, s.longest_gram + 1):
-        grams += [marked[i : i + n] for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % s.buckets for g in grams]
+def word_buckets(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place of its word) of all ``words`` and of their character n-grams, borders marked."""
+    marked = [f"<{w}>" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    sizes = np.array([len(m) for m in marked], dtype=np.int64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # characters to the word's end
+    whole = np.array([zlib.crc32(m.encode("utf-8", "surrogatepass")) for m in marked], dtype=np.int64)
+    buckets, owners = [whole % s.buckets], [np.arange(len(words))]
+    gram = points
+    for n in range(2, s.longest_gram + 1):
+        gram = gram[:-1] * np.uint64(0x100000001B3) + points[n - 1 :] if len(gram) else gram
+        if n >= s.shortest:
+            at = np.flatnonzero(left[: len(gram)] >= n)
+            mixed = (gram[at] ^ np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            buckets.append(((mixed >> np.uint64(32)) % np.uint64(s.buckets)).astype(np.int64))
+            owners.append(owner[at])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 def repeats(words: list[str]) -> int:
@@ -86,17 +97,15 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Model:
     rng = np.random.default_rng(s.seed)
     vectors = ((rng.random((s.buckets, s.width)) - 0.5) / s.width).astype(np.float32)
     layer, bias = np.zeros((2, s.width), dtype=np.float32), np.zeros(2, dtype=np.float32)
-    known: dict[str, list[int]] = {}
+    split = [t.split() for t in texts]
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for d in split for w in d))}
+    buckets, owners = word_buckets(list(vocabulary), s)
+    order = np.argsort(owners, kind="stable")
+    of_word = np.split(buckets[order], np.cumsum(np.bincount(owners, minlength=len(vocabulary)))[:-1])
     bags = []
-    for text in texts:
-        ids: list[int] = []
-        words = text.split()
-        ids += [repeat_bucket(s)] * repeats(words)
-        for w in words:
-            if w not in known:
-                known[w] = word_buckets(w, s)
-            ids += known[w]
-        found, counts = np.unique(np.array(ids, dtype=np.int32), return_counts=True)
+    for words in split:
+        ids = np.concatenate([np.full(repeats(words), repeat_bucket(s)), *(of_word[vocabulary[w]] for w in words)])
+        found, counts = np.unique(ids.astype(np.int64), return_counts=True)
         bags.append((found, (counts / max(1, len(ids))).astype(np.float32)))
     steps, done = s.epochs * len(bags), 0
     for _ in range(s.epochs):
@@ -164,11 +173,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = sent.value
 
-        def measure(words: list[str]) -> Iterator[complex]:
-            """Sum of a word's projections, and (imaginary) how many they are."""
-            for w in words:
-                ids = word_buckets(w, s)
-                yield complex(weights[ids].sum(dtype=np.float64), len(ids))
+        def measure(words: list[str]) -> list[complex]:
+            """Sum of each word's projections, and (imaginary) how many they are."""
+            buckets, owners = word_buckets(words, s)
+            sums = np.bincount(owners, weights=weights[buckets], minlength=len(words))
+            return (sums + 1j * np.bincount(owners, minlength=len(words))).tolist()
 
         cache = kept(("quality", name), lambda: WordCache(measure))
         for batch in batches:
