@@ -10,9 +10,8 @@ Pairs are looked for inside buckets only.  The 64 bits are cut into six blocks;
 fingerprints within 3 bits agree on at least three whole blocks, so each of the twenty choices
 of three blocks is a bucket key, and no link is missed.  A bucket is read in the order of its
 first coordinate, so each fingerprint meets only those whose first coordinate differs by at
-most ``k``.  A bucket's members are joined to their components as they are met and only the
-links that join two components leave the task: at most one a fingerprint and bucket, never
-all pairs.  Buckets of more than ``split`` fingerprints are cut again by the same rule over the
+most ``k``.  Of a bucket's links only a shortest spanning forest leaves the task: less than one a
+fingerprint and bucket, never all pairs.  Buckets of more than ``split`` fingerprints are cut again by the same rule over the
 bits their key leaves open, so that no task holds one whole.
 
 Results: nulls and texts without words have fingerprint zero and link like any other; equal
@@ -22,6 +21,7 @@ texts meet in one fingerprint; a component's id is its smallest doc_id (null onl
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,33 +114,55 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int16)
 
 
-def _links(values: np.ndarray, k: int, references: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links that connect all of ``values`` that chains of steps of at most ``k`` bits connect."""
-    n = len(values)
+def _close(values: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The pairs (i, j) within ``k`` bits: first by the pivot table, then by the fingerprints."""
+    near = np.abs(table[j] - table[i]).max(axis=1, initial=0) <= k
+    i, j = i[near], j[near]
+    bits = _popcount(values[i] ^ values[j])
+    near = bits <= k
+    return i[near], j[near], bits[near]
+
+
+def _forest(i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the pairs of a shortest spanning forest: any other pair is joined by closer ones."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    chosen = []
+    for p in np.argsort(bits, kind="stable").tolist():
+        a, b = root(int(i[p])), root(int(j[p]))
+        if a != b:
+            parent[a] = b
+            chosen.append(p)
+    return np.array(chosen, dtype=np.int64)
+
+
+def _links(values: np.ndarray, bucket: np.ndarray, k: int, references: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within each bucket: a shortest spanning forest of its pairs within ``k`` bits.
+
+    Rows are ordered by bucket and first pivot distance, and each meets the rows after it, one
+    step further each round, until no row has another whose first distance is near enough.
+    """
     table = np.stack([_popcount(values ^ p) for p in references], axis=1)
-    order = np.argsort(table[:, 0], kind="stable")
-    values, table = values[order], table[order]
-    last = np.searchsorted(table[:, 0], table[:, 0] + k, side="right")
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i in range(n - 1):
-        j = np.arange(i + 1, last[i])
-        if not len(j):
-            continue
-        near = np.abs(table[j] - table[i]).max(axis=1) <= k
-        j = j[near]
-        j = j[_popcount(values[j] ^ values[i]) <= k]
-        for other in j.tolist():
-            a, b = root(i), root(other)
-            if a != b:
-                parent[a] = b
-                yield int(values[i]), int(values[other])
+    order = np.lexsort((table[:, 0], bucket))
+    values, bucket, table = values[order], bucket[order], table[order]
+    found = [np.zeros(0, dtype=np.int64)] * 2 + [np.zeros(0, dtype=np.int16)]
+    at, step = np.arange(len(values) - 1), 1
+    while len(at):
+        at = at[at + step < len(values)]
+        at = at[(bucket[at + step] == bucket[at]) & (table[at + step, 0] - table[at, 0] <= k)]
+        found = [np.concatenate(c) for c in zip(found, _close(values, table, at, at + step, k))]
+        if len(found[0]) > 1_000_000:
+            tree = _forest(*found)
+            found = [c[tree] for c in found]
+        step += 1
+    tree = _forest(*found)
+    return values[found[0][tree]], values[found[1][tree]]
 
 
 def _bucketed_links(keyed: DataFrame, k: int) -> DataFrame:
@@ -152,10 +174,9 @@ def _bucketed_links(keyed: DataFrame, k: int) -> DataFrame:
         held_key: tuple | None = None
 
         def solve(groups: list[np.ndarray]) -> pa.RecordBatch:
-            found = [link for g in groups for link in _links(g, k, references)]
-            a = np.array([f[0] for f in found], dtype=np.uint64).view(np.int64)
-            b = np.array([f[1] for f in found], dtype=np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            bucket = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+            a, b = _links(np.concatenate(groups), bucket, k, references)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
             choice, key = (batch.column(c).to_numpy() for c in ("choice", "key"))
@@ -254,7 +275,12 @@ def classes(docs: DataFrame, words: int = 3, k: int = 3, split: int = 4_096) ->
     """doc_id, fingerprint (bigint), component_id of every document."""
     marked = stored(fingerprints(docs, words))
     values = stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    tied = components(links(values.select("fingerprint"), k, split))
+    return _named(marked, values, links(values.select("fingerprint"), k, split))
+
+
+def _named(marked: DataFrame, values: DataFrame, edges: DataFrame) -> DataFrame:
+    """Documents with the smallest doc_id that ``edges`` between fingerprints lead to."""
+    tied = components(edges)
     rooted = values.join(tied.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
         "root", F.coalesce("root", "fingerprint")
     )
@@ -268,10 +294,64 @@ def classes_hex(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, k: int = 3) -> DataFrame:
-    """One document of each component, that of smallest doc_id (rows without one stay); of rows with the
+def _drawn_masks(n: int, miss: float = 0.02, typical: int = 8) -> list[int]:
+    """Bit choices for wide searches: as many bits as ``n`` fingerprints fill, and so many choices
+    that a pair ``typical`` bits apart shares none of them with probability ``miss``."""
+    width = min(32, max(16, int(n).bit_length()))
+    share = math.comb(BITS - typical, width) / math.comb(BITS, width)
+    rng = np.random.default_rng(13)
+    drawn = [rng.choice(BITS, width, replace=False).tolist() for _ in range(math.ceil(math.log(miss) / math.log(1 - share)))]
+    masks = [sum(1 << b for b in bits) for bits in drawn]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, shingles: sorted distinct hashes of the word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                made = []
+                for text in texts_of(part):
+                    w = _words(text)
+                    grams = {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+                    made.append(np.array(sorted(xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, type=pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+
+
+def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, k: int = 14) -> DataFrame:
+    """doc_id, fingerprint, component_id: documents whose shingle sets are ``similarity`` alike (Jaccard).
+
+    Sets that alike lie about ten bits apart, too far for whole blocks to agree, so bucket keys are
+    drawn bit choices, their number and width set by the number of fingerprints.  Fingerprints
+    within ``k`` bits are candidates; the exact similarity of the texts decides each.
+    """
+    marked = stored(fingerprints(docs, words))
+    values = stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
+    keyed = _with_keys(values, _drawn_masks(values.count()))
+    close = stored(_bucketed_links(keyed, k).distinct())
+    ends = close.join(values.select(F.col("fingerprint").alias("a"), F.col("least").alias("p")), "a").join(
+        values.select(F.col("fingerprint").alias("b"), F.col("least").alias("q")), "b"
+    )
+    ends = stored(ends.where("p IS NOT NULL AND q IS NOT NULL"))
+    wanted = ends.select(F.col("p").alias("doc_id")).union(ends.select("q")).distinct()
+    sets = stored(_shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]))
+    alike = (
+        ends.join(sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("x")), "p")
+        .join(sets.select(F.col("doc_id").alias("q"), F.col("shingles").alias("y")), "q")
+        .withColumn("common", F.size(F.array_intersect("x", "y")))
+        .where(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common")))
+        .select("a", "b")
+    )
+    return _named(marked, values, alike)
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near-duplicates, that of smallest doc_id (rows without one stay); of rows with the
     same doc_id all that share it stay."""
     kept_ids = (
-        classes(docs, words, k).where("doc_id = component_id").select("doc_id").distinct()
+        near_classes(docs, words, similarity).where("doc_id = component_id").select("doc_id").distinct()
     )
     return docs.join(kept_ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
