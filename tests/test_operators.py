@@ -107,6 +107,16 @@ def test_repeated_source_keys_are_refused(spark, target):
         upsert(target, source, ["k"]).rows.collect()
 
 
+def test_history_refuses_repeated_source_keys(spark):
+    history = spark.createDataFrame(
+        [], "k INT, v STRING, last_updated STRING, is_active BOOLEAN, start_date STRING, end_date STRING"
+    )
+    source = spark.createDataFrame([(1, "a", "x"), (1, "b", "y")], "k INT, v STRING, inserted_time STRING")
+    for outcome in (scd2_merge(history, source, "k").rows, scd2_merge(history, source, "k").changes):
+        with pytest.raises(Exception, match="several rows for one key"):
+            outcome.collect()
+
+
 def test_merge_with_condition(spark, target, rows):
     source = spark.createDataFrame([(1, "z", 0), (2, "z", 5)], "k INT, v STRING, n INT")
     values = {c: new(c) for c in target.columns}

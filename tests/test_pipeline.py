@@ -6,12 +6,13 @@ from datetime import date
 
 import pytest
 
-from varve.errors import CheckpointLost, CursorMissing, DatabaseMissing
+from varve.errors import CheckpointLost, CursorMissing, DatabaseMissing, TableLost
 from varve.operators.changes import read_changes
 from varve.operators.merge import upsert
 from varve.plans import pipeline
 from varve.plans.marts import customer_stats, product_sales, sales_summary
 from varve.sources import cursors, tables
+from varve.sources.tables import Settings, version_in
 from varve.sources.feeds import CUSTOMERS, PRODUCTS, TRANSACTIONS, read_feed, stream_feed
 from varve.streaming.ingest import ingest
 
@@ -402,9 +403,8 @@ def test_merging_does_not_shuffle_the_stored_side(spark, two_rounds):
     assert 0 < len(files) <= 4
 
 
-def test_fact_lookup_without_month_pruning(spark, settings, rows, monkeypatch):
+def test_fact_lookup_prunes_months_at_run_time(spark, settings, rows):
     s = settings
-    monkeypatch.setattr(pipeline, "MONTHS_TO_PRUNE_BY", 0)
     pipeline.run_setup(spark, s)
     for name in ("t1.json", "t2.json"):
         transactions(s, name, ("a", 1, 1, 1, 1.0, "2024-01-01", "card", "web"), (name, 1, 1, 1, 1.0, "2024-02-01", "card", "web"))
@@ -413,6 +413,31 @@ def test_fact_lookup_without_month_pruning(spark, settings, rows, monkeypatch):
     assert rows(table(spark, s, "silver", "transactions_si"), "transaction_id", "_commit_version") == [
         ("a", 0), ("t1.json", 0), ("t2.json", 1),
     ]
+    batch = table(spark, s, "bronze", "transactions_bz").filter("batch_id = 1")
+    looked_up = pipeline.facts_of_months(table(spark, s, "silver", "transactions_si"), batch)
+    assert "dynamicpruning" in looked_up._jdf.queryExecution().toString().lower()
+
+
+def test_root_that_looks_like_a_version(spark, settings, rows):
+    s = Settings(root=f"{settings.root}/v5/lake", env=settings.env)
+    pipeline.run_setup(spark, s)
+    assert version_in(f"{s.root}/x/initial") == -1
+    assert version_in("/v5/lake/x/v3") == 3 and version_in("/v5/x/v7/month=2024-01") == 7
+    transactions(s, "t.json", ("a", 1, 1, 1, 1.0, "2024-01-01", "card", "web"))
+    ingest(spark, TRANSACTIONS, s)
+    pipeline.load_transactions(spark, s)
+    assert rows(table(spark, s, "silver", "transactions_si"), "transaction_id") == [("a",)]
+
+
+def test_lost_table_is_noticed(spark, settings):
+    s = settings
+    pipeline.run_setup(spark, s)
+    transactions(s, "t.json", ("a", 1, 1, 1, 1.0, "2024-01-01", "card", "web"))
+    ingest(spark, TRANSACTIONS, s)
+    spark.sql(f"DROP TABLE {s.table('bronze', 'transactions_bz')}")
+    pipeline.run_setup(spark, s)
+    with pytest.raises(TableLost):
+        ingest(spark, TRANSACTIONS, s)
 
 
 def test_unknown_products_are_counted(spark, settings):

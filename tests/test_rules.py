@@ -140,3 +140,14 @@ def test_total_does_not_depend_on_order(spark):
 def test_add_skips_nulls(spark):
     df = spark.createDataFrame([(1, 2), (None, 2), (1, None), (None, None)], "a BIGINT, b BIGINT")
     assert [r[0] for r in df.select(add(F.col("a"), F.col("b"))).collect()] == [3, 2, 1, None]
+
+
+def test_safe_date_refuses_a_trailing_line_end(spark):
+    row = spark.createDataFrame([("2024-01-01\n",)], "d STRING").select(safe_date("d").alias("d")).first()
+    assert row["d"] is None
+
+
+def test_totals_take_any_amount(spark):
+    amounts_ = [(1.25,), (float("inf"),), (float("nan"),), (None,), (1e15,), (1e300,)]
+    df = spark.createDataFrame(amounts_, "x DOUBLE")
+    assert df.agg(total("x"), amounts("x")).first()[:] == (1e15 + 1.25, 2)

@@ -26,3 +26,14 @@ class CheckpointLost(RuntimeError):
             "would restart at 0 and overwrite them"
         )
         self.table = table
+
+
+class TableLost(RuntimeError):
+    """A stream checkpoint has committed batches but its bronze table holds none."""
+
+    def __init__(self, table: str, checkpoint: str):
+        super().__init__(
+            f"{checkpoint} has committed batches but {table} holds none: its files would not be "
+            "read again; recover the table's partitions or start a fresh checkpoint"
+        )
+        self.table = table

@@ -1,9 +1,9 @@
 """Exact money arithmetic over DOUBLE columns.
 
 Adding doubles depends on the order of the additions, so a retry or another partitioning
-can change the last cent of a large total.  Amounts are therefore summed as whole
-ten-thousandths in BIGINT: exact, associative, and one long addition per row.  ANSI mode
-turns an overflow (beyond 9.2e14 per group) into an error rather than a wrong total.
+can change the last cent of a large total.  Amounts are therefore summed as decimals with
+four places: exact and associative.  An amount that is no number, infinite, or beyond 24
+digits is unknown; the sum has ten digits more, so no group can overflow it.
 """
 
 from __future__ import annotations
@@ -11,19 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNITS = 10_000
+AMOUNT = "decimal(28,4)"
 
 
 def _known(amount: Column | str) -> Column:
-    """The amount, null where it is no number."""
+    """The amount, null where it is no finite number of bearable size."""
     c = F.col(amount) if isinstance(amount, str) else amount
-    return F.nanvl(c, F.lit(None).cast("double"))
+    return c.try_cast(AMOUNT)
 
 
 def total(amount: Column | str) -> Column:
     """Sum of an amount column rounded half-up to cents; null when no amount is known."""
-    units = F.rint(_known(amount) * F.lit(UNITS)).cast("bigint")
-    return F.round(F.sum(units) / F.lit(UNITS), 2)
+    return F.round(F.sum(_known(amount)), 2).cast("double")
 
 
 def amounts(amount: Column | str) -> Column:

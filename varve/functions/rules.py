@@ -15,7 +15,7 @@ Col = Column | str
 CANCELLED, COMPLETED = "Cancelled", "Completed"
 
 ISO_DATE = "yyyy-MM-dd"
-_ISO_SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+_ISO_SHAPE = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 _COMPARE = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "==": operator.eq}
 

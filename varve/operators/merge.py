@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from varve.operators.changes import CHANGE_TYPE, INSERT, POSTIMAGE, PREIMAGE
 
 _ACTION, _SPREAD, _SEEN = "_varve_action", "_varve_spread", "_varve_seen"
-_LANES = 1024
 
 
 class MergeResult:
@@ -54,8 +53,7 @@ def _scattered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     With plain equality such rows match nothing, yet all would hash to one partition.  The
     lane is 0 for complete keys and a hash of the row otherwise.
     """
-    lane = F.pmod(F.xxhash64(*df.columns), F.lit(_LANES)).cast("int")
-    return df.withColumn(_SPREAD, F.when(_all_known(keys), 0).otherwise(lane))
+    return df.withColumn(_SPREAD, F.when(_all_known(keys), F.lit(0)).otherwise(F.xxhash64(*df.columns)))
 
 
 def _checked(source: DataFrame, keys: Sequence[str], null_safe: bool) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.operators.changes import CHANGE_TYPE, INSERT, POSTIMAGE, PREIMAGE
@@ -17,11 +17,11 @@ class _Step:
     """The columns both directions of the merge are built from, over a join of s and t."""
 
     def __init__(self, active: DataFrame, source: DataFrame, key: str, how: str,
-                 track_cols: Sequence[str] | None, ts: str):
+                 track_cols: Sequence[str] | None, ts: str, check_unique: bool):
         self.active = active
         tracked = list(track_cols or [c for c in active.columns if c not in META and c != key])
         self.joined = (
-            source.withColumn("_sent", F.lit(True)).alias("s")
+            source.withColumn("_sent", _once(key) if check_unique else F.lit(True)).alias("s")
             .join(
                 active.withColumn("_known", F.lit(True)).alias("t"),
                 F.col(f"s.{key}") == F.col(f"t.{key}"),
@@ -49,6 +49,13 @@ class _Step:
         ])
 
 
+def _once(key: str) -> Column:
+    """True, failing while running for a second row of a key; null keys match nothing and may repeat."""
+    repeat = (F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))) > 1) & F.col(key).isNotNull()
+    message = F.lit(f"history source has several rows for one key ['{key}']")
+    return F.when(repeat, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+
+
 def _image(kind: str, row: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), row.alias("row"))
 
@@ -59,21 +66,22 @@ def scd2_changes(
     key: str,
     track_cols: Sequence[str] | None = None,
     ts: str = "inserted_time",
+    check_unique: bool = True,
 ) -> DataFrame:
     """Row changes that bring the active rows up to date with ``source``.
 
     A key whose tracked columns differ (null-safely) from its active row gives the row as it
     was, the row closed at the source's ``ts``, and a new active version starting there; an
-    unknown key gives a first version; an unchanged key gives nothing.  The source must hold
-    one row per key.
+    unknown key gives a first version; an unchanged key gives nothing.  A source with several
+    rows for a key fails; pass ``check_unique=False`` only for one that is unique by construction.
     """
-    step = _Step(active, source, key, "left_outer", track_cols, ts)
+    step = _Step(active, source, key, "left_outer", track_cols, ts, check_unique)
     images = F.when(
         step.known,
         F.array(_image(PREIMAGE, step.was), _image(POSTIMAGE, step.closed), _image(INSERT, step.opened)),
     ).otherwise(F.array(_image(INSERT, step.opened)))
     return (
-        step.joined.filter(~step.known | ~step.same)
+        step.joined.filter(F.col("s._sent") & (~step.known | ~step.same))
         .select(F.explode(images).alias("i"))
         .select("i.row.*", F.col("i.type").alias(CHANGE_TYPE))
     )
@@ -91,6 +99,7 @@ def scd2_merge(
     key: str,
     track_cols: Sequence[str] | None = None,
     ts: str = "inserted_time",
+    check_unique: bool = True,
 ) -> MergeResult:
     """Merge one batch into a history table holding active and closed rows.
 
@@ -100,7 +109,7 @@ def scd2_merge(
     closed = history.filter("NOT coalesce(is_active, false)")
 
     def rows() -> DataFrame:
-        step = _Step(active, source, key, "full_outer", track_cols, ts)
+        step = _Step(active, source, key, "full_outer", track_cols, ts, check_unique)
         versions = (
             F.when(~step.known, F.array(step.opened))
             .when(~step.sent | step.same, F.array(step.was))
@@ -109,4 +118,4 @@ def scd2_merge(
         current = step.joined.select(F.explode(versions).alias("row")).select("row.*")
         return current.unionByName(closed)
 
-    return MergeResult(rows, lambda: scd2_changes(active, source, key, track_cols, ts))
+    return MergeResult(rows, lambda: scd2_changes(active, source, key, track_cols, ts, check_unique))

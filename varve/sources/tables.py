@@ -27,7 +27,8 @@ from varve.operators.changes import CHANGE_TYPE, COMMITTED, VERSION
 
 LAYERS = ("bronze", "silver", "gold")
 BATCH, MONTH = "batch_id", "transaction_month"
-_VERSIONED = re.compile(r"/v(\d+)(?:/|$)")
+# Only the table's own folder counts: the last one, or the one before ``name=value``.
+_VERSIONED = re.compile(r"/v(\d+)(?:/[^/=]+=[^/]*)?/?$")
 
 
 @dataclass(frozen=True)

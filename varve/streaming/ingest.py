@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.errors import CheckpointLost
+from varve.errors import CheckpointLost, TableLost
 from varve.sources.feeds import Feed, read_feed, stream_feed
 from varve.sources.tables import BATCH, Settings, append_version, partition_values, path_exists
 
@@ -41,6 +41,8 @@ def ingest(
     checkpoint = settings.checkpoint_path(feed.name)
     if partition_values(spark, table, BATCH) and not path_exists(spark, f"{checkpoint}/offsets"):
         raise CheckpointLost(table, checkpoint)
+    if not partition_values(spark, table, BATCH) and path_exists(spark, f"{checkpoint}/commits/0"):
+        raise TableLost(table, checkpoint)
     rows = stream_feed(spark, feed, path, settings.archive_path(feed.name), max_files)
     query = (
         rows.writeStream.queryName(f"{table} ingest")
