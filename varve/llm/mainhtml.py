@@ -11,7 +11,8 @@ joined by an empty line.
 
 Results: null and empty pages, and pages without words, give the empty text.  Text between the
 region's ends is never dropped, whatever its length.  Pages marked by no one teach nothing;
-without any marked page the fixed kinds and a neutral cost remain.
+without any marked page the fixed kinds and a neutral cost remain.  A tag the page's end cuts off is
+no text.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
+    r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
