@@ -96,9 +96,9 @@ def _worth(kind: str, text: Column) -> Column:
     return text.rlike(r"[0-9][ -]?[0-9][ -]?[0-9]")
 
 
-def _matches_of(text: Column, kind: str, pattern: str) -> Column:
-    """All matches with their places: the text between matches tells where each begins."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _matches_of(text: Column, kind: str, pattern: Column) -> Column:
+    """Valid matches with their places (only those are gathered): the text between matches tells where each begins."""
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, pattern, -1)
     empty = F.array().cast(_SPANS)
     return F.aggregate(
@@ -107,7 +107,7 @@ def _matches_of(text: Column, kind: str, pattern: str) -> Column:
         lambda acc, x: F.struct(
             (acc["at"] + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
             F.when(
-                x["value"].isNotNull(),
+                x["value"].isNotNull() & (F.lit(True) if kind == TERM else _valid(kind, x["value"])),
                 F.concat(
                     acc["spans"],
                     F.array(
@@ -127,8 +127,8 @@ def _matches_of(text: Column, kind: str, pattern: str) -> Column:
 
 
 def _matches(text: Column, kind: str) -> Column:
-    valid = F.filter(_matches_of(text, kind, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
-    return F.when(_worth(kind, text), valid).otherwise(F.array().cast(_SPANS))
+    found = _matches_of(text, kind, F.lit(PATTERNS[kind]))
+    return F.when(_worth(kind, text), found).otherwise(F.array().cast(_SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -189,9 +189,9 @@ def disclosing_terms(docs: DataFrame, marked: DataFrame, s: Settings = Settings(
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
-    """Places of whole words of ``text`` that are among ``terms``."""
-    words = _matches_of(text, TERM, r"\p{L}+")
-    return F.when(F.size(terms) > 0, F.filter(words, lambda m: F.array_contains(terms, F.lower(m["value"]))))
+    """Places of whole words of ``text`` that are among ``terms`` (letters only); null without terms."""
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(terms, "|"), F.lit(r")(?!\p{L})"))
+    return F.when(F.size(terms) > 0, _matches_of(text, TERM, pattern))
 
 
 def find(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
