@@ -220,9 +220,9 @@ def find(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 def rewrite(found: DataFrame) -> DataFrame:
     """``found`` (text, spans) with every span generalised to the name of its kind; spans dropped.
 
-    Overlapping spans become one, named by the one that starts first (kinds in order on ties).
+    Overlapping spans become one, named by the one that starts first (the longest on ties).
     """
-    ordered = F.array_sort(F.transform("spans", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform("spans", lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("before"), m["end"].alias("end"), m["kind"].alias("kind"))))
     walked = F.aggregate(
         ordered,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
