@@ -18,13 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varve.llm.bpe import byte_letters
-from varve.llm.common import WordCache, kept, parts_of, slices, texts_of
+from varve.llm.common import WordCache, kept, slices
 
+# Pieces are looked up once in so many bytes of text.
+_SLICE_BYTES = 8 << 20
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
 
 
@@ -32,10 +35,10 @@ class _Encoder:
     """Texts to ids (little-endian int32, with the end id) by the tokenizers library.
 
     The vocabulary drops white space and splits words at it before anything else, and none of
-    its normalisers looks across it, so pieces between blanks, tabs and line ends stand alone
-    and are encoded once.  New pieces are normalised and split as the file says, and the words
-    of many are encoded by the library in one call; each ends in a token with the word-end
-    mark, which tells them apart again.  Pieces with a special token in them take the
+    its normalisers looks across it, so pieces between blanks, tabs and line ends stand alone.
+    Distinct pieces are normalised and split as the file says, and new words of many are
+    encoded by the library in one call; each ends in a token with the word-end mark, which
+    tells them apart again.  Pieces with a special token in them take the
     library's whole path.
     """
 
@@ -54,12 +57,11 @@ class _Encoder:
         self.closes[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         split = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(split + "|\n").findall
-        self.split_ascii = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|\n|[^\\sa-z0-9]+").findall
+        self.split_ascii = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|\n|[^\t-\r a-z0-9]+").findall
         # Words reach the model as letters for bytes; blanks and line ends only stand between them.
         self.letters = {byte: letter for byte, letter in byte_letters().items() if letter != chr(byte) and byte not in b" \n"}
         self.end = np.int32(end_id).tobytes()
         self.words = WordCache(self._encode_words)
-        self.pieces = WordCache(self._encode_pieces)
 
     def _split(self, pieces: list[str]) -> list[str]:
         """Words of normalised ``pieces``, with a line end between one piece and the next."""
@@ -69,42 +71,67 @@ class _Encoder:
         joined = unicodedata.normalize("NFC", joined)
         # Only the lower case of sigma depends on what stands around it.
         lowered = "".join([c.lower() for c in joined]) if "\u03a3" in joined else joined.lower()
-        words = " ".join(self.split(lowered))
-        return words.encode().decode("latin-1").translate(self.letters).split(" ")
+        return self.split(lowered)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         words = [w if w != "\n" else "" for w in words]
         chunks = [" ".join(words[k : k + 2_000]) for k in range(0, len(words), 2_000)]
+        chunks = [c if c.isascii() and c.isprintable() else c.encode().decode("latin-1").translate(self.letters) for c in chunks]
         encoded = self.model.encode_batch_fast(chunks, add_special_tokens=False)
         ids = np.array([i for e in encoded for i in e.ids], dtype="<i4")
         raw, ends = ids.tobytes(), ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
         made = (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
         return [next(made) if w else b"" for w in words]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        made: dict[str, bytes] = {}
-        groups: tuple[list[str], list[str]] = ([], [])
-        for p in pieces:
-            groups[p.isascii() and p.isprintable()].append(p)
-        for group in groups:
-            if not group:
-                continue
-            if any(s in p for s in self.specials for p in ("\n".join(group),)):
-                special = [p for p in group if any(s in p for s in self.specials)]
-                for p in special:
-                    made[p] = np.array(self.whole.encode(p, add_special_tokens=False).ids, dtype="<i4").tobytes()
-                group = [p for p in group if p not in made]
-            words = self._split(group)
-            ends = [k for k, w in enumerate(words) if w == "\n"]
-            values = self.words.of(words)
-            starts = [0, *(e + 1 for e in ends)]
-            made.update((p, b"".join(values[a:e])) for p, a, e in zip(group, starts, [*ends, len(words)], strict=True))
-        return [made[p] for p in pieces]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        values = self.pieces.of([p for c in cut for p in c])
-        return [b"".join(part) + self.end for part in parts_of(values, map(len, cut))]
+    def _group(self, pieces: list[str]) -> pa.ListArray:
+        """Ids of pieces without special tokens: a word that repeats in them is looked up once."""
+        words = pa.array(self._split([*pieces, ""]), type=pa.string()).dictionary_encode()
+        known = _lists(self.words.of(_strings(words.dictionary)))
+        at = words.indices.to_numpy()
+        ends = np.flatnonzero(at == words.dictionary.index("\n").as_py())
+        bounds = np.cumsum(pc.list_value_length(known).to_numpy()[at])[ends]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], bounds]), type=pa.int32()), known.take(words.indices).flatten())
+
+    def _encode_pieces(self, pieces: pa.StringArray) -> tuple[pa.ListArray, np.ndarray]:
+        """Ids of distinct pieces in an order of their own, and the place of each in it."""
+        plain = pc.string_is_ascii(pieces).to_numpy(zero_copy_only=False)
+        special = np.zeros(len(pieces), dtype=bool)
+        for s in self.specials:
+            special |= pc.match_substring(pieces, s).to_numpy(zero_copy_only=False)
+        groups = [np.flatnonzero(plain & ~special), np.flatnonzero(~plain & ~special), np.flatnonzero(special)]
+        made = [self._group(_strings(pieces.take(pa.array(group)))) for group in groups[:2] if len(group)]
+        if len(groups[2]):
+            whole = [self.whole.encode(p, add_special_tokens=False).ids for p in _strings(pieces.take(pa.array(groups[2])))]
+            made.append(pa.array(whole, type=pa.list_(pa.int32())))
+        place = np.empty(len(pieces), dtype=np.int64)
+        place[np.concatenate(groups)] = np.arange(len(pieces))
+        return pa.concat_arrays(made or [_lists([])]), place
+
+    def __call__(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of every text, with the end id; a piece that repeats in these texts is encoded once."""
+        texts = pc.fill_null(texts, "")
+        for blank in "\n\t":
+            texts = pc.replace_substring(texts, blank, " ")
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        made, place = self._encode_pieces(coded.dictionary)
+        # Piece 0 is the end id: one after the last piece of each text.
+        known = pa.concat_arrays([_lists([self.end]), made])
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy())
+        pieces = np.insert(place[coded.indices.to_numpy()] + 1, ends, 0)
+        bounds = np.cumsum(pc.list_value_length(known).to_numpy()[pieces])[ends + np.arange(len(ends))]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], bounds]), type=pa.int32()), known.take(pa.array(pieces)).flatten())
+
+
+def _strings(values: pa.Array) -> list[str]:
+    # Many short strings: several times as fast as to_pylist().
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _lists(values: list[bytes]) -> pa.ListArray:
+    """Little-endian int32 values as lists."""
+    bounds = np.cumsum([0, *map(len, values)]) // 4
+    return pa.ListArray.from_arrays(pa.array(bounds, type=pa.int32()), pa.array(np.frombuffer(b"".join(values), dtype="<i4")))
 
 
 def _encoder(source: str, end_id: int) -> _Encoder:
@@ -129,14 +156,10 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(source.value, end_id)
         for batch in batches:
-            for part in slices(batch, "text"):
-                made = encode(texts_of(part))
-                lengths = np.array([len(b) // 4 for b in made], dtype=np.int64)
-                offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(lengths), ids], ["doc_id", "n_tokens", "ids"]
-                )
+            for part in slices(batch, "text", _SLICE_BYTES):
+                ids = encode(part.column("text"))
+                lengths = pc.list_value_length(ids).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lengths, ids], ["doc_id", "n_tokens", "ids"])
 
     (
         docs.select("doc_id", "text")
