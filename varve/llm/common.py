@@ -61,6 +61,11 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def strings(values: pa.Array) -> list[str]:
+    """Many short strings: several times as fast as to_pylist()."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 _KEPT: dict = {}
 
 

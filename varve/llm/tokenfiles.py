@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varve.llm.bpe import byte_letters
-from varve.llm.common import WordCache, kept, slices
+from varve.llm.common import WordCache, kept, slices, strings
 
 # Pieces are looked up once in so many bytes of text.
 _SLICE_BYTES = 8 << 20
@@ -86,7 +86,7 @@ class _Encoder:
     def _group(self, pieces: list[str]) -> pa.ListArray:
         """Ids of pieces without special tokens: a word that repeats in them is looked up once."""
         words = pa.array(self._split([*pieces, ""]), type=pa.string()).dictionary_encode()
-        known = _lists(self.words.of(_strings(words.dictionary)))
+        known = _lists(self.words.of(strings(words.dictionary)))
         at = words.indices.to_numpy()
         ends = np.flatnonzero(at == words.dictionary.index("\n").as_py())
         bounds = np.cumsum(pc.list_value_length(known).to_numpy()[at])[ends]
@@ -99,9 +99,9 @@ class _Encoder:
         for s in self.specials:
             special |= pc.match_substring(pieces, s).to_numpy(zero_copy_only=False)
         groups = [np.flatnonzero(plain & ~special), np.flatnonzero(~plain & ~special), np.flatnonzero(special)]
-        made = [self._group(_strings(pieces.take(pa.array(group)))) for group in groups[:2] if len(group)]
+        made = [self._group(strings(pieces.take(pa.array(group)))) for group in groups[:2] if len(group)]
         if len(groups[2]):
-            whole = [self.whole.encode(p, add_special_tokens=False).ids for p in _strings(pieces.take(pa.array(groups[2])))]
+            whole = [self.whole.encode(p, add_special_tokens=False).ids for p in strings(pieces.take(pa.array(groups[2])))]
             made.append(pa.array(whole, type=pa.list_(pa.int32())))
         place = np.empty(len(pieces), dtype=np.int64)
         place[np.concatenate(groups)] = np.arange(len(pieces))
@@ -123,11 +123,6 @@ class _Encoder:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], bounds]), type=pa.int32()), known.take(pa.array(pieces)).flatten())
 
 
-def _strings(values: pa.Array) -> list[str]:
-    # Many short strings: several times as fast as to_pylist().
-    return values.to_numpy(zero_copy_only=False).tolist()
-
-
 def _lists(values: list[bytes]) -> pa.ListArray:
     """Little-endian int32 values as lists."""
     bounds = np.cumsum([0, *map(len, values)]) // 4
