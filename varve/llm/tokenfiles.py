@@ -27,7 +27,7 @@ from varve.llm.bpe import byte_letters
 from varve.llm.common import WordCache, kept, slices, strings
 
 # Pieces are looked up once in so many bytes of text.
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 4 << 20
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>"
 
 
