@@ -38,8 +38,7 @@ class _Encoder:
     its normalisers looks across it, so pieces between blanks, tabs and line ends stand alone.
     Distinct pieces are normalised and split as the file says, and new words of many are
     encoded by the library in one call; each ends in a token with the word-end mark, which
-    tells them apart again.  Pieces with a special token in them take the
-    library's whole path.
+    tells them apart again.  Pieces with a special token in them take the library's whole path.
     """
 
     def __init__(self, source: str, end_id: int):
