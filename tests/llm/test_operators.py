@@ -182,6 +182,38 @@ def test_near_duplicates_by_similarity(spark, docs, none):
     assert simhash.one_of_each(none).count() == 0
 
 
+def shingle_set(text, words=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def one_of_each_by_brute_force(texts):
+    """Smallest ids of the components of pairs of at least 0.8, over all pairs."""
+    sets, root = {i: shingle_set(t) for i, t in texts}, {i: i for i, _ in texts}
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i < j and len(x & y) >= 0.8 * len(x | y) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if r == old else r for k, r in root.items()}
+    return set(root.values())
+
+
+def kept_of(spark, texts):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], DOCS).repartition(3)
+    return {r["doc_id"] for r in simhash.one_of_each(df).collect()}
+
+
+def test_near_duplicates_far_apart_in_bits(spark):
+    # A line repeated more often in one text: equal to 0.8 and more as sets, far apart as weighted fingerprints.
+    rng = np.random.default_rng(22)
+    base = [f"w{x}" for x in rng.integers(0, 100_000, 300)]
+    line = [f"l{x}" for x in range(12)]
+    texts = [(1, " ".join(base + line)), (2, " ".join(base + line * 60)), (3, " ".join(reversed(base)))]
+    apart = simhash.shingle_fingerprint(texts[0][1], 5) ^ simhash.shingle_fingerprint(texts[1][1], 5)
+    assert apart.bit_count() > 14
+    assert kept_of(spark, texts) == one_of_each_by_brute_force(texts) == {1, 3}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     good = [(i, rng.normal(size=6).tolist(), 0) for i in range(120)] + [(200 + i, [1.0] + [0.0] * 5, 1) for i in range(8)] + [(50, [9.0] * 6, 0)]

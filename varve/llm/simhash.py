@@ -14,6 +14,9 @@ most ``k``.  Of a bucket's links only a shortest spanning forest leaves the task
 fingerprint and bucket, never all pairs.  Buckets of more than ``split`` fingerprints are cut again by the same rule over the
 bits their key leaves open, so that no task holds one whole.
 
+The pipeline's near-duplicates (``near_classes``) do not go by fingerprints: pairs of distinct texts
+are found by an exact join on the rarest shingles, and the similarity of their shingle sets decides.
+
 Results: nulls and texts without words have fingerprint zero and link like any other; equal
 texts meet in one fingerprint; a component's id is its smallest doc_id (null only if all are).
 """
@@ -22,20 +25,24 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.common import slices, stored, texts_of
+from varve.llm.common import slices, stored, strings, texts_of
 
 BITS, PIVOTS = 64, 16
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _BLANKS = regex.compile(r"[\x20\x09-\x0D]+")
+# Odd factors of the words of a shingle, and cells (by leading bits of a hash) that shingles are counted in.
+_FACTORS = np.random.default_rng(17).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CELL_BITS = 20
 
 
 def shingle_fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -278,15 +285,13 @@ def classes(docs: DataFrame, words: int = 3, k: int = 3, split: int = 4_096) ->
     return _named(marked, values, links(values.select("fingerprint"), k, split))
 
 
-def _named(marked: DataFrame, values: DataFrame, edges: DataFrame) -> DataFrame:
-    """Documents with the smallest doc_id that ``edges`` between fingerprints lead to."""
+def _named(marked: DataFrame, values: DataFrame, edges: DataFrame, by: str = "fingerprint") -> DataFrame:
+    """Documents with the smallest doc_id that ``edges`` between values of ``by`` lead to."""
     tied = components(edges)
-    rooted = values.join(tied.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
-        "root", F.coalesce("root", "fingerprint")
-    )
+    rooted = values.join(tied.withColumnRenamed("node", by), by, "left").withColumn("root", F.coalesce("root", by))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_value = rooted.join(named, "root").select("fingerprint", "component_id")
-    return marked.join(by_value, "fingerprint")
+    by_value = rooted.join(named, "root").select(by, "component_id")
+    return marked.join(by_value, by)
 
 
 def classes_hex(docs: DataFrame) -> DataFrame:
@@ -294,58 +299,215 @@ def classes_hex(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _drawn_masks(n: int, miss: float = 0.02, typical: int = 8) -> list[int]:
-    """Bit choices for wide searches: as many bits as ``n`` fingerprints fill, and so many choices
-    that a pair ``typical`` bits apart shares none of them with probability ``miss``."""
-    width = min(32, max(16, int(n).bit_length()))
-    share = math.comb(BITS - typical, width) / math.comb(BITS, width)
-    rng = np.random.default_rng(13)
-    drawn = [rng.choice(BITS, width, replace=False).tolist() for _ in range(math.ceil(math.log(miss) / math.log(1 - share)))]
-    masks = [sum(1 << b for b in bits) for bits in drawn]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def _shingled(texts: pa.Array, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each text: a hash of all its words in order, and the sorted distinct hashes of its word shingles."""
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    cut = pc.ascii_split_whitespace(text)
+    coded = cut.flatten().dictionary_encode()
+    digest = xxhash.xxh64_intdigest
+    word = np.array([digest(w, 42) for w in strings(coded.dictionary)], dtype=np.uint64)[coded.indices.to_numpy()]
+    ends = np.cumsum(pc.list_value_length(cut).to_numpy()).tolist()
+    # A shingle's hash is a sum of its words' hashes by odd factors of their place, stirred.
+    mixed = np.zeros(len(word), dtype=np.uint64)
+    for j in range(min(words, len(word))):
+        mixed[: len(word) - j] += word[j:] * _FACTORS[j]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _FACTORS[words]
+    mixed ^= mixed >> np.uint64(32)
+    keys, sets, begin = np.zeros(len(ends), dtype=np.uint64), [], 0
+    for k, (end, empty) in enumerate(zip(ends, pc.equal(text, "").to_pylist())):
+        own = word[begin:begin] if empty else word[begin:end]
+        keys[k] = digest(own.tobytes(), 42)
+        if len(own) >= words:
+            sets.append(np.unique(mixed[begin : end - words + 1]))
+        else:
+            sets.append(keys[k : k + 1].copy() if len(own) else own)
+        begin = end
+    return keys.view(np.int64), sets
+
+
+def _first_seen(docs: DataFrame, words: int, make: Callable, schema: str) -> DataFrame:
+    """``make(key, shingles)`` of each text with words (arrays of equal length), once a task for equal texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                made = []
+                for key, shingles in zip(*_shingled(part.column("text"), words)):
+                    if len(shingles) and key not in seen:
+                        seen.add(key)
+                        made.append(make(key, shingles))
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*made)], names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.select("text").mapInArrow(run, schema)
+
+
+def _text_keys(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id and unit (hash of the words in order) of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                keys = pa.array(_shingled(part.column("text"), words)[0])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys], ["doc_id", "unit"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, unit bigint")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, shingles: sorted distinct hashes of the word shingles."""
+    """unit, shingles: sorted distinct hashes of the word shingles; a unit may come more than once."""
+    return _first_seen(
+        docs, words, lambda key, x: (pa.array([key]), pa.array([x.view(np.int64)], type=pa.list_(pa.int64()))), "unit bigint, shingles array<bigint>"
+    )
+
+
+def _cell_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """How many texts' shingles fall in each of the cells of hashes: about how frequent a shingle is at most.
+
+    Of fixed size whatever the input; parts are added up in tasks, by block of cells.
+    """
+    size = (1 << _CELL_BITS) // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << _CELL_BITS, dtype=np.int32)
+        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                made = []
-                for text in texts_of(part):
-                    w = _words(text)
-                    grams = {" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
-                    made.append(np.array(sorted(xxhash.xxh64_intdigest(g) for g in grams), dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made, type=pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                for key, shingles in zip(*_shingled(part.column("text"), words)):
+                    if key not in seen:
+                        seen.add(key)
+                        np.add.at(cells, (shingles >> np.uint64(64 - _CELL_BITS)).astype(np.int64), 1)
+        blocks = [cells[b * size : (b + 1) * size].tobytes() for b in range(64)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(64), type=pa.int32()), pa.array(blocks, type=pa.binary())], ["block", "n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, n in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist()):
+                total[block] = total.get(block, 0) + np.frombuffer(n, dtype=np.int32).astype(np.int64)
+        made = [np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int32()), pa.array(made, type=pa.binary())], ["block", "n"])
+
+    parts = docs.select("text").mapInArrow(run, "block int, n binary")
+    out = np.zeros(1 << _CELL_BITS, dtype=np.int32)
+    for row in parts.repartition("block").mapInArrow(added, "block int, n binary").collect():  # 64 rows
+        out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["n"], dtype=np.int32)
+    return out
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
+def _prefixes(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """token, unit, n, pos: of each text of ``n`` shingles the rarest, as many as any partner must share one of."""
+    sent = docs.sparkSession.sparkContext.broadcast(_cell_counts(docs, words))
 
-def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, k: int = 14) -> DataFrame:
-    """doc_id, fingerprint, component_id: documents whose shingle sets are ``similarity`` alike (Jaccard).
+    def make(key: int, shingles: np.ndarray) -> tuple:
+        counts = sent.value[(shingles >> np.uint64(64 - _CELL_BITS)).astype(np.int64)]
+        n = len(shingles)
+        first = np.lexsort((shingles, counts))[: n - math.ceil(similarity * n - 1e-9) + 1]
+        # A cell with one text holds no shared shingle.
+        pos = np.flatnonzero(counts[first] > 1)
+        token = shingles[first[pos]].view(np.int64)
+        return pa.array(token), pa.array(np.full(len(pos), key)), pa.array(np.full(len(pos), n, dtype=np.int32)), pa.array(pos.astype(np.int32))
 
-    Sets that alike lie about ten bits apart, too far for whole blocks to agree, so bucket keys are
-    drawn bit choices, their number and width set by the number of fingerprints.  Fingerprints
-    within ``k`` bits are candidates; the exact similarity of the texts decides each.
+    return _first_seen(docs, words, make, "token bigint, unit bigint, n int, pos int")
+
+
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """The rows, each once, whose token stands in more than one unit.  Nothing is held but one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None
+        met = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            token, unit = rows.column("token").to_numpy(), rows.column("unit").to_numpy()
+            new = np.append(True, (token[1:] != token[:-1]) | (unit[1:] != unit[:-1]))
+            at = np.flatnonzero(new)
+            same = token[at[1:]] == token[at[:-1]]
+            keep = np.append(met, same) | np.append(same, False)
+            met = bool(keep[-1])
+            last = rows.slice(int(at[-1]), 1)
+            yield rows.take(pa.array(at[:-1][keep[:-1]]))
+        if last is not None and met:
+            yield last
+
+    schema = "token bigint, unit bigint, n int, pos int"
+    return prefixes.repartition("token").sortWithinPartitions("token", "unit").mapInArrow(run, schema)
+
+
+def _alike(docs: DataFrame, units: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) pairs of units of at least ``similarity`` that join all that such pairs join.
+
+    The shingles' one order is by rarity.  Sets so alike share one of their rarest, at places that
+    leave room for the overlap they need, so every pair that can be alike is a candidate of some token.
+    Where candidates are many, each token's units are first compared with one of them, another each
+    round, and pairs of what is joined by then need no comparison; what is left is compared pair by pair.
     """
-    marked = stored(fingerprints(docs, words))
-    values = stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    keyed = _with_keys(values, _drawn_masks(values.count()))
-    close = stored(_bucketed_links(keyed, k).distinct())
-    ends = close.join(values.select(F.col("fingerprint").alias("a"), F.col("least").alias("p")), "a").join(
-        values.select(F.col("fingerprint").alias("b"), F.col("least").alias("q")), "b"
-    )
-    ends = stored(ends.where("p IS NOT NULL AND q IS NOT NULL"))
-    wanted = ends.select(F.col("p").alias("doc_id")).union(ends.select("q")).distinct()
-    sets = stored(_shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]))
-    alike = (
-        ends.join(sets.select(F.col("doc_id").alias("p"), F.col("shingles").alias("x")), "p")
-        .join(sets.select(F.col("doc_id").alias("q"), F.col("shingles").alias("y")), "q")
-        .withColumn("common", F.size(F.array_intersect("x", "y")))
-        .where(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common")))
-        .select("a", "b")
-    )
-    return _named(marked, values, alike)
+    shared = stored(_shared(_prefixes(docs, words, similarity)))
+    wanted = shared.select("unit").distinct()
+    ids = units.join(wanted, "unit", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text")
+    texts = texts.join(ids, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
+    sets = stored(_shingle_sets(texts, words).join(wanted, "unit", "left_semi").dropDuplicates(["unit"]))
+    least = similarity / (1 + similarity)
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        return stored(
+            pairs.join(sets.select(F.col("unit").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(sets.select(F.col("unit").alias("b"), F.col("shingles").alias("y")), "b")
+            .withColumn("common", F.size(F.array_intersect("x", "y")))
+            .select("a", "b", (F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).alias("alike"))
+        )
+
+    def candidates(one: DataFrame, other: DataFrame, ordered: bool) -> DataFrame:
+        other = other.select("token", *[F.col(c).alias(f"{c}2") for c in ("unit", "n", "pos", "root")])
+        room = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+        met = one.join(other, "token").where(
+            (F.col("root") != F.col("root2"))
+            & (room >= least * (F.col("n") + F.col("n2")) - 1e-6)
+            & (F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-6)
+            & (F.col("unit") < F.col("unit2") if ordered else F.lit(True))
+        )
+        return met.select(F.least("unit", "unit2").alias("a"), F.greatest("unit", "unit2").alias("b")).distinct()
+
+    rows = shared.withColumn("root", F.col("unit"))
+    judged = edges = None
+    before = math.inf
+    for turn in itertools.count():
+        crowd = rows.groupBy("token", "root").count().groupBy("token")
+        crowd = crowd.agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"), F.count("*").alias("roots"))
+        crowd = stored(crowd.where("roots > 1"))
+        total, left = crowd.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("own")) / 2), F.lit(0.0))).first()
+        rows = rows.join(crowd.select("token"), "token", "left_semi")
+        last = left <= 8 * total or left > 0.75 * before
+        if last:
+            pairs = candidates(rows, rows, True)
+        else:
+            hub = F.min_by(F.struct("unit", "n", "pos", "root"), F.struct(F.xxhash64("unit", F.lit(turn)), "unit"))
+            pairs = candidates(rows, rows.groupBy("token").agg(hub.alias("h")).select("token", "h.*"), False)
+        if judged is not None:
+            pairs = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        now = decided(pairs)
+        judged = now if judged is None else judged.unionByName(now)
+        edges = judged.where("alike").select("a", "b")
+        if last:
+            return edges
+        before = left
+        tied = components(edges).withColumnRenamed("node", "unit").withColumnRenamed("root", "to")
+        rows = stored(rows.drop("root").join(tied, "unit", "left").select("token", "unit", "n", "pos", F.coalesce("to", "unit").alias("root")))
+
+
+def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, unit, component_id: documents whose shingle sets are ``similarity`` alike (Jaccard).
+
+    Units are the distinct texts, by their words; every two that are so alike are in one component.
+    """
+    marked = stored(_text_keys(docs, words))
+    units = stored(marked.groupBy("unit").agg(F.min("doc_id").alias("least")))
+    return _named(marked, units, _alike(docs, units, words, similarity), "unit")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
