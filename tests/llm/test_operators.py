@@ -203,6 +203,21 @@ def kept_of(spark, texts):
     return {r["doc_id"] for r in simhash.one_of_each(df).collect()}
 
 
+def test_near_duplicates_of_many_variants(spark):
+    # Groups of variants around 0.8: pairs closer in bits are often below it, pairs farther apart above.
+    rng = np.random.default_rng(21)
+    texts = []
+    for group in range(4):
+        base = [f"g{group}w{x}" for x in rng.integers(0, 5_000, 200)]
+        for v in range(50):
+            words = list(base)
+            for at in rng.choice(200, int(rng.integers(3, 6)), replace=False):
+                words[at] = f"c{group}x{v}x{at}"
+            texts.append((100 * group + v, " ".join(words)))
+    want = one_of_each_by_brute_force(texts)
+    assert 4 < len(want) < 200 and kept_of(spark, texts) == want
+
+
 def test_near_duplicates_far_apart_in_bits(spark):
     # A line repeated more often in one text: equal to 0.8 and more as sets, far apart as weighted fingerprints.
     rng = np.random.default_rng(22)
