@@ -229,6 +229,15 @@ def test_near_duplicates_far_apart_in_bits(spark):
     assert kept_of(spark, texts) == one_of_each_by_brute_force(texts) == {1, 3}
 
 
+def test_near_duplicates_of_equal_fingerprints(spark):
+    # A row of dashes fixes the fingerprint; the remaining words differ wholly, but for two texts.
+    rng = np.random.default_rng(23)
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 100_000, 120)) for _ in range(4)]
+    texts = [(i, own[i] + " -" * 200) for i in range(4)] + [(9, own[3] + " changed" + " -" * 200)]
+    assert len({simhash.shingle_fingerprint(t, 5) for _, t in texts}) == 1
+    assert kept_of(spark, texts) == one_of_each_by_brute_force(texts) == {0, 1, 2, 3}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     good = [(i, rng.normal(size=6).tolist(), 0) for i in range(120)] + [(200 + i, [1.0] + [0.0] * 5, 1) for i in range(8)] + [(50, [9.0] * 6, 0)]
