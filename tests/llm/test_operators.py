@@ -337,6 +337,30 @@ def test_main_text(spark):
     assert mainhtml.main_texts(odd.limit(0)).count() == 0
 
 
+def test_main_text_under_names_of_boilerplate():
+    story = " ".join(f"word{i}" for i in range(120))
+    body = "<nav><a href=x>home news sport</a></nav><div class='share'>share this now</div>%s<footer>imprint</footer>"
+    part = f"<p>{story}</p>"
+    for page in (
+        f"<html><body class='has-sidebar'>{body % part}</body></html>",
+        f"<html class='no-sidebar'><body id='header-fixed'>{body % part}</body></html>",
+        f"<body><form action=x>{body % part}</form></body>",
+        f"<body><form><input>{body % f'<article>{part}</article>'}</form></body>",
+        f"<body><article class='header menu'>{part}</article></body>",
+        f"<body><article><form>{part}</form></article></body>",
+        f"<body>{body % f'<div class=sidebar-layout>{part}</div>'}</body>",
+    ):
+        assert mainhtml.extract_one(page, {}) == story, page
+    for name in ("related-work", "social-history", "share-price"):
+        page = f"<body>{body % f'<div>{part}<section id={name}><p>{story} more</p></section>{part}</div>'}</body>"
+        assert mainhtml.extract_one(page, {}) == f"{story}\n\n{story} more\n\n{story}"
+    # A learned weight overrules the fixed names, and takes out what labelled pages show to be no content.
+    short = "<body><p>one two three</p><div class='related'><p>four five six</p></div></body>"
+    assert mainhtml.extract_one(short, {}) == "one two three"
+    assert mainhtml.extract_one(short, {"div.related": 4.0}) == "one two three\n\nfour five six"
+    assert mainhtml.extract_one(f"<body>{part}<div class=x>a b c</div>{part}</body>", {"div.x": -3.0}) == f"{story}\n\n{story}"
+
+
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     assert rows and all(r["round_trip"] for r in rows) and len({r["doc_id"] for r in rows}) == len(rows)

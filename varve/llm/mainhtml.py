@@ -3,8 +3,12 @@
 A page is a sequence of words and tags.  Words score 1; a tag costs more the less its kind is at
 home in articles, which is learned from labelled pages: those whose author marked the article
 (``<article>`` or ``<main>``).  One linear scan finds the contiguous stretch of greatest sum.
-Elements whose learned weight says "not content" (and those that never are: scripts, styles,
-forms, menus ...) are taken out first and again make no part of the region's text.
+Elements whose learned weight says "not content" (and kinds that hardly are: scripts, styles,
+forms, menus ...) make no part of the region's text, but ``html``, ``body``, ``main``, ``article`` and
+elements that hold most of what the author marked (most of the page's words, if nothing is marked)
+are never taken out.
+Names that often mark what is not content make an element's tag dear, outside of marked content and
+as far as no learned weight of the name says otherwise; its words count as any others.
 
 Blocks are cut at block-level tags; white space inside a block becomes one blank; blocks are
 joined by an empty line.
@@ -41,7 +45,9 @@ INLINE = set(
 RAW = "script style noscript template svg iframe textarea object".split()
 NEVER = set(RAW) | set("head title nav header footer aside form button select option dialog menu".split())
 MARKED = ("article", "main")
-# Names of classes, ids and roles that mark what is not content.
+KEPT = {"html", "body", *MARKED}
+CONTROLS = set("head title select option button".split())
+# Names of classes, ids and roles that often mark what is not content.
 NAMED = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|hidden|menu|"
     r"nav|navbar|navigation|newsletter|notices?|popup|promo\w*|recommend\w*|related|share|sharing|sidebar|social|"
@@ -52,6 +58,8 @@ NAMED = re.compile(
 # Log odds of tags no labelled page holds (a cost of about a seventh of a word), and the odds
 # of names below which an element is not content.
 UNSEEN, NOT_CONTENT = 1.8, -2.0
+# Words that begin and end of an element each cost whose name is among those above and that no labelled page holds.
+NAME_COST = 20.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -72,19 +80,61 @@ def keys_of(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
 
 
 class Open(NamedTuple):
-    """An open element; ``hidden`` and ``marked`` also hold for all that stands in it."""
+    """An open element; all but tag and keys also hold for what stands in it.
+
+    ``hidden`` is the number of the innermost element to be taken out (0: none), ``marked`` whether
+    it is marked content, ``link`` whether it is a link.
+    """
 
     tag: str
     keys: tuple[str, ...]
-    hidden: bool
+    hidden: int
     marked: bool
+    link: bool = False
+    named: bool = False
+
+
+_PAGE = Open("", (), 0, False)
+
+
+class Hidden:
+    """Elements to be taken out, unless they hold most of what the author marked (or of the page, if nothing is marked)."""
 
+    def __init__(self) -> None:
+        # By number: the element around, words outside links, marked words, whether a control.
+        self.parent, self.words, self.inner, self.control = [0], [0], [0], [False]
 
-_PAGE = Open("", (), False, False)
+    def add(self, tag: str, parent: int) -> int:
+        self.parent.append(parent)
+        self.words.append(0)
+        self.inner.append(0)
+        self.control.append(tag in CONTROLS or self.control[parent])
+        return len(self.parent) - 1
 
+    def count(self, top: Open, n: int) -> None:
+        if self.control[top.hidden]:
+            return
+        if not top.link:
+            self.words[top.hidden] += n
+        if top.marked:
+            self.inner[top.hidden] += n
 
-def tokens(page: str, hides: Callable[[tuple[str, ...], bool], bool]) -> Iterator[tuple[str, tuple[str, ...], str, list[Open]]]:
-    """(kind, keys, text, open elements) of a page; kind is "text", "open" or "close".
+    def shown(self) -> list[bool]:
+        """By number, whether what stands directly in the element stays."""
+        words, inner = list(self.words), list(self.inner)
+        for c in range(len(words) - 1, 0, -1):
+            words[self.parent[c]] += words[c]
+            inner[self.parent[c]] += inner[c]
+        out = [True]
+        for c in range(1, len(words)):
+            most = 2 * inner[c] > inner[0] or (not inner[0] and 2 * words[c] > words[0])
+            out.append(most and not self.control[c] and out[self.parent[c]])
+        return out
+
+
+def tokens(page: str, hides: Callable[[tuple[str, ...]], bool], hidden: Hidden) -> Iterator[tuple[str, tuple[str, ...], str, list[Open]]]:
+    """(kind, keys, text, open elements) of a page; kind is "text", "open", "close";
+    begin and end of an element with a name of NAMED are "open named" and "close named".
 
     The last is the live stack, the page itself first; unclosed elements end with their parents.
     """
@@ -104,21 +154,22 @@ def tokens(page: str, hides: Callable[[tuple[str, ...], bool], bool]) -> Iterato
                 continue
             while stack[-1].tag != tag:
                 count[stack.pop().tag] -= 1
-            yield "close", stack[-1].keys, "", stack
+            yield "close named" if stack[-1].named else "close", stack[-1].keys, "", stack
             count[stack.pop().tag] -= 1
         else:
             keys, named = keys_of(tag, m["attrs"])
             if tag not in INLINE and stack[-1].tag == "p":
                 count[stack.pop().tag] -= 1
-            yield "open", keys, "", stack
+            yield "open named" if named else "open", keys, "", stack
             if tag not in VOID and not m["attrs"].endswith("/"):
                 above = stack[-1]
-                stack.append(Open(tag, keys, above.hidden or hides(keys, named), above.marked or tag in MARKED))
+                number = hidden.add(tag, above.hidden) if tag not in KEPT and hides(keys) else above.hidden
+                stack.append(Open(tag, keys, number, above.marked or tag in MARKED, above.link or tag == "a", named))
                 count[tag] += 1
 
 
-def _never(keys: tuple[str, ...], named: bool) -> bool:
-    return named or keys[0] in NEVER
+def _never(keys: tuple[str, ...]) -> bool:
+    return keys[0] in NEVER
 
 
 def _counts(page: str) -> Counter:
@@ -127,16 +178,22 @@ def _counts(page: str) -> Counter:
     lowered = page.lower()
     if not any(f"<{m}" in lowered for m in MARKED):
         return seen
-    for kind, keys, text, stack in tokens(page, _never):
+    hidden, tags = Hidden(), Counter()
+    for kind, keys, text, stack in tokens(page, _never, hidden):
         top = stack[-1]
         if kind == "text":
             if n := len(text.split()):
+                hidden.count(top, n)
                 for key in {k for element in stack for k in element.keys[1:]}:
                     seen[key, top.marked] += n
-        # What is taken out anyway must not make the tags in it look dear elsewhere.
-        elif kind == "open" and not top.hidden and keys[0] not in MARKED:
+        elif kind.startswith("open") and keys[0] not in MARKED:
             for key in keys:
-                seen[f"<{key}>", top.marked] += 1
+                tags[f"<{key}>", top.marked, top.hidden] += 1
+    # What is taken out anyway must not make the tags in it look dear elsewhere.
+    shown = hidden.shown()
+    for (key, marked, number), n in tags.items():
+        if shown[number]:
+            seen[key, marked] += n
     return seen
 
 
@@ -171,25 +228,41 @@ def learn(pages: DataFrame, sample: int = 4_000) -> dict[str, float]:
     return {r["key"]: math.log((r["in"] + 1) / (r["out"] + 1)) for r in counted}
 
 
+def _against(odds: float) -> float:
+    """Probability of not being content."""
+    return 1 / (1 + math.exp(min(30.0, max(-30.0, odds))))
+
+
 def extract_one(page: str, weights: dict[str, float]) -> str:
     """The main text of one page."""
     scores: list[float] = []
     events: list[str | None] = []  # text, or None for a block border
+    numbers: list[int] = []
+    hidden = Hidden()
 
-    def hides(keys: tuple[str, ...], named: bool) -> bool:
-        return _never(keys, named) or any(weights.get(k, 0.0) < NOT_CONTENT for k in keys[1:])
+    def hides(keys: tuple[str, ...]) -> bool:
+        return _never(keys) or any(weights.get(k, 0.0) < NOT_CONTENT for k in keys[1:])
 
-    for kind, keys, text, stack in tokens(page, hides):
-        if stack[-1].hidden:
-            continue
+    for kind, keys, text, stack in tokens(page, hides, hidden):
+        top = stack[-1]
+        numbers.append(top.hidden)
         if kind == "text":
             words = len(text.split())
+            if words:
+                hidden.count(top, words)
             scores.append(float(words))
             events.append(text)
         else:
             odds = max((weights.get(f"<{k}>", UNSEEN) for k in keys), key=abs)
-            scores.append(-1 / (1 + math.exp(min(30.0, max(-30.0, odds)))) - 0.01)
+            scores.append(-_against(odds) - 0.01)
+            if kind.endswith("named") and not top.marked and keys[0] not in KEPT:
+                known = [weights[k] for k in keys[1:] if k in weights]
+                scores[-1] -= NAME_COST * (_against(max(known, key=abs)) if known else 1.0)
             events.append(None if keys[0] not in INLINE else " " if keys[0] == "br" else "")
+    if len(hidden.parent) > 1:
+        shown = hidden.shown()
+        stay = [i for i, number in enumerate(numbers) if shown[number]]
+        scores, events = [scores[i] for i in stay], [events[i] for i in stay]
     best, begin, end, total, start = 0.0, 0, 0, 0.0, 0
     for i, score in enumerate(scores):
         if total <= 0:
