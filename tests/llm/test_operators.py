@@ -92,6 +92,27 @@ def test_decontamination(docs, none, bench):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_changed_words(spark):
+    # Items of rare and common words; copies lose their rarest words, or any, and brute-force LCS decides.
+    rng = np.random.default_rng(31)
+    common = [f"c{x}" for x in range(60)]
+    items = [[f"r{k}x{j}" if j % 3 == 0 else str(rng.choice(common)) for j in range(30)] for k in range(12)]
+    texts = [" ".join(rng.choice(common, 200)) for _ in range(300)]
+    for words in items:
+        rare = [j for j in range(30) if j % 3 == 0]
+        for n in (6, 9, 10):
+            for at in (rare[:n], rng.choice(30, n, replace=False).tolist()):
+                changed = [f"new{j}" if j in at else w for j, w in enumerate(words)]
+                texts.append(" ".join([*rng.choice(common, 90), *changed, *rng.choice(common, 90)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    sure = {(300 + 6 * k + c, k) for k in range(12) for c in range(2)}  # 24 of 30 words stay in order
+    assert sure <= found
+    for doc, k in found:
+        assert decontaminate.lcs_length(items[k], texts[doc].split()) >= 0.6 * 30
+
+
 def test_lcs_equals_the_table():
     rng = np.random.default_rng(1)
     for _ in range(50):
