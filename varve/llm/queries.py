@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import bpe, chat, decontaminate, mainhtml, neighbours, privacy, quality, repeats, simhash, tokenfiles
+from varve.llm import bpe, chat, decontaminate, mainhtml, negatives, neighbours, prefixtrie, privacy, quality, repeats, simhash, tokenfiles, topk
 from varve.llm.common import scratch
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -60,6 +60,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainhtml.main_texts(_table(spark, sf_dir, "pages"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.relabelled(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,6 +85,9 @@ QUERIES = {
         op8_privacy,
         op9_chat,
         op10_main_text,
+        op11_topk,
+        op12_negatives,
+        op13_prefix_trie,
     )
 }
 
@@ -103,5 +118,86 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(block)) AS BIGINT) AS formatted_chars,
   CAST(coalesce(min(place) FILTER (NOT fine), -1) AS INTEGER) AS first_invalid
 FROM judged GROUP BY conv_id
+""",
+    "op11_topk": """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
+    "op12_negatives": """
+WITH v AS (
+  SELECT vec_id, min({'v': list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))),
+    'label': CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END}) AS r
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.r.label = c.r.label AS same, CAST(list_dot_product(a.r.v, c.r.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), found AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5
+""",
+    # The checksum is written out: bytes are mixed in, -1 stands for one of the eight shifts after each.
+    "op13_prefix_trie": """
+WITH given AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, coalesce(role, '') AS role, coalesce(text, '') AS text, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    sha256(strlen(role) || ':' || role || text)) AS place
+  FROM given
+), convs AS (
+  SELECT DISTINCT conv_id, base, xor(list_reduce(
+    list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+      lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 9 AS h
+  FROM given
+), parts AS (
+  SELECT c.conv_id, 0 AS part, p.place, p.role, p.text FROM convs c JOIN placed p ON p.conv_id = c.base AND p.place <= c.h
+  UNION ALL SELECT c.conv_id, 1, p.place, p.role, p.text FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.place > c.h
+), turns AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM parts
+), paths AS (
+  SELECT conv_id, depth, strlen(text) AS bytes,
+    list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS node
+  FROM turns UNION ALL SELECT conv_id, 0, 0, [] FROM convs
+), named AS (
+  SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent,
+    depth = max(depth) OVER (PARTITION BY conv_id) AS last
+  FROM paths
+), nodes AS (
+  SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+    any_value(bytes) AS bytes, bool_and(last) AS leaf,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM named GROUP BY node
+), sums AS (
+  SELECT p.node, sum(CAST(n.leaf AS BIGINT)) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved_tokens
+  FROM nodes n JOIN named p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.node
+), children AS (
+  SELECT parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs,
+  coalesce(c.n_children, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s USING (node) LEFT JOIN children c USING (node) LEFT JOIN nodes u ON u.node = n.parent
 """,
 }
