@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from varve.llm import vectors as V
 from varve.llm.common import stored
 
+# Pivots whose distances are compared before the rows they exclude go.
+PIVOTS_AT_ONCE = 8
 HITS = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -142,25 +144,33 @@ class _Block:
         self.square, self.far = V.lengths(self.m), np.ascontiguousarray(pivots.table(self.m).T)
         self.longest_pivot = pivots.longest
 
-    def bounds(self, square: float, far: np.ndarray) -> np.ndarray:
-        apart = np.zeros(len(self.ids))
-        with np.errstate(invalid="ignore"):
-            for p, d in enumerate(far):
-                np.fmax(apart, np.abs(self.far[p] - d), out=apart)
-        return highest(square, self.square, apart, self.longest_pivot)
+    def bounds(self, own: int, square: float, far: np.ndarray, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the rows that may score ``floor`` or more, and the highest scores they can have.
+
+        Pivots are taken some at a time, and no longer once they exclude less than half of what is left.
+        """
+        live = np.flatnonzero(self.ids != own)
+        apart = np.zeros(len(live))
+        for start in range(0, len(far), PIVOTS_AT_ONCE):
+            with np.errstate(invalid="ignore"):
+                for p in range(start, min(start + PIVOTS_AT_ONCE, len(far))):
+                    np.fmax(apart, np.abs(self.far[p][live] - far[p]), out=apart)
+            top = highest(square, self.square[live], apart, self.longest_pivot)
+            keep = np.ones(len(live), dtype=bool) if floor is None else top >= floor
+            if 2 * keep.sum() > len(live):
+                return live[keep], top[keep]
+            live, apart, top = live[keep], apart[keep], top[keep]
+        return live, top
 
     def search(self, own: int, query: np.ndarray, square: float, far: np.ndarray, k: int, floor: int | None):
         """Places and scores of the ``k`` best rows that score ``floor`` or more."""
-        top = self.bounds(square, far)
-        live = self.ids != own
-        if floor is not None:
-            live &= top >= floor
-        order = np.flatnonzero(live)
-        order = order[np.argsort(-top[order], kind="stable")]
+        order, top = self.bounds(own, square, far, floor)
+        by_bound = np.argsort(-top, kind="stable")
+        order, top = order[by_bound], top[by_bound]
         places, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         at, step = 0, 16 * k
         while at < len(order):
-            if len(scores) == k and top[order[at]] < scores[-1]:
+            if len(scores) == k and top[at] < scores[-1]:
                 break
             some = order[at : at + step]
             places = np.concatenate([places, some])
