@@ -82,33 +82,23 @@ def batch_steps(spark: SparkSession) -> dict[str, Callable[[], None]]:
     moved = history.filter(one_percent("product_id")).withColumn("price", F.col("price") + 1).withColumn(
         "inserted_time", F.lit(feeds.LOADED[2])
     )
-    sales = stored(spark, marts.sales_summary(before), f"{root}/sales")
-    days = stored(
-        spark,
-        marts.mark_new_days(
-            marts.mark_known(marts.customer_days(before), customers),
-            spark.createDataFrame([], "customer_id INT, transaction_date DATE"),
-        ),
-        f"{root}/days",
-    )
-    stats = stored(spark, marts.stats_from_days(days, customers, feeds.AS_OF), f"{root}/stats")
-    by_product = stored(spark, marts.product_sales(before, history), f"{root}/products")
+    sales = stored(spark, marts.sales_state(before), f"{root}/sales")
+
+    def stats_of(tx: DataFrame) -> DataFrame:
+        return marts.customer_state(marts.with_customer(marts.customer_totals(tx), customers), feeds.AS_OF)
+
+    def sold(tx: DataFrame) -> DataFrame:
+        return marts.product_state(marts.with_product(marts.product_days(tx), history))
+
+    stats = stored(spark, stats_of(before), f"{root}/stats")
+    by_product = stored(spark, sold(before), f"{root}/products")
     renamed = customers.filter(one_percent("customer_id")).withColumn("name", F.upper("name"))
     resent = before.filter(one_percent("transaction_id")).unionByName(last)
 
-    def fold_stats() -> None:
-        marked = marts.mark_new_days(marts.mark_known(marts.customer_days(last), customers), days.filter("is_new"))
-        batch = marts.stats_from_days(marked, customers, feeds.AS_OF)
-        consume(marts.fold_customer_stats(stats, batch, feeds.AS_OF).rows)
-
     return {
-        "batch_sales_summary": lambda: consume(
-            marts.fold_sales_summary(sales, marts.sales_summary(last)).rows
-        ),
-        "batch_customer_stats": fold_stats,
-        "batch_product_sales": lambda: consume(
-            marts.fold_product_sales(by_product, marts.product_sales(last, history)).rows
-        ),
+        "batch_sales_summary": lambda: consume(marts.fold_sales(sales, marts.sales_state(last)).rows),
+        "batch_customer_stats": lambda: consume(marts.fold_customers(stats, stats_of(last), feeds.AS_OF).rows),
+        "batch_product_sales": lambda: consume(marts.fold_products(by_product, sold(last)).rows),
         "batch_scd2_1pct": lambda: consume(scd2_merge(history, moved, "product_id").rows),
         "batch_upsert_1pct": lambda: consume(
             upsert(customers, renamed, ["customer_id"], check_unique=False).rows

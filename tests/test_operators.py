@@ -259,10 +259,55 @@ D1, D2 = date(2024, 1, 1), date(2024, 1, 2)
 def test_null_amounts_and_methods(spark, rows):
     first = facts(spark, ("a", 1, 1, 1, None, D1, None, "w", "Completed"))
     second = facts(spark, ("b", 1, 1, None, 2.5, D1, None, "w", "Completed"), ("c", 1, 1, 1, 9.0, D1, None, "w", "Cancelled"))
-    mart = marts.sales_summary(first)
-    assert rows(mart, "total_sales", "total_transactions", "avg_order_value") == [(None, 1, None)]
-    folded = marts.fold_sales_summary(mart, marts.sales_summary(second)).rows
-    assert rows(folded, "total_sales", "total_transactions", "avg_order_value", "total_quantity_sold") == [(2.5, 2, 1.25, 1)]
+    assert rows(marts.sales_summary(first), "total_sales", "total_transactions", "avg_order_value") == [(None, 1, None)]
+    folded = marts.fold_sales(marts.sales_state(first), marts.sales_state(second)).rows.selectExpr(*marts.SALES_SHOWN)
+    # The average is that of the known amounts, as in one batch.
+    assert rows(folded, "total_sales", "total_transactions", "avg_order_value", "total_quantity_sold") == [(2.5, 2, 2.5, 1)]
+    assert rows(folded.drop("last_updated")) == rows(marts.sales_summary(first.union(second)).drop("last_updated"))
+
+
+def _split(items, n):
+    return [items[i::n] for i in range(n)]
+
+
+@pytest.mark.parametrize("batches", [2, 4])
+def test_marts_do_not_depend_on_batches(spark, rows, batches):
+    """Unknown amounts and amounts below a cent, in one batch and in several."""
+    amount = [10.0, None, 20.0, 0.004, 0.004, 0.004, float("nan"), -0.005, 1e20, 0.01]
+    items = [
+        (f"t{i}", 1 + i % 2, 1 + i % 3, None if i % 7 == 0 else i % 5, amount[i % len(amount)],
+         date(2024, 1 + i % 3, 1 + i % 31 % 28), ["c", None][i % 2], "w", "Cancelled" if i % 11 == 0 else "Completed")
+        for i in range(80)
+    ]
+    customers = spark.createDataFrame([(1, "n", "e")], "customer_id INT, name STRING, email STRING")
+    active = spark.createDataFrame(
+        [(1, "n", "b", "c", "Budget"), (2, None, "b", "c", "Budget")],
+        "product_id BIGINT, name STRING, brand STRING, category STRING, price_category STRING")
+
+    def customer(tx):
+        return marts.customer_state(marts.with_customer(marts.customer_totals(tx), customers), D1)
+
+    def product(tx):
+        return marts.product_state(marts.with_product(marts.product_days(tx), active))
+
+    whole = facts(spark, *items)
+    for state, fold, shown, one_shot in (
+        (marts.sales_state, marts.fold_sales, marts.SALES_SHOWN, marts.sales_summary(whole)),
+        (customer, lambda a, b: marts.fold_customers(a, b, D1), marts.CUSTOMERS_SHOWN, marts.customer_stats(whole, customers, D1)),
+        (product, marts.fold_products, marts.PRODUCTS_SHOWN, marts.product_sales(whole, active)),
+    ):
+        folded = None
+        for part in _split(items, batches):
+            batch = state(facts(spark, *part))
+            folded = batch if folded is None else fold(folded, batch).rows
+        assert rows(folded.selectExpr(*shown).drop("last_updated")) == rows(one_shot.drop("last_updated"))
+
+
+def test_averages_of_ten_and_twenty(spark, rows):
+    """10, unknown, 20: 15, however they come."""
+    ten, unknown, twenty = (facts(spark, (i, 1, 1, 1, a, D1, "c", "w", "Completed")) for i, a in (("a", 10.0), ("b", None), ("c", 20.0)))
+    folded = marts.fold_sales(marts.fold_sales(marts.sales_state(ten), marts.sales_state(unknown)).rows, marts.sales_state(twenty)).rows
+    assert rows(folded.selectExpr(*marts.SALES_SHOWN), "avg_order_value", "total_transactions") == [(15.0, 3)]
 
 
 def test_a_day_seen_twice_counts_once(spark, rows):
@@ -270,16 +315,20 @@ def test_a_day_seen_twice_counts_once(spark, rows):
     batches = [facts(spark, ("a", 1, 1, 1, 1.0, D1, "c", "w", "Completed")),
                facts(spark, ("b", 1, 1, 1, 3.0, D1, "c", "w", "Completed"), ("c", 1, 1, 1, 5.0, D2, "c", "w", "Completed"),
                      ("d", 7, 1, 1, 5.0, D2, "c", "w", "Completed"))]
-    known = spark.createDataFrame([], "customer_id INT, transaction_date DATE")
-    mart = None
+    as_of, state = date(2024, 2, 1), None
     for tx in batches:
-        days = marts.mark_new_days(marts.mark_known(marts.customer_days(tx), customers), known)
-        batch = marts.stats_from_days(days, customers, date(2024, 2, 1))
-        mart = batch if mart is None else marts.fold_customer_stats(mart, batch, date(2024, 2, 1)).rows
-        known = known.unionByName(days.filter("is_new").select("customer_id", "transaction_date"))
-    assert rows(mart, "customer_id", "distinct_transaction_dates", "total_transactions", "total_spent", "recency_days") == [
-        (1, 2, 3, 9.0, 30),
-    ]
+        batch = marts.customer_state(marts.with_customer(marts.customer_totals(tx), customers), as_of)
+        state = batch if state is None else marts.fold_customers(state, batch, as_of).rows
+    assert rows(state.selectExpr(*marts.CUSTOMERS_SHOWN), "customer_id", "distinct_transaction_dates", "total_transactions",
+                "total_spent", "recency_days") == [(1, 2, 3, 9.0, 30)]
+
+
+def test_days_of_every_month_and_year(spark, rows):
+    """Bits of the first and last days of months, far apart; a fact without a date has no day."""
+    customers = spark.createDataFrame([(1, "n", "e")], "customer_id INT, name STRING, email STRING")
+    days = [date(1, 1, 1), date(1999, 12, 31), date(2000, 1, 1), date(2000, 1, 31), date(2024, 2, 29), date(9999, 12, 31), None]
+    tx = facts(spark, *[(f"{n}-{d}", 1, 1, 1, 1.0, d, "c", "w", "Completed") for n in range(3) for d in days])
+    assert rows(marts.customer_stats(tx, customers, D1), "distinct_transaction_dates", "total_transactions") == [(6, 21)]
 
 
 def test_cancelled_orders_count_for_products_only(spark, rows):

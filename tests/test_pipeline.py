@@ -2,12 +2,16 @@
 
 import json
 import os
-from datetime import date
+import shutil
+import subprocess
+import sys
+from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from varve.errors import CheckpointLost, CursorMissing, DatabaseMissing, TableLost
-from varve.operators.changes import read_changes
+from varve.errors import CheckpointLost, CursorMissing, DatabaseMissing, NotNullViolated, TableLost
+from varve.operators.changes import read_changes, read_changes_after
 from varve.operators.merge import upsert
 from varve.plans import pipeline
 from varve.plans.marts import customer_stats, product_sales, sales_summary
@@ -165,7 +169,7 @@ def test_two_rounds(spark, two_rounds, rows):
     ]
     # A month the batch does not touch keeps its directory.
     versions = tables.partition_versions(
-        spark, s.table("gold", "product_sales_summary_gd"), "transaction_month",
+        spark, s.table("gold", "product_sales_state"), "transaction_month",
         ["2024-02", "2024-03", "2024-04"],
     )
     assert versions == {"2024-02": 1, "2024-03": 1, "2024-04": 1}
@@ -214,7 +218,8 @@ def test_crash_between_partition_swaps(spark, settings, rows, monkeypatch):
         pipeline.update_product_sales(spark, s)
     monkeypatch.setattr(tables, "path_exists", real)
     mart = s.table("gold", "product_sales_summary_gd")
-    assert tables.partition_values(spark, mart, "transaction_month") == ["2024-02"]
+    state = s.table("gold", "product_sales_state")
+    assert tables.partition_values(spark, state, "transaction_month") == ["2024-02"]
     pipeline.update_product_sales(spark, s)
     expected = product_sales(
         spark.table(s.table("silver", "transactions_si")),
@@ -430,11 +435,13 @@ def test_root_that_looks_like_a_version(spark, settings, rows):
 
 
 def test_lost_table_is_noticed(spark, settings):
+    """Dropped with its files: a stream that went on would never read them again."""
     s = settings
     pipeline.run_setup(spark, s)
     transactions(s, "t.json", ("a", 1, 1, 1, 1.0, "2024-01-01", "card", "web"))
     ingest(spark, TRANSACTIONS, s)
     spark.sql(f"DROP TABLE {s.table('bronze', 'transactions_bz')}")
+    os.rename(f"{s.layer_path('bronze')}/transactions_bz", f"{s.root}/lost")
     pipeline.run_setup(spark, s)
     with pytest.raises(TableLost):
         ingest(spark, TRANSACTIONS, s)
@@ -465,3 +472,175 @@ def test_silver_straight_from_a_stream(spark, settings, rows):
     query.awaitTermination()
     spark.catalog.refreshTable(s.table("silver", "customers_si"))
     assert rows(table(spark, s, "silver", "customers_si"), "customer_id", "days_since_registration") == [(1, 181)]
+
+
+def test_many_versions_in_one_fold(spark, tmp_path, rows, monkeypatch):
+    """Fifty pending versions give the marts that one at a time gives, and are published once."""
+    facts = [
+        (f"t{i}", 1 + i % 3, 1 + i % 2, i % 4, [0.37 * i, None, 0.004][i % 3], f"2024-0{1 + i % 3}-1{i % 5}",
+         ["card", None][i % 2], "web")
+        for i in range(200)
+    ]
+    published, real = [], pipeline.publish_snapshot
+    monkeypatch.setattr(pipeline, "publish_snapshot", lambda spark, table, *a, **k: (published.append(table), real(spark, table, *a, **k)))
+    results = []
+    for tag, runs in (("once", [50]), ("some", [1, 2, 46, 1])):
+        s = tables.Settings(root=str(tmp_path / tag), env=f"fold_{tag}", buckets=2)
+        pipeline.run_setup(spark, s)
+        customers(s, "c.csv", *[f"{i},n{i},m{i},NL,new,2024-01-01,30,f,1" for i in (1, 2)])
+        products(s, "p.json", (1, "pen", 5.0, 4.0, "7"), (2, "ink", 3.0, 3.0, "3"))
+        pipeline.run_bronze(spark, s, ("customers", "products"))
+        pipeline.load_customers(spark, s, AS_OF)
+        pipeline.load_products(spark, s)
+        silver, version = s.table("silver", "transactions_si"), 0
+        cleaned = spark.createDataFrame(
+            [(*f[:5], date.fromisoformat(f[5]), *f[6:], "Completed", datetime(2024, 7, 1), f[5][:7], datetime(2024, 7, 1)) for f in facts],
+            ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.table(silver).schema if f.name != "_commit_version"
+                      and f.name not in ("transaction_month", "_commit_timestamp")) + ", transaction_month STRING, _commit_timestamp TIMESTAMP",
+        )
+        cleaned.withColumn("_commit_version", F.expr("pmod(int(substr(transaction_id, 2)), 50)")).write.partitionBy(
+            "_commit_version", "transaction_month"
+        ).mode("append").parquet(tables.location_of(spark, silver))
+        spark.sql(f"ALTER TABLE {silver} RECOVER PARTITIONS")
+        lost = 0
+        for run in runs:
+            version += run
+            cursors.write_cursor(spark, s.table("silver", "meta_si"), "transactions_si", version - 1)
+            published.clear()
+            folded = pipeline.run_gold(spark, s, AS_OF)
+            lost += folded["customers_stats_gd"][version - 1]
+            gold = [t for t in published if ".sales_summary" in t or ".customers_stats" in t]
+            assert len(gold) == 2
+        meta = spark.table(s.table("silver", "meta_si")).filter("table_name = 'customers_stats_gd'").first()
+        assert meta.last_version == 49 and meta.facts_lost == lost
+        results.append([lost, *[rows(table(spark, s, "gold", g).drop("last_updated")) for g in pipeline.GOLD]])
+    assert results[0] == results[1]
+    assert results[0][0] > 0
+
+
+def test_a_version_that_stands_is_not_written_again(spark, settings, rows):
+    s = settings
+    pipeline.run_setup(spark, s)
+    transactions(s, "t.json", ("a", 1, 1, 1, 1.0, "2024-01-01", "card", "web"))
+    ingest(spark, TRANSACTIONS, s)
+    pipeline.load_transactions(spark, s)
+    silver = s.table("silver", "transactions_si")
+    before = rows(spark.table(silver))
+    # As after a crash between writing and the catalog: the folder is there, the partition is not.
+    spark.sql(f"ALTER TABLE {silver} DROP PARTITION (_commit_version = 0, transaction_month = '2024-01')")
+    cursors.write_cursor(spark, s.table("silver", "meta_si"), "transactions_si", -1)
+    pipeline.load_transactions(spark, s)
+    assert rows(spark.table(silver)) == before
+
+
+def test_changes_after_a_time(spark, settings, rows):
+    s = settings
+    pipeline.run_setup(spark, s)
+    silver = s.table("silver", "transactions_si")
+    for v in range(6):
+        # Version 3 brings no row.
+        transactions(s, f"t{v}.json", (f"t{v}", None if v == 3 else 1, 1, 1, 1.0, "2024-01-01", "card", "web"))
+        ingest(spark, TRANSACTIONS, s)
+        batch = table(spark, s, "bronze", "transactions_bz").filter(f"batch_id = {v}")
+        pipeline.apply_transactions(spark, s, batch, v, F.lit(datetime(2024, 1, 1 + v)))
+    for time, first in ((datetime(2023, 1, 1), 0), (datetime(2024, 1, 1), 1), (datetime(2024, 1, 2, 12), 2), (datetime(2024, 1, 3), 4),
+                        (datetime(2024, 1, 4), 4), (datetime(2024, 1, 6), 6), (datetime(2025, 1, 1), 6)):
+        got = rows(read_changes_after(spark, silver, time), "transaction_id", "_change_type")
+        assert got == [(f"t{v}", "insert") for v in range(first, 6) if v != 3]
+
+
+def test_null_counts_are_refused(spark, settings, rows):
+    """A NOT NULL column is checked by the job that writes; the table keeps what it had."""
+    s = settings
+    pipeline.run_setup(spark, s)
+    state = s.table("gold", "sales_summary_state")
+    good = spark.createDataFrame([(date(2024, 1, 1), "w", "c", None, 0, 3, 1, None)], spark.table(state).schema)
+    tables.publish_snapshot(spark, state, good, 0, not_null=["total_transactions"])
+    with pytest.raises(NotNullViolated) as refused:
+        tables.publish_snapshot(spark, state, good.withColumn("total_transactions", F.lit(None).cast("bigint")), 1,
+                                not_null=["total_transactions"])
+    assert refused.value.count == 1
+    assert tables.snapshot_version(spark, state) == 0
+    assert rows(spark.table(state), "total_transactions") == [(3,)]
+
+
+FIRST_PROCESS = """
+import sys
+sys.path[:0] = [{repo!r}, {tests!r}]
+from varve.session import build_session
+from varve.sources.tables import Settings
+from varve.plans import pipeline
+import test_pipeline as t
+spark = build_session("first", master="local[2]", extra={{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+    "spark.sql.warehouse.dir": {root!r} + "/warehouse"}})
+s = Settings(root={root!r}, env="two_processes", buckets=4)
+pipeline.run_setup(spark, s)
+t.first_round(s)
+t.run_all(spark, s)
+spark.stop()
+"""
+
+
+def test_two_processes_equal_one(spark, two_rounds, tmp_path, rows):
+    """The first process ends with its catalog; the second finds tables, versions and cursors in the folders."""
+    tests = os.path.dirname(os.path.abspath(__file__))
+    program = FIRST_PROCESS.format(repo=os.path.dirname(tests), tests=tests, root=str(tmp_path))
+    done = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    s = Settings(root=str(tmp_path), env="two_processes", buckets=4)
+    pipeline.run_setup(spark, s)
+    assert cursors.read_cursor(spark, s.table("silver", "meta_si"), "customers_stats_gd") == 0
+    assert table(spark, s, "gold", "customers_stats_gd").count() > 0
+    second_round(s)
+    run_all(spark, s)
+    whole, _ = two_rounds
+    stamps = ("last_updated", "inserted_time", "source_modified", "start_date", "end_date", "_commit_timestamp", "last_inserted_time")
+    for layer, names in (("bronze", ["customers_bz", "products_bz", "transactions_bz"]),
+                         ("silver", ["customers_si", "products_si", "transactions_si", "customers_si_changes", "meta_si"]),
+                         ("gold", list(pipeline.GOLD))):
+        for name in names:
+            assert rows(table(spark, s, layer, name).drop(*stamps)) == rows(table(spark, whole, layer, name).drop(*stamps)), name
+
+
+def test_recovery_leaves_out_what_was_cut_off(spark, settings, rows):
+    """A version without its end mark is no partition; the newest complete snapshot is the table."""
+    s = settings
+    pipeline.run_setup(spark, s)
+    first_round(s)
+    run_all(spark, s)
+    second_round(s)
+    run_all(spark, s)
+    names = [("silver", "transactions_si"), ("silver", "customers_si"), ("gold", "product_sales_state")]
+    before = {n: rows(table(spark, s, *n)) for n in names}
+    facts = f"{s.layer_path('silver')}/transactions_si"
+    shutil.copytree(f"{facts}/_commit_version=1", f"{facts}/_commit_version=2", ignore=shutil.ignore_patterns("_SUCCESS"))
+    snapshot = f"{s.layer_path('silver')}/customers_si"
+    shutil.copytree(f"{snapshot}/v0", f"{snapshot}/v7", ignore=shutil.ignore_patterns("_SUCCESS"))
+    for layer in ("bronze", "silver", "gold"):
+        for t in spark.catalog.listTables(s.database(layer)):
+            kind = "VIEW" if t.tableType == "VIEW" else "TABLE"
+            if t.namespace:
+                spark.sql(f"DROP {kind} {s.table(layer, t.name)}")
+    pipeline.run_setup(spark, s)
+    assert {n: rows(table(spark, s, *n)) for n in names} == before
+    assert run_all(spark, s)["sales_summary_gd"] == {}
+
+
+def test_lost_table_is_noticed_after_commits_are_purged(spark, settings):
+    """Streams keep their last commits only: any of them tells that files were consumed."""
+    s = settings
+    pipeline.run_setup(spark, s)
+    spark.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
+    try:
+        for i in range(5):
+            customers(s, f"c{i}.csv", f"{i},Ann,ann@x,NL,new,2024-01-01,18,f,1")
+        ingest(spark, CUSTOMERS, s, max_files=1)
+    finally:
+        spark.conf.unset("spark.sql.streaming.minBatchesToRetain")
+    assert not os.path.exists(f"{s.checkpoint_path('customers')}/commits/0")
+    bronze = s.table("bronze", "customers_bz")
+    spark.sql(f"DROP TABLE {bronze}")
+    os.rename(f"{s.layer_path('bronze')}/customers_bz", f"{s.root}/lost")
+    pipeline.run_setup(spark, s)
+    with pytest.raises(TableLost):
+        ingest(spark, CUSTOMERS, s)

@@ -37,3 +37,11 @@ class TableLost(RuntimeError):
             "read again; recover the table's partitions or start a fresh checkpoint"
         )
         self.table = table
+
+
+class NotNullViolated(ValueError):
+    """Rows about to be published hold nulls in a column that must not have any."""
+
+    def __init__(self, table: str, column: str, count: int):
+        super().__init__(f"{count} rows for {table} have no {column}; the table keeps its previous contents")
+        self.table, self.column, self.count = table, column, count

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AMOUNT = "decimal(28,4)"
+# Sums of amounts, as they are stored: one digit is left for an addition.
+SUM = "decimal(37,4)"
 
 
 def _known(amount: Column | str) -> Column:
@@ -20,9 +22,19 @@ def _known(amount: Column | str) -> Column:
     return c.try_cast(AMOUNT)
 
 
+def exact_total(amount: Column | str) -> Column:
+    """Sum of an amount column, not rounded: what is stored and added up; null when no amount is known."""
+    return F.sum(_known(amount)).cast(SUM)
+
+
+def shown(sum_: Column) -> Column:
+    """An exact sum rounded half-up to cents, for readers."""
+    return F.round(sum_, 2).cast("double")
+
+
 def total(amount: Column | str) -> Column:
     """Sum of an amount column rounded half-up to cents; null when no amount is known."""
-    return F.round(F.sum(_known(amount)), 2).cast("double")
+    return shown(F.sum(_known(amount)))
 
 
 def amounts(amount: Column | str) -> Column:
@@ -35,9 +47,9 @@ def add(a: Column, b: Column) -> Column:
     return F.coalesce(a + b, a, b)
 
 
-def add_money(a: Column, b: Column) -> Column:
-    """``add`` for totals in cents; rounding removes the binary noise of the addition."""
-    return F.round(add(a, b), 2)
+def add_exact(a: Column, b: Column) -> Column:
+    """``add`` for exact sums; the addition of two decimals is one digit wider, the result is not."""
+    return F.coalesce((a + b).cast(SUM), a, b)
 
 
 def mean(total_: Column, n: Column) -> Column:

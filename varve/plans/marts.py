@@ -1,8 +1,17 @@
-"""The three marts: how to compute each from facts, and how to fold a new batch into it.
+"""The three marts: their exact state, how a batch folds into it, and what readers see of it.
 
-Facts are aggregated to their join key before they meet a dimension.  Both dimensions have
-one row per key, so the result is the same, the join input shrinks to one row per key (and
-day), and a customer or product holding a third of all facts is already folded map-side.
+A state holds what adds up without loss: unrounded sums, how many amounts they hold, and the days
+of a customer as bits.  Folding states is associative, so a mart does not depend on how its facts
+came in batches; totals in cents, averages and counts of days are derived from the state where it
+is read (``*_SHOWN``, also the text of the published views).
+
+Facts are aggregated to their join key before they meet a dimension.  Both dimensions have one
+row per key, so the result is the same, the join input shrinks to one row per key (and day), and
+a customer or product holding a third of all facts is already folded map-side.
+
+Days are kept as one 31-bit mask for each month a customer bought in.  A ``bitmap_construct_agg``
+bitmap is 4,096 bytes for every customer, however few days it has, also in the hash tables and
+shuffles of the aggregation; the masks are 8 bytes a month.
 """
 
 from __future__ import annotations
@@ -13,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varve.functions import days_since
-from varve.functions.money import add, add_money, amounts, mean, total
+from varve.functions.money import add, add_exact, amounts, exact_total
 from varve.functions.rules import CANCELLED
 from varve.operators.merge import MergeResult, additive_merge, new, old
 
@@ -21,6 +30,21 @@ SALES_KEYS = ("transaction_date", "store_type", "payment_method")
 CUSTOMER_KEYS = ("customer_id",)
 PRODUCT_KEYS = ("product_id", "name", "brand", "category", "price_category", "transaction_date")
 
+_TOTAL = "CAST(round(spent, 2) AS DOUBLE)"
+# Whole cents by a whole count is one correctly rounded division; null where no amount is known.
+_MEAN = f"round(try_divide(rint({_TOTAL} * 100), amounts * 100), 2)"
+_DAYS = "aggregate(map_values(order_days), 0, (n, days) -> n + bit_count(days))"
+
+SALES_SHOWN = (
+    *SALES_KEYS, f"{_TOTAL} AS total_sales", "total_transactions", f"{_MEAN} AS avg_order_value",
+    "total_quantity_sold", "last_updated",
+)
+CUSTOMERS_SHOWN = (
+    "customer_id", "name", "email", "first_order_date", "last_order_date", f"{_DAYS} AS distinct_transaction_dates",
+    "total_transactions", f"{_MEAN} AS avg_order_value", f"{_TOTAL} AS total_spent", "recency_days", "last_updated",
+)
+PRODUCTS_SHOWN = (*PRODUCT_KEYS, "total_quantity_sold", f"{_TOTAL} AS total_revenue", "num_transactions", "last_updated")
+
 
 def _now(stamp: Column | None) -> Column:
     return F.current_timestamp() if stamp is None else stamp
@@ -34,32 +58,29 @@ def counted(tx: DataFrame) -> DataFrame:
 # Sales by day, store type and payment method ------------------------------------------------
 
 
-def sales_summary(tx: DataFrame, stamp: Column | None = None) -> DataFrame:
-    spent = total("total_amount")
+def sales_state(tx: DataFrame, stamp: Column | None = None) -> DataFrame:
     return (
         counted(tx)
         .groupBy(*SALES_KEYS)
         .agg(
-            spent.alias("total_sales"),
+            exact_total("total_amount").alias("spent"),
+            amounts("total_amount").alias("amounts"),
             F.count("transaction_id").alias("total_transactions"),
-            mean(spent, amounts("total_amount")).alias("avg_order_value"),
             F.sum("quantity").alias("total_quantity_sold"),
         )
         .withColumn("last_updated", _now(stamp))
     )
 
 
-def fold_sales_summary(mart: DataFrame, batch: DataFrame) -> MergeResult:
-    sales = add_money(old("total_sales"), new("total_sales"))
-    orders = old("total_transactions") + new("total_transactions")
+def fold_sales(state: DataFrame, batch: DataFrame) -> MergeResult:
     return additive_merge(
-        mart,
+        state,
         batch,
         SALES_KEYS,
         {
-            "total_sales": sales,
-            "total_transactions": orders,
-            "avg_order_value": mean(sales, orders),
+            "spent": add_exact(old("spent"), new("spent")),
+            "amounts": old("amounts") + new("amounts"),
+            "total_transactions": old("total_transactions") + new("total_transactions"),
             "total_quantity_sold": add(old("total_quantity_sold"), new("total_quantity_sold")),
             "last_updated": new("last_updated"),
         },
@@ -67,105 +88,74 @@ def fold_sales_summary(mart: DataFrame, batch: DataFrame) -> MergeResult:
     )
 
 
+def sales_summary(tx: DataFrame, stamp: Column | None = None) -> DataFrame:
+    return sales_state(tx, stamp).selectExpr(*SALES_SHOWN)
+
+
 # Statistics per customer --------------------------------------------------------------------
 
 
-def customer_days(tx: DataFrame) -> DataFrame:
-    """Counted facts per customer and day: the grain at which distinct days add up."""
-    return (
+def customer_totals(tx: DataFrame) -> DataFrame:
+    """Counted facts per customer, known or not; days as bits."""
+    day = F.col("transaction_date")
+    per_month = (
         counted(tx)
-        .groupBy("customer_id", "transaction_date")
+        .groupBy("customer_id", (F.year(day) * 12 + F.month(day)).alias("month"))
         .agg(
-            F.count("transaction_id").alias("transactions"),
+            F.bit_or(F.expr("shiftleft(1, day(transaction_date) - 1)")).alias("days"),
+            F.min(day).alias("first_order_date"),
+            F.max(day).alias("last_order_date"),
+            F.count("transaction_id").alias("total_transactions"),
+            exact_total("total_amount").alias("spent"),
             amounts("total_amount").alias("amounts"),
-            total("total_amount").alias("spent"),
         )
     )
-
-
-def mark_known(days: DataFrame, customers: DataFrame) -> DataFrame:
-    """Add ``is_known``: the customer exists when the batch is processed."""
-    ids = customers.select("customer_id", F.lit(True).alias("_hit"))
-    return (
-        days.join(ids, "customer_id", "left_outer")
-        .withColumn("is_known", F.col("_hit").isNotNull())
-        .drop("_hit")
-    )
-
-
-def mark_new_days(days: DataFrame, known: DataFrame) -> DataFrame:
-    """Add ``is_new``: a known customer has no such day among the ``known`` (distinct) ones."""
-    seen = known.select("customer_id", "transaction_date", F.lit(True).alias("_seen"))
-    return (
-        days.join(seen, ["customer_id", "transaction_date"], "left_outer")
-        .withColumn("is_new", F.col("is_known") & F.col("_seen").isNull())
-        .drop("_seen")
-    )
-
-
-def stats_from_days(
-    days: DataFrame, customers: DataFrame, as_of: Column | date | None = None, stamp: Column | None = None
-) -> DataFrame:
-    """Statistics per known customer from marked customer days."""
-    spent = F.round(F.sum("spent"), 2)
-    per_customer = days.groupBy("customer_id").agg(
-        F.min("transaction_date").alias("first_order_date"),
-        F.max("transaction_date").alias("last_order_date"),
-        F.count_if("is_new").cast("int").alias("distinct_transaction_dates"),
-        F.sum("transactions").alias("total_transactions"),
-        mean(spent, F.sum("amounts")).alias("avg_order_value"),
-        spent.alias("total_spent"),
+    masks = F.collect_list(F.when(F.col("month").isNotNull(), F.struct("month", "days")))
+    return per_month.groupBy("customer_id").agg(
+        F.min("first_order_date").alias("first_order_date"),
+        F.max("last_order_date").alias("last_order_date"),
+        F.map_from_entries(masks).alias("order_days"),
+        F.sum("total_transactions").alias("total_transactions"),
+        F.sum("spent").cast("decimal(37,4)").alias("spent"),
+        F.sum("amounts").alias("amounts"),
     )
-    return _with_customer(per_customer, customers, as_of, stamp)
 
 
-def customer_stats(
-    tx: DataFrame, customers: DataFrame, as_of: Column | date | None = None, stamp: Column | None = None
-) -> DataFrame:
-    spent = total("total_amount")
-    per_customer = (
-        counted(tx)
-        .groupBy("customer_id")
-        .agg(
-            F.min("transaction_date").alias("first_order_date"),
-            F.max("transaction_date").alias("last_order_date"),
-            F.countDistinct("transaction_date").cast("int").alias("distinct_transaction_dates"),
-            F.count("transaction_id").alias("total_transactions"),
-            mean(spent, amounts("total_amount")).alias("avg_order_value"),
-            spent.alias("total_spent"),
-        )
-    )
-    return _with_customer(per_customer, customers, as_of, stamp)
+def with_customer(totals: DataFrame, customers: DataFrame, how: str = "inner") -> DataFrame:
+    """Totals with name and e-mail; ``how="left"`` keeps those of unknown customers, marked by ``is_known``."""
+    named = customers.select("customer_id", "name", "email", F.lit(True).alias("_known"))
+    joined = totals.join(named, "customer_id", how)
+    return joined.withColumn("is_known", F.col("_known").isNotNull()).drop("_known")
 
 
-def _with_customer(
-    per_customer: DataFrame, customers: DataFrame, as_of: Column | date | None, stamp: Column | None
+def customer_state(
+    totals: DataFrame, as_of: Column | date | None = None, stamp: Column | None = None
 ) -> DataFrame:
-    named = per_customer.join(customers.select("customer_id", "name", "email"), "customer_id")
-    return named.select(
+    """The state of known customers' totals (see :func:`with_customer`)."""
+    return totals.filter("is_known").select(
         "customer_id",
         "name",
         "email",
         "first_order_date",
         "last_order_date",
-        "distinct_transaction_dates",
+        "order_days",
         "total_transactions",
-        "avg_order_value",
-        "total_spent",
+        "spent",
+        "amounts",
         days_since("last_order_date", as_of).alias("recency_days"),
         _now(stamp).alias("last_updated"),
     )
 
 
-def fold_customer_stats(
-    mart: DataFrame, batch: DataFrame, as_of: Column | date | None = None
+def fold_customers(
+    state: DataFrame, batch: DataFrame, as_of: Column | date | None = None
 ) -> MergeResult:
-    """``batch.distinct_transaction_dates`` must count new days only (see mark_new_days)."""
     last = F.greatest(old("last_order_date"), new("last_order_date"))
-    spent = add_money(old("total_spent"), new("total_spent"))
-    orders = old("total_transactions") + new("total_transactions")
+    days = F.map_zip_with(
+        old("order_days"), new("order_days"), lambda _, a, b: F.coalesce(a.bitwiseOR(b), a, b)
+    )
     return additive_merge(
-        mart,
+        state,
         batch,
         CUSTOMER_KEYS,
         {
@@ -173,11 +163,10 @@ def fold_customer_stats(
             "email": new("email"),
             "first_order_date": F.least(old("first_order_date"), new("first_order_date")),
             "last_order_date": last,
-            "distinct_transaction_dates": old("distinct_transaction_dates")
-            + new("distinct_transaction_dates"),
-            "total_transactions": orders,
-            "avg_order_value": mean(spent, orders),
-            "total_spent": spent,
+            "order_days": days,
+            "total_transactions": old("total_transactions") + new("total_transactions"),
+            "spent": add_exact(old("spent"), new("spent")),
+            "amounts": old("amounts") + new("amounts"),
             "recency_days": days_since(last, as_of),
             "last_updated": new("last_updated"),
         },
@@ -186,50 +175,58 @@ def fold_customer_stats(
     )
 
 
+def customer_stats(
+    tx: DataFrame, customers: DataFrame, as_of: Column | date | None = None, stamp: Column | None = None
+) -> DataFrame:
+    known = with_customer(customer_totals(tx), customers)
+    return customer_state(known, as_of, stamp).selectExpr(*CUSTOMERS_SHOWN)
+
+
 # Sales per product and day ------------------------------------------------------------------
 
 
 def product_days(tx: DataFrame) -> DataFrame:
     """All facts, cancelled ones included, per product and day."""
-    return tx.groupBy("product_id", "transaction_date").agg(
+    days = tx.groupBy("product_id", "transaction_date").agg(
         F.sum("quantity").alias("total_quantity_sold"),
-        total("total_amount").alias("total_revenue"),
+        exact_total("total_amount").alias("spent"),
         F.count("*").alias("num_transactions"),
     )
+    return days.withColumn("product_id", F.col("product_id").cast("bigint"))
 
 
-def product_sales_from_days(
-    days: DataFrame, active_products: DataFrame, stamp: Column | None = None
-) -> DataFrame:
-    named = days.withColumn("product_id", F.col("product_id").cast("bigint")).join(
-        active_products.select("product_id", "name", "brand", "category", "price_category"),
-        "product_id",
-    )
-    return named.select(
-        *PRODUCT_KEYS,
-        "total_quantity_sold",
-        "total_revenue",
-        "num_transactions",
-        _now(stamp).alias("last_updated"),
+def with_product(days: DataFrame, active_products: DataFrame, how: str = "inner") -> DataFrame:
+    """Days with the active product's columns; ``how="left"`` keeps those of unknown products, marked by ``is_known``."""
+    named = active_products.select(
+        "product_id", "name", "brand", "category", "price_category", F.lit(True).alias("_known")
     )
+    joined = days.join(named, "product_id", how)
+    return joined.withColumn("is_known", F.col("_known").isNotNull()).drop("_known")
 
 
-def product_sales(
-    tx: DataFrame, active_products: DataFrame, stamp: Column | None = None
-) -> DataFrame:
-    return product_sales_from_days(product_days(tx), active_products, stamp)
+def product_state(days: DataFrame, stamp: Column | None = None) -> DataFrame:
+    return days.filter("is_known").select(
+        *PRODUCT_KEYS, "total_quantity_sold", "spent", "num_transactions", _now(stamp).alias("last_updated")
+    )
 
 
-def fold_product_sales(mart: DataFrame, batch: DataFrame) -> MergeResult:
+def fold_products(state: DataFrame, batch: DataFrame) -> MergeResult:
     return additive_merge(
-        mart,
+        state,
         batch,
         PRODUCT_KEYS,
         {
             "total_quantity_sold": add(old("total_quantity_sold"), new("total_quantity_sold")),
-            "total_revenue": add_money(old("total_revenue"), new("total_revenue")),
+            "spent": add_exact(old("spent"), new("spent")),
             "num_transactions": old("num_transactions") + new("num_transactions"),
             "last_updated": new("last_updated"),
         },
         check_unique=False,
     )
+
+
+def product_sales(
+    tx: DataFrame, active_products: DataFrame, stamp: Column | None = None
+) -> DataFrame:
+    known = with_product(product_days(tx), active_products)
+    return product_state(known, stamp).selectExpr(*PRODUCTS_SHOWN)

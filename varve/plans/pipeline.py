@@ -1,15 +1,19 @@
 """The layered pipeline: setup, files to bronze, bronze to silver, silver to gold.
 
-Batches are applied one version at a time and in order, so results do not depend on how runs
-were grouped.  Every step can be repeated after a crash: see ``varve.sources.tables``.
+Silver applies batches one version at a time and in order.  Gold folds all facts it has not seen
+in one pass, whatever the number of versions they came in, with the dimensions as they are then;
+states add up without loss (``varve.plans.marts``), so with the same dimensions results do not
+depend on how runs were grouped.  Every step can be repeated after a crash: see
+``varve.sources.tables``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from varve import schemas
@@ -19,7 +23,7 @@ from varve.operators.merge import insert_only, upsert
 from varve.operators.scd2 import active_after, scd2_changes
 from varve.plans import marts
 from varve.plans.clean import clean_customers, clean_products, clean_transactions
-from varve.sources.cursors import START, read_cursor, seed_cursors, write_cursor
+from varve.sources.cursors import read_cursor, seed_cursors, write_cursor
 from varve.sources.feeds import FEEDS
 from varve.sources.tables import (
     BATCH,
@@ -31,11 +35,14 @@ from varve.sources.tables import (
     create_change_table,
     create_database,
     create_snapshot_table,
+    location_of,
     partition_values,
     partition_versions,
     publish_partitions,
     publish_snapshot,
     snapshot_version,
+    values_of_versions,
+    version_stands,
 )
 from varve.streaming.ingest import ingest
 
@@ -77,22 +84,26 @@ def run_setup(spark: SparkSession, settings: Settings) -> None:
         create_change_table(spark, table, ddl, path)
     table, path = at("silver", "transactions_si")
     create_append_table(
-        spark, table, schemas.TRANSACTIONS_SI, path, f"{VERSION} BIGINT, {MONTH} STRING"
+        spark, table, f"{schemas.TRANSACTIONS_SI}, {COMMITTED} TIMESTAMP", path, f"{VERSION} BIGINT, {MONTH} STRING"
     )
     _publish_history_view(spark, settings)
 
-    for name, ddl, key in (
-        ("sales_summary_gd", schemas.SALES_SUMMARY_GD, None),
-        ("customers_stats_gd", schemas.CUSTOMERS_STATS_GD, "customer_id"),
+    for name, ddl, key, month in (
+        ("sales_summary_state", schemas.SALES_STATE, None, None),
+        ("customers_stats_state", schemas.CUSTOMERS_STATE, "customer_id", None),
+        ("product_sales_state", schemas.PRODUCT_STATE, None, f"{MONTH} STRING"),
     ):
         table, path = at("gold", name)
-        create_snapshot_table(spark, table, ddl, path, key=key, buckets=settings.buckets)
-    table, path = at("gold", "product_sales_summary_gd")
-    create_snapshot_table(spark, table, schemas.PRODUCT_SALES_GD, path, f"{MONTH} STRING")
-    table, path = at("gold", "customer_days_gd")
-    create_append_table(
-        spark, table, schemas.CUSTOMER_DAYS_GD, path, f"{VERSION} BIGINT, {MONTH} STRING"
-    )
+        create_snapshot_table(spark, table, ddl, path, month, key, settings.buckets)
+    for name, state, shown in (
+        ("sales_summary_gd", "sales_summary_state", marts.SALES_SHOWN),
+        ("customers_stats_gd", "customers_stats_state", marts.CUSTOMERS_SHOWN),
+        ("product_sales_summary_gd", "product_sales_state", (*marts.PRODUCTS_SHOWN, MONTH)),
+    ):
+        spark.sql(
+            f"CREATE OR REPLACE VIEW {settings.table('gold', name)} AS "
+            f"SELECT {', '.join(shown)} FROM {settings.table('gold', state)}"
+        )
 
     seed_cursors(spark, settings.table("silver", "meta_si"), [*SILVER, *GOLD])
 
@@ -153,18 +164,26 @@ def apply_products(
 
 
 def apply_transactions(
-    spark: SparkSession, settings: Settings, batch: DataFrame, version: int
+    spark: SparkSession,
+    settings: Settings,
+    batch: DataFrame,
+    version: int,
+    committed: Column | None = None,
 ) -> None:
     """Append the facts of one bronze batch that are not there yet.
 
     Only the keys of earlier facts in the months of this batch are read; ``batch`` must be read
-    from its bronze partition for that.
+    from its bronze partition for that.  ``committed`` is when the version counts as committed,
+    now if not given.  A version that stands is not written again.
     """
     table = settings.table("silver", "transactions_si")
+    if version_stands(spark, table, version, then_by=MONTH):
+        return
     keys = ["transaction_id", "transaction_date"]
     earlier = facts_of_months(spark.table(table).filter(F.col(VERSION) < version), batch)
     facts = insert_only(earlier, clean_transactions(batch), keys)
     facts = facts.withColumn(MONTH, month_of("transaction_date"))
+    facts = facts.withColumn(COMMITTED, F.current_timestamp() if committed is None else committed)
     append_version(spark, table, facts, version, then_by=MONTH)
 
 
@@ -246,97 +265,127 @@ def run_silver(spark: SparkSession, settings: Settings, as_of: Column | date | N
 # Gold ---------------------------------------------------------------------------------------
 
 
-def apply_sales_summary(
-    spark: SparkSession, settings: Settings, tx: DataFrame, version: int
-) -> int:
-    """Fold one version of facts into the sales summary; nothing is lost on the way."""
-    table = settings.table("gold", "sales_summary_gd")
-    if snapshot_version(spark, table) < version:
-        folded = marts.fold_sales_summary(spark.table(table), marts.sales_summary(tx))
-        publish_snapshot(spark, table, folded.rows, version, sort_by=marts.SALES_KEYS)
+def apply_sales_summary(spark: SparkSession, settings: Settings, since: int, until: int) -> int:
+    """Fold the facts of versions in ``(since, until]`` into the sales summary; nothing is lost on the way."""
+    table = settings.table("gold", "sales_summary_state")
+    since = max(since, snapshot_version(spark, table))
+    if since < until:
+        batch = marts.sales_state(_facts(spark, settings, since, until))
+        folded = marts.fold_sales(spark.table(table), batch)
+        publish_snapshot(
+            spark, table, folded.rows, until, sort_by=marts.SALES_KEYS, not_null=["total_transactions"]
+        )
     return 0
 
 
 def apply_customer_stats(
     spark: SparkSession,
     settings: Settings,
-    tx: DataFrame,
-    version: int,
+    since: int,
+    until: int,
     as_of: Column | date | None = None,
 ) -> int:
-    """Fold one version of facts into the customer statistics.
+    """Fold the facts of versions in ``(since, until]`` into the customer statistics.
 
-    The batch's customer days are written first, marked as new or seen before (only earlier
-    days of the same months are read); the mart's day count then simply adds up.  Days of
-    unknown customers are kept apart in the same table; returns how many transactions they hold.
+    Returns how many counted facts have a customer that is not known (yet); the job that folds
+    the others counts them.
     """
-    table = settings.table("gold", "customers_stats_gd")
-    helper = settings.table("gold", "customer_days_gd")
+    table = settings.table("gold", "customers_stats_state")
     customers = spark.table(settings.table("silver", "customers_si"))
-    if snapshot_version(spark, table) < version:
-        facts = settings.table("silver", "transactions_si")
-        months = partition_values(spark, facts, MONTH, {VERSION: version})
-        earlier = spark.table(helper).filter(
-            (F.col(VERSION) < version) & F.col(MONTH).isin(months) & F.col("is_new")
-        )
-        days = marts.mark_known(marts.customer_days(tx), customers)
-        marked = marts.mark_new_days(days, earlier).withColumn(MONTH, month_of("transaction_date"))
-        append_version(spark, helper, marked, version, then_by=MONTH)
-        written = spark.table(helper).filter((F.col(VERSION) == version) & F.col("is_known"))
-        batch = marts.stats_from_days(written, customers, as_of)
-        folded = marts.fold_customer_stats(spark.table(table), batch, as_of)
-        publish_snapshot(spark, table, folded.rows, version)
-    lost = spark.table(helper).filter((F.col(VERSION) == version) & ~F.col("is_known"))
-    return lost.agg(F.sum("transactions")).first()[0] or 0
-
-
-def apply_product_sales(
-    spark: SparkSession, settings: Settings, tx: DataFrame, version: int
-) -> int:
-    """Fold one version of facts into product sales, rewriting only the months it touches.
+    start = max(since, snapshot_version(spark, table))
+    lost = 0
+    if start < until:
+        totals = marts.customer_totals(_facts(spark, settings, start, until))
+        marked, seen = _observed(marts.with_customer(totals, customers, "left"), "total_transactions")
+        folded = marts.fold_customers(spark.table(table), marts.customer_state(marked, as_of), as_of)
+        publish_snapshot(spark, table, folded.rows, until)
+        lost = seen.get["lost"] or 0
+    if since < start:
+        # Folded by a run that ended before its cursor moved, so its count is gone.
+        totals = marts.customer_totals(_facts(spark, settings, since, min(start, until)))
+        lost += _lost(marts.with_customer(totals, customers, "left"), "total_transactions")
+    return lost
+
 
-    Returns the number of transactions whose product is not known.
+def apply_product_sales(spark: SparkSession, settings: Settings, since: int, until: int) -> int:
+    """Fold the facts of versions in ``(since, until]`` into product sales, rewriting only the months they touch.
+
+    A month that a run cut off has folded already goes on from the version its folder names.
+    Returns the number of facts whose product is not known.
     """
-    table = settings.table("gold", "product_sales_summary_gd")
-    facts = settings.table("silver", "transactions_si")
+    table = settings.table("gold", "product_sales_state")
     active = spark.table(settings.table("silver", "products_si_active"))
-    touched = partition_values(spark, facts, MONTH, {VERSION: version})
-    applied = partition_versions(spark, table, MONTH, touched)
-    months = [m for m in touched if applied.get(m, START) < version]
-    if months:
-        batch = marts.product_sales(tx.filter(F.col(MONTH).isin(months)), active)
+    touched = _touched_months(spark, settings, since, until)
+    applied = {m: max(v, since) for m, v in partition_versions(spark, table, MONTH, touched).items()}
+    starts: dict[int, list[str]] = {}
+    for month in touched:
+        starts.setdefault(applied.get(month, since), []).append(month)
+    facts, lost = _facts(spark, settings, since, until), 0
+    pending = [(start, months) for start, months in starts.items() if start < until]
+    if pending:
+        months = sorted(m for _, some in pending for m in some)
+        due = reduce(lambda a, b: a | b, [F.col(MONTH).isin(some) & (F.col(VERSION) > start) for start, some in pending])
+        days = marts.product_days(facts.filter(due))
+        marked, seen = _observed(marts.with_product(days, active, "left"), "num_transactions")
         mart = spark.table(table).filter(F.col(MONTH).isin(months)).drop(MONTH)
-        rows = marts.fold_product_sales(mart, batch).rows
+        rows = marts.fold_products(mart, marts.product_state(marked)).rows
         publish_partitions(
             spark,
             table,
             rows.withColumn(MONTH, month_of("transaction_date")),
-            version,
+            until,
             MONTH,
             months,
             sort_by=marts.PRODUCT_KEYS[:1],
         )
-    sold = tx.groupBy("product_id").agg(F.count("*").alias("n"))
-    unknown = sold.join(active.select("product_id"), "product_id", "left_anti")
-    return unknown.agg(F.sum("n")).first()[0] or 0
+        lost = seen.get["lost"] or 0
+    gone = [F.col(MONTH).isin(some) & (F.col(VERSION) <= start) for start, some in starts.items() if start > since]
+    if gone:
+        days = marts.product_days(facts.filter(reduce(lambda a, b: a | b, gone)))
+        lost += _lost(marts.with_product(days, active, "left"), "num_transactions")
+    return lost
+
+
+def _facts(spark: SparkSession, settings: Settings, since: int, until: int) -> DataFrame:
+    return read_changes(spark, settings.table("silver", "transactions_si"), since, until)
+
+
+def _touched_months(spark: SparkSession, settings: Settings, since: int, until: int) -> list[str]:
+    """Months of the facts of versions in ``(since, until]``, from the folders of those versions alone."""
+    location = location_of(spark, settings.table("silver", "transactions_si"))
+    found = values_of_versions(spark, location, range(since + 1, until + 1), MONTH)
+    return sorted({month for months in found.values() for month in months})
+
+
+def _lost_count(marked_column: str) -> Column:
+    return F.sum(F.when(~F.col("is_known"), F.col(marked_column))).alias("lost")
+
+
+def _observed(marked: DataFrame, counts: str) -> tuple[DataFrame, Observation]:
+    """Count, in the job that uses ``marked``, the facts without a known dimension row."""
+    seen = Observation()
+    return marked.observe(seen, _lost_count(counts)), seen
+
+
+def _lost(marked: DataFrame, counts: str) -> int:
+    return marked.agg(_lost_count(counts)).first()["lost"] or 0
 
 
 def _update_gold(
     spark: SparkSession,
     settings: Settings,
     name: str,
-    apply: Callable[[DataFrame, int], int],
+    apply: Callable[[int, int], int],
 ) -> dict[int, int]:
     meta = settings.table("silver", "meta_si")
-    facts = settings.table("silver", "transactions_si")
     done, ready = read_cursor(spark, meta, name), read_cursor(spark, meta, "transactions_si")
+    if ready <= done:
+        return {}
     lost = {}
-    for version in range(done + 1, ready + 1):
-        # The catalog knows whether the version brought any facts; if not, there is no job.
-        if partition_values(spark, facts, MONTH, {VERSION: version}):
-            lost[version] = apply(read_changes(spark, facts, version - 1, version), version)
-    if ready > done:
-        write_cursor(spark, meta, name, ready)
+    # The folders know whether the versions brought any facts; if not, there is no job.
+    if _touched_months(spark, settings, done, ready):
+        lost[ready] = apply(done, ready)
+    write_cursor(spark, meta, name, ready, sum(lost.values()))
     return lost
 
 
@@ -345,28 +394,28 @@ def update_customer_stats(
 ) -> dict[int, int]:
     return _update_gold(
         spark, settings, "customers_stats_gd",
-        lambda tx, version: apply_customer_stats(spark, settings, tx, version, as_of),
+        lambda since, until: apply_customer_stats(spark, settings, since, until, as_of),
     )
 
 
 def update_sales_summary(spark: SparkSession, settings: Settings) -> dict[int, int]:
     return _update_gold(
         spark, settings, "sales_summary_gd",
-        lambda tx, version: apply_sales_summary(spark, settings, tx, version),
+        lambda since, until: apply_sales_summary(spark, settings, since, until),
     )
 
 
 def update_product_sales(spark: SparkSession, settings: Settings) -> dict[int, int]:
     return _update_gold(
         spark, settings, "product_sales_summary_gd",
-        lambda tx, version: apply_product_sales(spark, settings, tx, version),
+        lambda since, until: apply_product_sales(spark, settings, since, until),
     )
 
 
 def run_gold(
     spark: SparkSession, settings: Settings, as_of: Column | date | None = None
 ) -> dict[str, dict[int, int]]:
-    """Bring all marts up to date; per mart and version, the facts lost to unknown keys."""
+    """Bring all marts up to date; per mart, the last version folded and the facts lost to unknown keys."""
     return {
         "customers_stats_gd": update_customer_stats(spark, settings, as_of),
         "sales_summary_gd": update_sales_summary(spark, settings),

@@ -40,9 +40,10 @@ TRANSACTIONS_SI = (
     "total_amount DOUBLE, transaction_date DATE, payment_method STRING, store_type STRING, "
     "order_status STRING, last_updated TIMESTAMP"
 )
-META_SI = "table_name STRING, last_inserted_time TIMESTAMP, last_version BIGINT"
+# ``facts_lost``: of the versions up to the last one, facts whose customer or product was not known.
+META_SI = "table_name STRING, last_inserted_time TIMESTAMP, last_version BIGINT, facts_lost BIGINT"
 
-# Gold.
+# Gold: what readers see, views over the states below.
 SALES_SUMMARY_GD = (
     "transaction_date DATE, store_type STRING, payment_method STRING, total_sales DOUBLE, "
     "total_transactions BIGINT, avg_order_value DOUBLE, total_quantity_sold BIGINT, "
@@ -58,10 +59,20 @@ PRODUCT_SALES_GD = (
     "transaction_date DATE, total_quantity_sold BIGINT, total_revenue DOUBLE, "
     "num_transactions BIGINT, last_updated TIMESTAMP"
 )
-# One row per customer and day of a batch: was the customer known, was the day a new one.
-CUSTOMER_DAYS_GD = (
-    "customer_id INT, transaction_date DATE, transactions BIGINT, amounts BIGINT, "
-    "spent DOUBLE, is_known BOOLEAN, is_new BOOLEAN"
+# States: exact sums, how many amounts they hold, and days as bits (month number -> days of it).
+SALES_STATE = (
+    "transaction_date DATE, store_type STRING, payment_method STRING, spent DECIMAL(37,4), "
+    "amounts BIGINT, total_transactions BIGINT, total_quantity_sold BIGINT, last_updated TIMESTAMP"
+)
+CUSTOMERS_STATE = (
+    "customer_id INT, name STRING, email STRING, first_order_date DATE, last_order_date DATE, "
+    "order_days MAP<INT,INT>, total_transactions BIGINT, spent DECIMAL(37,4), amounts BIGINT, "
+    "recency_days INT, last_updated TIMESTAMP"
+)
+PRODUCT_STATE = (
+    "product_id BIGINT, name STRING, brand STRING, category STRING, price_category STRING, "
+    "transaction_date DATE, total_quantity_sold BIGINT, spent DECIMAL(37,4), "
+    "num_transactions BIGINT, last_updated TIMESTAMP"
 )
 
 

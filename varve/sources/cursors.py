@@ -20,7 +20,7 @@ START = -1
 def seed_cursors(spark: SparkSession, table: str, names: list[str]) -> None:
     """Give every name that has no cursor yet one at the beginning of time."""
     known = {r["table_name"] for r in spark.table(table).select("table_name").collect()}
-    fresh = [(n, BEGINNING, START) for n in names if n not in known]
+    fresh = [(n, BEGINNING, START, 0) for n in names if n not in known]
     if fresh:
         rows = spark.createDataFrame(fresh, schemas.META_SI)
         _replace(spark, table, spark.table(table).unionByName(rows))
@@ -36,15 +36,20 @@ def read_cursor(spark: SparkSession, table: str, name: str, default: int | None
     return default
 
 
-def write_cursor(spark: SparkSession, table: str, name: str, version: int) -> None:
-    """Move one cursor; its time stamp is when it moved."""
-    row = spark.range(1).select(
+def write_cursor(
+    spark: SparkSession, table: str, name: str, version: int, lost: int = 0
+) -> None:
+    """Move one cursor; its time stamp is when it moved, and ``lost`` adds to its lost facts."""
+    cursors = spark.table(table)
+    before = cursors.filter(F.col("table_name") == name).agg(F.sum("facts_lost").alias("before"))
+    row = before.select(
         F.lit(name).alias("table_name"),
         F.current_timestamp().alias("last_inserted_time"),
         F.lit(version).cast("bigint").alias("last_version"),
+        (F.coalesce("before", F.lit(0)) + lost).alias("facts_lost"),
     )
     # A one-row upsert needs no join: the old row leaves, the new one comes in.
-    others = spark.table(table).filter(F.col("table_name") != name)
+    others = cursors.filter(F.col("table_name") != name)
     _replace(spark, table, others.unionByName(row))
 
 

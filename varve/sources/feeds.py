@@ -55,3 +55,19 @@ def stream_feed(
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return stamped(reader.load(path))
+
+
+def archived_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, modificationTime, length of the archived files below ``path``, at any depth; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "modificationTime", "length")
+
+
+def read_archive(spark: SparkSession, feed: Feed, path: str) -> DataFrame:
+    """The rows of a feed's archived files, each with its ``source_file`` and ``source_length``."""
+    reader = spark.read.format(feed.format).schema(feed.schema).options(**feed.options)
+    return reader.option("recursiveFileLookup", "true").load(path).select(
+        "*",
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_size").alias("source_length"),
+    )

@@ -11,6 +11,11 @@ Three kinds of table cover every layer.
 
 A location says which version produced it, so table contents and cursor cannot disagree: a
 batch whose version is already in the location is not applied again.  One writer per table.
+
+The folders say everything the catalog knows: which versions there are, and, by the ``_SUCCESS``
+file of the job that wrote them, which are complete.  A table that is created where folders
+already stand takes up what is complete, so a catalog that did not outlive its session is
+rebuilt by setup.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from varve.errors import DatabaseMissing
+from varve.errors import DatabaseMissing, NotNullViolated
 from varve.operators.changes import CHANGE_TYPE, COMMITTED, VERSION
 
 LAYERS = ("bronze", "silver", "gold")
@@ -79,11 +84,14 @@ def create_append_table(
 ) -> None:
     """``partitions`` is DDL, outermost (the version) first."""
     _require_database(spark, table)
-    names = ", ".join(p.split()[0] for p in partitions.split(","))
+    if spark.catalog.tableExists(table):
+        return
+    names = [p.split()[0] for p in partitions.split(",")]
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} ({ddl}, {partitions}) USING parquet "
-        f"PARTITIONED BY ({names}) LOCATION '{location}'"
+        f"PARTITIONED BY ({', '.join(names)}) LOCATION '{location}'"
     )
+    _recover_versions(spark, table, location, *names)
 
 
 def create_change_table(spark: SparkSession, table: str, ddl: str, location: str) -> None:
@@ -108,6 +116,8 @@ def create_snapshot_table(
 ) -> None:
     """With a ``key`` the table is bucketed, so merging a batch into it does not shuffle it."""
     _require_database(spark, table)
+    if spark.catalog.tableExists(table):
+        return
     columns, layout = ddl, ""
     if partition:
         columns, layout = f"{ddl}, {partition}", f"PARTITIONED BY ({partition.split()[0]})"
@@ -118,6 +128,58 @@ def create_snapshot_table(
         f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet {layout} "
         f"LOCATION '{location}/initial'"
     )
+    if partition:
+        _recover_partitions(spark, table, location, partition.split()[0])
+    else:
+        newest = max(_complete_versions(spark, f"{location}/v"), default=-1)
+        if newest >= 0:
+            spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}/v{newest}'")
+
+
+# Recovering ---------------------------------------------------------------------------------
+
+# Partitions added by one statement.
+_AT_ONCE = 500
+
+
+def _complete_versions(spark: SparkSession, prefix: str) -> list[int]:
+    """Versions n of the folders ``<prefix>n`` whose job ended; their files may be read."""
+    fs, hadoop_path = _hadoop(spark, f"{prefix}*/_SUCCESS")
+    folders = [s.getPath().getParent().getName() for s in fs.globStatus(hadoop_path) or []]
+    start = len(prefix.rsplit("/", 1)[1])
+    return sorted(int(f[start:]) for f in folders if f[start:].isdigit())
+
+
+def _add_partitions(spark: SparkSession, table: str, specs: Sequence[str]) -> None:
+    for start in range(0, len(specs), _AT_ONCE):
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS " + " ".join(specs[start : start + _AT_ONCE]))
+
+
+def _recover_versions(
+    spark: SparkSession, table: str, location: str, version_col: str, then_by: str | None = None
+) -> None:
+    """Add the partitions of complete versions; one that was cut off is written again by its retry."""
+    versions = _complete_versions(spark, f"{location}/{version_col}=")
+    if then_by is None:
+        below = {v: [""] for v in versions}
+    else:
+        below = {
+            v: [f", {then_by} = '{value}'" for value in values]
+            for v, values in values_of_versions(spark, location, versions, then_by, version_col).items()
+        }
+    _add_partitions(spark, table, [f"PARTITION ({version_col} = {v}{b})" for v in versions for b in below.get(v, [])])
+
+
+def _recover_partitions(spark: SparkSession, table: str, location: str, partition: str) -> None:
+    """Every partition of the newest complete version that holds it."""
+    newest: dict[str, int] = {}
+    for version in _complete_versions(spark, f"{location}/v"):
+        for value in _values_below(spark, f"{location}/v{version}", partition):
+            newest[value] = version
+    _add_partitions(
+        spark, table,
+        [f"PARTITION ({partition} = '{m}') LOCATION '{location}/v{v}/{partition}={m}'" for m, v in sorted(newest.items())],
+    )
 
 
 # Looking up ---------------------------------------------------------------------------------
@@ -159,6 +221,24 @@ def partition_values(
     return sorted({value for key, value in pairs if key == name})
 
 
+def values_of_versions(
+    spark: SparkSession, location: str, versions: Sequence[int], name: str, version_col: str = VERSION
+) -> dict[int, list[str]]:
+    """Values of the partition column ``name`` that each of ``versions`` wrote, from their folders alone.
+
+    What it costs depends on the versions asked for, not on how many the table has.
+    """
+    found: dict[int, list[str]] = {}
+    for start in range(0, len(versions), _AT_ONCE):
+        some = ",".join(str(v) for v in versions[start : start + _AT_ONCE])
+        fs, hadoop_path = _hadoop(spark, f"{location}/{version_col}={{{some}}}/{name}=*")
+        for status in fs.globStatus(hadoop_path) or []:
+            path = status.getPath()
+            version = int(path.getParent().getName().split("=", 1)[1])
+            found.setdefault(version, []).append(path.getName().split("=", 1)[1])
+    return {v: sorted(values) for v, values in found.items()}
+
+
 def partition_versions(
     spark: SparkSession, table: str, name: str, values: Iterable[str]
 ) -> dict[str, int]:
@@ -194,10 +274,23 @@ def append_version(
     else:
         writer.partitionBy(then_by).parquet(path)
         written = [f", {then_by} = '{value}'" for value in _values_below(spark, path, then_by)]
-    if written:
-        parts = " ".join(f"PARTITION ({version_col} = {version}{w})" for w in written)
-        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {parts}")
+    _add_partitions(spark, table, [f"PARTITION ({version_col} = {version}{w})" for w in written])
+    spark.catalog.refreshTable(table)
+
+
+def version_stands(
+    spark: SparkSession, table: str, version: int, version_col: str = VERSION, then_by: str | None = None
+) -> bool:
+    """Has the version been written to its end?  Its partitions are then known to the catalog, too."""
+    location = location_of(spark, table)
+    if not path_exists(spark, f"{location}/{version_col}={version}/_SUCCESS"):
+        return False
+    values = values_of_versions(spark, location, [version], then_by, version_col).get(version, []) if then_by else [None]
+    _add_partitions(
+        spark, table, [f"PARTITION ({version_col} = {version}{f', {then_by} = {v!r}' if v else ''})" for v in values]
+    )
     spark.catalog.refreshTable(table)
+    return True
 
 
 def _in_table_shape(
@@ -214,18 +307,31 @@ def publish_snapshot(
     rows: DataFrame,
     version: int,
     sort_by: Sequence[str] = (),
+    not_null: Sequence[str] = (),
 ) -> None:
-    """Make ``rows`` the contents of ``table``; the previous version stays on disk."""
+    """Make ``rows`` the contents of ``table``; the previous version stays on disk.
+
+    Nulls in ``not_null`` columns are counted by the job that writes; any of them keeps the
+    previous version in place and raises.
+    """
     described = _described(spark, table)
     base = described["Location"].rsplit("/", 1)[0]
     path = f"{base}/v{version}"
     rows = _in_table_shape(spark, table, rows)
+    missing = Observation()
+    if not_null:
+        rows = rows.observe(missing, *[F.count_if(F.col(c).isNull()).alias(c) for c in not_null])
     if "Num Buckets" in described:
         _write_bucketed(spark, table, rows, path, described)
     else:
         if sort_by:
             rows = rows.sortWithinPartitions(*sort_by)
         rows.write.mode("overwrite").parquet(path)
+    if not_null:
+        for column, count in missing.get.items():
+            if count:
+                _hadoop(spark, path)[0].delete(_hadoop(spark, path)[1], True)
+                raise NotNullViolated(table, column, count)
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
     _drop_older(spark, f"{base}/v*", version_in(described["Location"]))
 
@@ -270,6 +376,9 @@ def publish_partitions(
         .partitionBy(partition)
         .parquet(f"{base}/v{version}")
     )
+    # A dynamic overwrite leaves no mark of its own at the top.
+    fs, done = _hadoop(spark, f"{base}/v{version}/_SUCCESS")
+    fs.create(done, True).close()
     before = partition_versions(spark, table, partition, values)
     for value in values:
         path = f"{base}/v{version}/{partition}={value}"
@@ -279,10 +388,7 @@ def publish_partitions(
             )
             _drop_older(spark, f"{base}/v*/{partition}={value}", before[value])
         elif path_exists(spark, path):
-            spark.sql(
-                f"ALTER TABLE {table} ADD IF NOT EXISTS "
-                f"PARTITION ({partition} = '{value}') LOCATION '{path}'"
-            )
+            _add_partitions(spark, table, [f"PARTITION ({partition} = '{value}') LOCATION '{path}'"])
     spark.catalog.refreshTable(table)
 
 
@@ -299,6 +405,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def any_path(spark: SparkSession, pattern: str) -> bool:
+    """Is there a file or folder of this glob pattern?  (Streams purge all but their last commits.)"""
+    fs, hadoop_path = _hadoop(spark, pattern)
+    return len(fs.globStatus(hadoop_path) or []) > 0
+
+
 def _values_below(spark: SparkSession, path: str, name: str) -> list[str]:
     """Values of the partition directories ``name=value`` directly under ``path``."""
     fs, hadoop_path = _hadoop(spark, f"{path}/{name}=*")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from varve.errors import CheckpointLost, TableLost
 from varve.sources.feeds import Feed, read_feed, stream_feed
-from varve.sources.tables import BATCH, Settings, append_version, partition_values, path_exists
+from varve.sources.tables import BATCH, Settings, any_path, append_version, partition_values, path_exists
 
 
 def land_batch(table: str, batch: DataFrame, batch_id: int) -> None:
@@ -41,7 +41,7 @@ def ingest(
     checkpoint = settings.checkpoint_path(feed.name)
     if partition_values(spark, table, BATCH) and not path_exists(spark, f"{checkpoint}/offsets"):
         raise CheckpointLost(table, checkpoint)
-    if not partition_values(spark, table, BATCH) and path_exists(spark, f"{checkpoint}/commits/0"):
+    if not partition_values(spark, table, BATCH) and any_path(spark, f"{checkpoint}/commits/[0-9]*"):
         raise TableLost(table, checkpoint)
     rows = stream_feed(spark, feed, path, settings.archive_path(feed.name), max_files)
     query = (

@@ -246,6 +246,33 @@ FROM history WHERE load = 0 AND end_date IS NOT NULL""",
     "advance_cursor": """
 SELECT event_type AS table_name, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_inserted_time
 FROM events GROUP BY 1""",
+    "cursor_after_run": f"""WITH {_TX}
+SELECT unnest(['transactions_si', 'sales_summary_gd']) AS table_name, max(batch_id) AS last_version FROM tx
+UNION ALL
+SELECT unnest(['customers_si', 'products_si', 'customers_stats_gd', 'product_sales_summary_gd']), -1""",
+    "changes_since_time": f"""WITH {_CLEAN_TX}
+SELECT transaction_id, batch_id AS commit_version, CAST(1996 + batch_id AS VARCHAR) || '-01-01 00:00:00' AS committed
+FROM facts WHERE batch_id > 2""",
+    "insert_only_published": f"""WITH {_CLEAN_TX}
+SELECT transaction_id, transaction_date, batch_id AS commit_version FROM facts""",
+    "empty_batch_between": "SELECT *, CAST(6 AS BIGINT) AS last_version FROM ("
+    + _SALES.replace("FROM facts WHERE", "FROM facts WHERE batch_id <> 3 AND") + ")",
+    "lost_facts": f"""WITH {_CLEAN_TX}, {_CUSTOMERS}, {_PRODUCTS}
+SELECT 'sales_summary_gd' AS table_name, CAST(6 AS BIGINT) AS last_version, CAST(0 AS BIGINT) AS facts_lost
+UNION ALL SELECT 'customers_stats_gd', 6, count(*) FROM facts
+WHERE order_status <> 'Cancelled' AND customer_id NOT IN (SELECT customer_id FROM customers)
+UNION ALL SELECT 'product_sales_summary_gd', 6, count(*) FROM facts
+WHERE product_id NOT IN (SELECT product_id FROM products WHERE load = 0)""",
+    "merge_when_price_differs": f"""WITH {_PRODUCTS}, later AS (
+  SELECT product_id, CASE WHEN product_id % 5 <> 0 THEN price END AS price, rating FROM products WHERE load = 1
+), earlier AS (SELECT * FROM products WHERE load = 0)
+SELECT product_id, CASE WHEN e.product_id IS NULL OR e.price <> l.price THEN l.price ELSE e.price END AS price,
+  CASE WHEN e.product_id IS NULL OR e.price <> l.price THEN l.rating ELSE e.rating END AS rating
+FROM later l LEFT JOIN earlier e USING (product_id)""",
+    "bronze_products": f"""WITH {_PRODUCTS}
+SELECT {_PRODUCT_FEED}, CAST(0 AS BIGINT) AS batch_id, CAST(1 AS BIGINT) AS stamps FROM loads WHERE load = 1""",
+    "archived_files": f"""WITH {_CUSTOMERS}
+SELECT customer_id, name, nullif(email, '') AS email, true AS same_length FROM customer_feed""",
     "sales_summary_one_shot": _SALES,
     "sales_summary_incremental": _SALES,
     "customer_stats_one_shot": _STATS,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,15 @@ from varve.operators import (
     high_watermark,
     insert_only,
     latest_by_key,
+    merge,
+    new,
     newer_than,
+    old,
     rows_not_in,
     scd2_merge,
     upsert,
 )
-from varve.operators.changes import CHANGE_TYPE, apply_changes, new_images, read_changes
+from varve.operators.changes import CHANGE_TYPE, apply_changes, new_images, read_changes, read_changes_after
 from varve.plans import marts, pipeline
 from varve.plans.clean import (
     clean_customers,
@@ -36,7 +40,9 @@ from varve.plans.clean import (
     price_category,
     stock_status,
 )
-from varve.sources.feeds import PRODUCTS, TRANSACTIONS, read_feed
+from varve.sources.cursors import write_cursor
+from varve.sources.feeds import CUSTOMERS, PRODUCTS, TRANSACTIONS, read_archive, read_feed
+from varve.sources.feeds import archived_files as files_in_archive
 from varve.sources.tables import BATCH, MONTH, Settings
 from workload import feeds
 from workload.workspace import workspace
@@ -44,6 +50,8 @@ from workload.workspace import workspace
 Query = Callable[[SparkSession, str], DataFrame]
 
 _PRODUCT_FEED = schemas.columns(schemas.PRODUCTS_FEED)
+# Yearly batches of transactions.
+YEARS = 7
 
 
 # Projections, filters, rules ----------------------------------------------------------------
@@ -294,6 +302,19 @@ def scd2_revert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _history_out(_product_history(spark, sf_dir, 3))
 
 
+def merge_when_price_differs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices and ratings of the second load, only where the price differs; a null price never does."""
+    before = clean_products(feeds.products(spark, sf_dir, 0)).select("product_id", "price", "rating")
+    spoiled = F.when(F.col("product_id") % 5 == 0, None).otherwise(F.col("price"))
+    after = clean_products(feeds.products(spark, sf_dir, 1)).withColumn("price", spoiled)
+    values = {c: new(c) for c in ("price", "rating")}
+    merged = merge(
+        before, after, ["product_id"], update=values, insert={"product_id": new("product_id"), **values},
+        when=old("price") != new("price"),
+    )
+    return merged.rows
+
+
 def scd2_change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = _product_history(spark, sf_dir, 1)
     batch = clean_products(feeds.products(spark, sf_dir, 1))
@@ -343,15 +364,15 @@ def product_sales_one_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Marts, batch by batch through the published tables -----------------------------------------
 
 
-def _landed(spark: SparkSession, sf_dir: str) -> Settings:
-    """An environment whose bronze transactions hold one batch per year."""
+def _landed(
+    spark: SparkSession, sf_dir: str, change: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> Settings:
+    """An environment whose bronze transactions hold one batch per year, after a ``change`` if any."""
     settings = workspace(spark)
     pipeline.run_setup(spark, settings)
     bronze = settings.table("bronze", "transactions_bz")
     path = f"{settings.layer_path('bronze')}/transactions_bz"
-    rows = feeds.transactions(spark, sf_dir).withColumn(
-        "source_modified", F.lit(None).cast("timestamp")
-    )
+    rows = _timed(change(feeds.transactions(spark, sf_dir)))
     columns = spark.table(bronze).columns
     rows.select(*columns).hint("rebalance", BATCH).write.partitionBy(BATCH).mode("append").parquet(path)
     spark.sql(f"ALTER TABLE {bronze} RECOVER PARTITIONS")
@@ -369,6 +390,63 @@ def change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def changes_since_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change feed of the fact table after a time; every yearly batch commits at the new year after it."""
+    settings = _landed(spark, sf_dir)
+    bronze = spark.table(settings.table("bronze", "transactions_bz"))
+    for version in range(YEARS):
+        committed = F.lit(datetime(feeds.FIRST_YEAR + version + 1, 1, 1))
+        pipeline.apply_transactions(spark, settings, bronze.filter(F.col(BATCH) == version), version, committed)
+    changes = read_changes_after(spark, settings.table("silver", "transactions_si"), datetime(1998, 6, 1))
+    return changes.select(
+        "transaction_id", F.col("_commit_version").alias("commit_version"),
+        F.col("_commit_timestamp").cast("string").alias("committed"),
+    )
+
+
+def insert_only_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every batch arrives again, after all of them, under a number of its own: facts stay where they were."""
+    again = F.explode(F.array(F.col(BATCH), F.col(BATCH) + YEARS))
+    settings = _landed(spark, sf_dir, lambda rows: rows.withColumn(BATCH, again))
+    pipeline.load_transactions(spark, settings)
+    facts = spark.table(settings.table("silver", "transactions_si"))
+    return facts.select("transaction_id", "transaction_date", F.col("_commit_version").alias("commit_version"))
+
+
+def empty_batch_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch without a valid row, before and after which gold runs."""
+    spoiled = F.when(F.col(BATCH) == 3, "null").otherwise(F.col("transaction_date"))
+    settings = _landed(spark, sf_dir, lambda rows: rows.withColumn("transaction_date", spoiled))
+    bronze = spark.table(settings.table("bronze", "transactions_bz"))
+    meta = settings.table("silver", "meta_si")
+    for versions in (range(3), range(3, 4), range(4, YEARS)):
+        for version in versions:
+            pipeline.apply_transactions(spark, settings, bronze.filter(F.col(BATCH) == version), version)
+        write_cursor(spark, meta, "transactions_si", versions[-1])
+        pipeline.update_sales_summary(spark, settings)
+    cursor = spark.table(meta).filter("table_name = 'sales_summary_gd'").select("last_version")
+    return _stats_out(spark.table(settings.table("gold", "sales_summary_gd"))).join(F.broadcast(cursor))
+
+
+def cursor_after_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cursors after facts and one mart were brought up to date."""
+    settings = _landed(spark, sf_dir)
+    pipeline.load_transactions(spark, settings)
+    pipeline.update_sales_summary(spark, settings)
+    return spark.table(settings.table("silver", "meta_si")).select("table_name", "last_version")
+
+
+def lost_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each mart had to leave out: facts whose customer or product is not known."""
+    settings = _landed(spark, sf_dir)
+    pipeline.apply_customers(spark, settings, _timed(feeds.customers(spark, sf_dir)), 0, feeds.AS_OF)
+    pipeline.apply_products(spark, settings, _timed(feeds.products(spark, sf_dir, 0)), 0)
+    pipeline.load_transactions(spark, settings)
+    pipeline.run_gold(spark, settings, feeds.AS_OF)
+    meta = spark.table(settings.table("silver", "meta_si")).filter(F.col("table_name").isin(*pipeline.GOLD))
+    return meta.select("table_name", "last_version", "facts_lost")
+
+
 def sales_summary_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = _landed(spark, sf_dir)
     pipeline.load_transactions(spark, settings)
@@ -467,6 +545,31 @@ def csv_stream_to_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bronze.select(*schemas.columns(schemas.CUSTOMERS_FEED), BATCH)
 
 
+def bronze_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON documents as a stream to bronze: one ingest stamp for all rows of the batch."""
+    settings = workspace(spark)
+    pipeline.run_setup(spark, settings)
+    _land_products(spark, sf_dir, settings)
+    pipeline.run_bronze(spark, settings, feeds=("products",))
+    bronze = spark.table(settings.table("bronze", "products_bz"))
+    stamps = bronze.agg(F.count_distinct("inserted_time").alias("stamps"))
+    return bronze.select(*_PRODUCT_FEED, BATCH).join(F.broadcast(stamps))
+
+
+def archived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files consumed by one batch, read back from the archive after the next; is each as long as it says?"""
+    settings = workspace(spark)
+    pipeline.run_setup(spark, settings)
+    _land_customers(spark, sf_dir, settings)
+    pipeline.run_bronze(spark, settings, feeds=("customers",))
+    _land_customers(spark, sf_dir, settings)
+    pipeline.run_bronze(spark, settings, feeds=("customers",))
+    archive = settings.archive_path("customers")
+    sizes = files_in_archive(spark, archive).select(F.col("path").alias("source_file"), "length")
+    rows = read_archive(spark, CUSTOMERS, archive).join(sizes, "source_file")
+    return rows.select("customer_id", "name", "email", (F.col("length") == F.col("source_length")).alias("same_length"))
+
+
 def files_to_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV, JSON and JSON lines through all layers to customer statistics."""
     settings = workspace(spark)
@@ -514,7 +617,15 @@ QUERIES: dict[str, Query] = {
     "scd2_two_batches": scd2_two_batches,
     "scd2_revert": scd2_revert,
     "scd2_change_rows": scd2_change_rows,
+    "merge_when_price_differs": merge_when_price_differs,
     "advance_cursor": advance_cursor,
+    "cursor_after_run": cursor_after_run,
+    "changes_since_time": changes_since_time,
+    "insert_only_published": insert_only_published,
+    "empty_batch_between": empty_batch_between,
+    "lost_facts": lost_facts,
+    "bronze_products": bronze_products,
+    "archived_files": archived_files,
     "sales_summary_one_shot": sales_summary_one_shot,
     "customer_stats_one_shot": customer_stats_one_shot,
     "product_sales_one_shot": product_sales_one_shot,
