@@ -87,15 +87,27 @@ def clean_products(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_transactions(df: DataFrame) -> DataFrame:
-    """Transactions with a date, a customer and a product; newest per id and date."""
+def clean_transactions(df: DataFrame, batch: str | None = None) -> DataFrame:
+    """Transactions with a date, a customer and a product; newest per id and date.
+
+    With a ``batch`` column several batches are cleaned at once: of an id and date the first
+    batch's newest row stays, and the column with it.
+    """
     dated = df.filter(
         present("transaction_date", fold=False)
         & F.col("customer_id").isNotNull()
         & F.col("product_id").isNotNull()
     ).withColumn("transaction_date", safe_date("transaction_date"))
     valid = dated.filter(F.col("transaction_date").isNotNull())
-    latest = _latest(valid, ["transaction_id", "transaction_date"], schemas.TRANSACTIONS_FEED)
+    keys = ["transaction_id", "transaction_date"]
+    if batch is None:
+        latest, kept = _latest(valid, keys, schemas.TRANSACTIONS_FEED), []
+    else:
+        # Newest is greatest, so the batch that came first is the greatest negative one.
+        first = valid.withColumn("_first", -F.col(batch))
+        stamps = [c for c in _STAMPS if c in df.columns]
+        rows = first.select(*schemas.columns(schemas.TRANSACTIONS_FEED), batch, "_first", *stamps)
+        latest, kept = latest_by_key(rows, keys, ["_first", *stamps]), [batch]
     clamped = latest.withColumns({
         "quantity": clamp("quantity", lo=0),
         "total_amount": clamp("total_amount", lo=0),
@@ -105,4 +117,5 @@ def clean_transactions(df: DataFrame) -> DataFrame:
         order_status("quantity", "total_amount").alias("order_status"),
         F.col("inserted_time").alias("last_updated"),
         "inserted_time",
+        *kept,
     )

@@ -1,6 +1,7 @@
 """The layered pipeline: setup, files to bronze, bronze to silver, silver to gold.
 
-Silver applies batches one version at a time and in order.  Gold folds all facts it has not seen
+Dimensions are merged one batch at a time and in order, so that every version is in their history.
+Facts of all pending batches are appended in one job, and gold folds all facts it has not seen
 in one pass, whatever the number of versions they came in, with the dimensions as they are then;
 states add up without loss (``varve.plans.marts``), so with the same dimensions results do not
 depend on how runs were grouped.  Every step can be repeated after a crash: see
@@ -31,6 +32,7 @@ from varve.sources.tables import (
     MONTH,
     Settings,
     append_version,
+    append_versions,
     create_append_table,
     create_change_table,
     create_database,
@@ -41,8 +43,8 @@ from varve.sources.tables import (
     publish_partitions,
     publish_snapshot,
     snapshot_version,
+    standing_versions,
     values_of_versions,
-    version_stands,
 )
 from varve.streaming.ingest import ingest
 
@@ -176,15 +178,37 @@ def apply_transactions(
     from its bronze partition for that.  ``committed`` is when the version counts as committed,
     now if not given.  A version that stands is not written again.
     """
+    numbered = batch.withColumn(BATCH, F.lit(version).cast("bigint"))
+    apply_transaction_batches(spark, settings, numbered, [version], committed)
+
+
+def apply_transaction_batches(
+    spark: SparkSession,
+    settings: Settings,
+    batches: DataFrame,
+    versions: Sequence[int],
+    committed: Column | None = None,
+) -> None:
+    """Append the facts of several bronze batches in one job, each as its own version.
+
+    A fact that comes in several batches belongs to the first of them, as if they had been
+    applied one by one.
+    """
     table = settings.table("silver", "transactions_si")
-    if version_stands(spark, table, version, then_by=MONTH):
+    standing = standing_versions(spark, table, versions, MONTH)
+    pending = [v for v in versions if v not in standing]
+    if not pending:
         return
-    keys = ["transaction_id", "transaction_date"]
-    earlier = facts_of_months(spark.table(table).filter(F.col(VERSION) < version), batch)
-    facts = insert_only(earlier, clean_transactions(batch), keys)
-    facts = facts.withColumn(MONTH, month_of("transaction_date"))
-    facts = facts.withColumn(COMMITTED, F.current_timestamp() if committed is None else committed)
-    append_version(spark, table, facts, version, then_by=MONTH)
+    keys, first = ["transaction_id", "transaction_date"], pending[0]
+    batches = batches.filter(F.col(BATCH) >= first)
+    earlier = facts_of_months(spark.table(table).filter(F.col(VERSION) < first), batches)
+    facts = insert_only(earlier, clean_transactions(batches, BATCH), keys)
+    facts = facts.withColumns({
+        VERSION: F.col(BATCH),
+        MONTH: month_of("transaction_date"),
+        COMMITTED: F.current_timestamp() if committed is None else committed,
+    })
+    append_versions(spark, table, facts, pending, MONTH)
 
 
 def facts_of_months(facts: DataFrame, batch: DataFrame) -> DataFrame:
@@ -214,22 +238,27 @@ def _publish_history_view(spark: SparkSession, settings: Settings) -> None:
     )
 
 
+def _pending(spark: SparkSession, settings: Settings, name: str) -> list[int]:
+    """Bronze batches that have not been applied to a silver table yet."""
+    bronze = settings.table("bronze", SILVER[name])
+    done = read_cursor(spark, settings.table("silver", "meta_si"), name)
+    # The stream wrote through its own session.
+    spark.catalog.refreshTable(bronze)
+    return sorted(b for b in map(int, partition_values(spark, bronze, BATCH)) if b > done)
+
+
 def _load_silver(
     spark: SparkSession,
     settings: Settings,
     name: str,
     apply: Callable[[DataFrame, int], None],
 ) -> list[int]:
-    meta = settings.table("silver", "meta_si")
-    bronze = settings.table("bronze", SILVER[name])
-    done = read_cursor(spark, meta, name)
-    # The stream wrote through its own session.
-    spark.catalog.refreshTable(bronze)
-    pending = sorted(b for b in map(int, partition_values(spark, bronze, BATCH)) if b > done)
+    bronze = spark.table(settings.table("bronze", SILVER[name]))
+    pending = _pending(spark, settings, name)
     for version in pending:
-        apply(spark.table(bronze).filter(F.col(BATCH) == version), version)
+        apply(bronze.filter(F.col(BATCH) == version), version)
         # From the input batch, so a batch without valid rows is not read again for ever.
-        write_cursor(spark, meta, name, version)
+        write_cursor(spark, settings.table("silver", "meta_si"), name, version)
     return pending
 
 
@@ -250,10 +279,14 @@ def load_products(spark: SparkSession, settings: Settings) -> list[int]:
 
 
 def load_transactions(spark: SparkSession, settings: Settings) -> list[int]:
-    return _load_silver(
-        spark, settings, "transactions_si",
-        lambda batch, version: apply_transactions(spark, settings, batch, version),
-    )
+    """Facts of all pending batches, in one job however many there are."""
+    pending = _pending(spark, settings, "transactions_si")
+    if pending:
+        bronze = spark.table(settings.table("bronze", "transactions_bz"))
+        batches = bronze.filter(F.col(BATCH).between(pending[0], pending[-1]))
+        apply_transaction_batches(spark, settings, batches, pending)
+        write_cursor(spark, settings.table("silver", "meta_si"), "transactions_si", pending[-1])
+    return pending
 
 
 def run_silver(spark: SparkSession, settings: Settings, as_of: Column | date | None = None) -> None:

@@ -278,19 +278,42 @@ def append_version(
     spark.catalog.refreshTable(table)
 
 
-def version_stands(
-    spark: SparkSession, table: str, version: int, version_col: str = VERSION, then_by: str | None = None
-) -> bool:
-    """Has the version been written to its end?  Its partitions are then known to the catalog, too."""
+def append_versions(
+    spark: SparkSession, table: str, rows: DataFrame, versions: Sequence[int], then_by: str, version_col: str = VERSION
+) -> None:
+    """Write ``rows``, which carry their version, as the partitions of several versions in one job.
+
+    A retry replaces the partitions it writes again; a version is complete by its mark, also one
+    without rows.
+    """
     location = location_of(spark, table)
-    if not path_exists(spark, f"{location}/{version_col}={version}/_SUCCESS"):
-        return False
-    values = values_of_versions(spark, location, [version], then_by, version_col).get(version, []) if then_by else [None]
-    _add_partitions(
-        spark, table, [f"PARTITION ({version_col} = {version}{f', {then_by} = {v!r}' if v else ''})" for v in values]
+    rows = _in_table_shape(spark, table, rows).hint("rebalance", version_col, then_by)
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(version_col, then_by)
+        .parquet(location)
     )
-    spark.catalog.refreshTable(table)
-    return True
+    for version in versions:
+        _mark_complete(spark, f"{location}/{version_col}={version}")
+    standing_versions(spark, table, versions, then_by, version_col)
+
+
+def standing_versions(
+    spark: SparkSession, table: str, versions: Sequence[int], then_by: str, version_col: str = VERSION
+) -> list[int]:
+    """Those of ``versions`` that were written to their end; the catalog then knows their partitions, too."""
+    location, standing, specs = location_of(spark, table), [], []
+    for start in range(0, len(versions), _AT_ONCE):
+        some = ",".join(str(v) for v in versions[start : start + _AT_ONCE])
+        fs, hadoop_path = _hadoop(spark, f"{location}/{version_col}={{{some}}}/_SUCCESS")
+        standing += [int(s.getPath().getParent().getName().split("=", 1)[1]) for s in fs.globStatus(hadoop_path) or []]
+    for version, values in values_of_versions(spark, location, standing, then_by, version_col).items():
+        specs += [f"PARTITION ({version_col} = {version}, {then_by} = '{value}')" for value in values]
+    _add_partitions(spark, table, specs)
+    if specs:
+        spark.catalog.refreshTable(table)
+    return sorted(standing)
 
 
 def _in_table_shape(
@@ -376,9 +399,7 @@ def publish_partitions(
         .partitionBy(partition)
         .parquet(f"{base}/v{version}")
     )
-    # A dynamic overwrite leaves no mark of its own at the top.
-    fs, done = _hadoop(spark, f"{base}/v{version}/_SUCCESS")
-    fs.create(done, True).close()
+    _mark_complete(spark, f"{base}/v{version}")
     before = partition_versions(spark, table, partition, values)
     for value in values:
         path = f"{base}/v{version}/{partition}={value}"
@@ -400,6 +421,12 @@ def _hadoop(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
+def _mark_complete(spark: SparkSession, folder: str) -> None:
+    """Jobs leave this mark themselves, but for dynamic overwrites."""
+    fs, mark = _hadoop(spark, f"{folder}/_SUCCESS")
+    fs.create(mark, True).close()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     fs, hadoop_path = _hadoop(spark, path)
     return fs.exists(hadoop_path)
