@@ -4,24 +4,27 @@
 patterns are those of the contract, written with possessive runs, which find the same matches
 in linear time and without deep recursion.
 
-*Method*: every distinct base value is a protected entity.  From the corpus, over distinct texts,
-``n(t)`` texts hold term ``t`` (a word), ``n(e)`` hold entity ``e``, ``n(t, e)`` hold both, of
-``N``.  Seeing ``t`` discloses ``log2(n(t,e) N / (n(t) n(e)))`` of the ``log2(N / n(e))`` bits that
-identify ``e``.  A term that discloses at least ``threshold`` of them for some entity, on the
-evidence of at least ``support`` texts, is generalised wherever it stands in a text that holds
-such an entity.
-
-Everything is DataFrame functions.  Terms are counted by aggregates that fold in the map tasks;
-terms are counted over the whole corpus only if they have company enough, a join Spark
-broadcasts or not by measured size.
+*Method*: every distinct base value is a protected entity.  ``n(t)`` of the ``N`` texts hold term
+``t`` (a word), ``n(e)`` hold entity ``e``, and ``n(t, e)`` hold ``t`` near ``e``: within ``near``
+characters of one of its mentions.  ``e`` is known by ``log2(N / n(e))`` bits.  Of these, seeing ``t``
+discloses ``log2(P(e|t) N / n(e))``, with ``P(e|t) = n(t, e) / (n(t) + 1)``: one text more, without the
+entity, is always thinkable, so rare company is weaker evidence than frequent company, but no
+number of texts is required.  As a term can only give away the mentions it stands beside, this
+counts by ``n(t, e) / n(e)``.  A term whose share of the bits, so weighed, is at least ``threshold`` for
+some entity is generalised wherever it stands in a text that holds such an entity.
+
+Everything is DataFrame functions.  Terms are counted by aggregates that fold in the map tasks, so
+what is shuffled is a vocabulary a task; matches are gathered in chunks, so that a text's time and
+memory grow with its length.
 
 Results: null texts count as empty and have no spans.  Positions are code points, end exclusive.
-Repeated texts count once as evidence.  A term inside a base span stays part of it when texts
+Repeated texts count as often as they stand.  A term inside a base span stays part of it when texts
 are rewritten.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,16 +42,30 @@ PATTERNS = {
 }
 TERM = "term"
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
+_NEAR_SPANS = "array<struct<kind:string,start:int,end:int,value:string,near:string>>"
+# Matches gathered by one inner aggregate: what is gathered is copied for every match.
+_CHUNK = 256
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``support``: distinct texts that must hold term and entity; ``threshold``: share of the
-    entity's bits; ``shortest``: letters of a term."""
+    """``threshold``: share of the entity's bits; ``shortest``: letters of a term; ``near``: characters beside a mention."""
 
-    support: int = 3
     threshold: float = 0.8
     shortest: int = 3
+    near: int = 120
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, also where lambdas use it."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _chunks(items: Column) -> Column:
+    """An array as an array of arrays of at most ``_CHUNK`` items."""
+    last = F.floor((F.size(items) - 1) / _CHUNK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(items, c * _CHUNK + 1, _CHUNK))
+    return F.when(F.size(items) > 0, cut).otherwise(F.slice(F.array(items), 1, 0))
 
 
 def _digits(value: Column) -> Column:
@@ -96,45 +113,68 @@ def _worth(kind: str, text: Column) -> Column:
     return text.rlike(r"[0-9][ -]?[0-9][ -]?[0-9]")
 
 
-def _matches_of(text: Column, kind: str, pattern: Column) -> Column:
-    """Valid matches with their places (only those are gathered): the text between matches tells where each begins."""
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, pattern, -1)
-    empty = F.array().cast(_SPANS)
-    return F.aggregate(
-        F.arrays_zip(F.transform(between, lambda b: F.length(b)).alias("gap"), found.alias("value")),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
-            F.when(
-                x["value"].isNotNull() & (F.lit(True) if kind == TERM else _valid(kind, x["value"])),
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            F.lit(kind).alias("kind"),
-                            (acc["at"] + x["gap"]).alias("start"),
-                            (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"),
-                            x["value"].alias("value"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )["spans"]
+def _matches_of(text: Column, kind: str, pattern: Column, near: int | None = None) -> Column:
+    """Valid matches with their places, and with the text ``near`` them if asked for.
 
+    The text between matches tells where each begins.
+    """
+    spans = _SPANS if near is None else _NEAR_SPANS
+    empty = F.array().cast(spans)
+
+    def items(between: Column) -> Column:
+        pairs = F.zip_with(between, F.regexp_extract_all(text, pattern, F.lit(0)), lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
+        after = F.slice(between, 2, F.size(between))
+        return F.zip_with(pairs, after, lambda p, gap: F.struct(p["gap"].alias("gap"), p["value"].alias("value"), gap.alias("after")))
+
+    def span(at: Column, x: Column) -> Column:
+        start = at + F.length(x["gap"])
+        fields = [F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value")]
+        if near is not None:
+            fields.append(F.concat_ws(" ", F.right(x["gap"], F.lit(near)), F.left(x["after"], F.lit(near))).alias("near"))
+        return F.array(F.struct(*fields))
+
+    def gathered(chunk: Column) -> Column:
+        return F.aggregate(
+            chunk,
+            F.struct(F.lit(0).alias("at"), empty.alias("spans")),
+            lambda acc, x: F.struct(
+                (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["value"]), F.lit(0))).alias("at"),
+                F.when(
+                    x["value"].isNotNull() & (F.lit(True) if kind == TERM else _valid(kind, x["value"])),
+                    F.concat(acc["spans"], span(acc["at"], x)),
+                )
+                .otherwise(acc["spans"])
+                .alias("spans"),
+            ),
+        )
+
+    def moved(at: Column, m: Column) -> Column:
+        rest = ["value"] if near is None else ["value", "near"]
+        return F.struct(m["kind"].alias("kind"), (m["start"] + at).alias("start"), (m["end"] + at).alias("end"), *[m[c].alias(c) for c in rest])
+
+    def joined(chunks: Column) -> Column:
+        return F.aggregate(
+            F.transform(chunks, gathered),
+            F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("parts")),
+            lambda acc, c: F.struct(
+                (acc["at"] + c["at"]).alias("at"),
+                F.concat(acc["parts"], F.array(F.transform(c["spans"], lambda m: moved(acc["at"], m)))).alias("parts"),
+            ),
+            lambda acc: F.flatten(acc["parts"]),
+        )
+
+    return _let(F.split(text, pattern, -1), lambda between: _let(items(between), lambda i: _let(_chunks(i), joined)))
 
-def _matches(text: Column, kind: str) -> Column:
-    found = _matches_of(text, kind, F.lit(PATTERNS[kind]))
-    return F.when(_worth(kind, text), found).otherwise(F.array().cast(_SPANS))
 
+def _matches(text: Column, kind: str, near: int | None) -> Column:
+    found = _matches_of(text, kind, F.lit(PATTERNS[kind]), near)
+    return F.when(_worth(kind, text), found).otherwise(F.array().cast(_SPANS if near is None else _NEAR_SPANS))
 
-def base_spans(text: Column) -> Column:
-    """array<struct<kind, start, end, value>> of the base patterns, by kind, then start."""
+
+def base_spans(text: Column, near: int | None = None) -> Column:
+    """array<struct<kind, start, end, value>> of the base patterns, by kind, then start; with the text ``near`` if asked for."""
     text = F.coalesce(text, F.lit(""))
-    return F.concat(*[_matches(text, kind) for kind in KINDS])
+    return F.concat(*[_matches(text, kind, near) for kind in KINDS])
 
 
 def _words(text: Column, s: Settings) -> Column:
@@ -142,50 +182,36 @@ def _words(text: Column, s: Settings) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= s.shortest))
 
 
+def _entity(m: Column) -> Column:
+    return F.concat_ws(":", m["kind"], F.lower(m["value"]))
+
+
 def _entities(spans: Column | str) -> Column:
-    return F.array_distinct(F.transform(spans, lambda m: F.concat_ws(":", m["kind"], F.lower(m["value"]))))
+    return F.array_distinct(F.transform(spans, _entity))
 
 
 def disclosing_terms(docs: DataFrame, marked: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(term, entity, bits, of): terms that give an entity away.
+    """(term, entity, share): terms that give an entity away.
 
-    ``docs`` (text) is the corpus, ``marked`` (text, spans) its rows that hold base values.
+    ``docs`` (text) is the corpus, ``marked`` (spans, with ``near``) its rows that hold base values.
     """
-    holders = marked.select(
-        F.sha2("text", 256).alias("holder"), F.explode(_entities("spans")).alias("entity"), "text"
-    )
-    # An entity in fewer rows than the support cannot be given away by enough texts.
-    repeated = holders.groupBy("entity").count().where(F.col("count") >= s.support).select("entity")
-    pairs = stored(
-        holders.join(repeated, "entity")
-        .groupBy("entity", "holder")
-        .agg(F.first(_words(F.col("text"), s)).alias("words"))
-    )
-    n_e = pairs.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= s.support)
-    n_te = stored(
-        pairs.join(n_e, "entity")
-        .select("entity", "n_e", F.explode("words").alias("term"))
-        .groupBy("entity", "n_e", "term")
-        .agg(F.count("*").alias("n_te"))
-        .where(F.col("n_te") >= s.support)
-    )
-    # Repeated texts count once: their first row by hash would need a shuffle of texts, so it is
-    # (term, text) pairs that are made distinct, for the few terms in question.
-    n_t = (
-        docs.select(F.xxhash64("text").alias("holder"), F.explode(_words(F.col("text"), s)).alias("term"))
-        .join(n_te.select("term").distinct(), "term", "left_semi")
-        .distinct()
-        .groupBy("term")
-        .agg(F.count("*").alias("n_t"))
-    )
-    total = docs.agg(F.count_distinct(F.xxhash64(F.coalesce("text", F.lit(""))))).first()[0]
-    bits = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
-    of = F.log2(F.lit(float(total)) / F.col("n_e"))
-    return (
-        n_te.join(n_t, "term")
-        .select("term", "entity", bits.alias("bits"), of.alias("of"))
-        .where((F.col("of") > 0) & (F.col("bits") >= s.threshold * F.col("of")))
+    n_e = marked.select(F.explode(_entities("spans")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    # Pairs are written as strings, whose duplicates in a row are found by hashing.
+    beside = F.flatten(F.transform("spans", lambda m: F.transform(_words(m["near"], s), lambda w: F.concat(w, F.lit("|"), _entity(m)))))
+    n_te = marked.select(F.explode(F.array_distinct(beside)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n_te"))
+    n_te = n_te.select(
+        F.substring_index("pair", "|", 1).alias("term"),
+        F.expr("substring(pair, instr(pair, '|') + 1)").alias("entity"),
+        "n_te",
     )
+    n_t = docs.select(F.explode(_words(F.col("text"), s)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    total = float(docs.count())
+    of = F.log2(F.lit(total) / F.col("n_e"))
+    bits = F.log2(F.col("n_te") / (F.col("n_t") + 1) * total / F.col("n_e"))
+    share = bits / of * F.col("n_te") / F.col("n_e")
+    # A term that stands beside less than this part of the mentions cannot reach the threshold.
+    pairs = n_te.join(n_e.where(F.col("n_e") < total), "entity").where(F.col("n_te") >= s.threshold * F.col("n_e"))
+    return pairs.join(n_t, "term").select("term", "entity", share.alias("share")).where(F.col("share") >= s.threshold)
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
@@ -198,7 +224,8 @@ def find(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """``docs`` with ``spans``: base spans, then the disclosing terms' (kind "term"), by start."""
     key, terms_of = unused(docs, "_text_key"), unused(docs, "_terms")
     found = docs.drop("spans").withColumn("spans", base_spans(F.col("text")))
-    marked = stored(found.where(F.size("spans") > 0).select("text", "spans"))
+    with_near = docs.select("text", base_spans(F.col("text"), s.near).alias("spans"))
+    marked = stored(with_near.where(F.size("spans") > 0))
     terms = disclosing_terms(docs.select("text"), marked, s)
     by_entity = terms.groupBy("entity").agg(F.collect_set("term").alias("terms"))
     by_text = (
@@ -223,27 +250,51 @@ def rewrite(found: DataFrame) -> DataFrame:
     Overlapping spans become one, named by the one that starts first (the longest on ties).
     """
     ordered = F.array_sort(F.transform("spans", lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("before"), m["end"].alias("end"), m["kind"].alias("kind"))))
-    walked = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, m: F.struct(
-            F.greatest(acc["at"], m["end"]).alias("at"),
-            F.when(
-                m["start"] >= acc["at"],
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.substring(F.col("text"), acc["at"] + 1, m["start"] - acc["at"]),
-                        F.concat(F.lit("["), F.upper(m["kind"]), F.lit("]")),
+
+    def chunk_text(part: Column, begin: Column, chunk: Column) -> Column:
+        """The rewritten ``part`` of the text, which begins at ``begin`` and ends with the chunk's spans."""
+        return F.aggregate(
+            chunk,
+            F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda acc, m: F.struct(
+                F.greatest(acc["at"], m["end"]).alias("at"),
+                F.when(
+                    m["start"] >= acc["at"],
+                    F.concat(
+                        acc["out"],
+                        F.array(
+                            F.substring(part, acc["at"] - begin + 1, m["start"] - acc["at"]),
+                            F.concat(F.lit("["), F.upper(m["kind"]), F.lit("]")),
+                        ),
                     ),
+                )
+                .otherwise(acc["out"])
+                .alias("out"),
+            ),
+            lambda acc: F.array_join(acc["out"], ""),
+        )
+
+    def walked(chunks: Column) -> Column:
+        return F.aggregate(
+            chunks,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+            lambda acc, chunk: _let(
+                F.greatest(acc["at"], F.array_max(F.transform(chunk, lambda m: m["end"]))),
+                lambda reach: F.struct(
+                    reach.alias("at"),
+                    F.concat(
+                        acc["out"],
+                        F.array(
+                            _let(F.substring(F.col("text"), acc["at"] + 1, reach - acc["at"]), lambda part: chunk_text(part, acc["at"], chunk))
+                        ),
+                    ).alias("out"),
                 ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    return found.withColumn("text", F.when(F.size("spans") > 0, walked).otherwise(F.col("text"))).drop("spans")
+            ),
+            lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
+        )
+
+    written = _let(ordered, lambda o: _let(_chunks(o), walked))
+    return found.withColumn("text", F.when(F.size("spans") > 0, written).otherwise(F.col("text"))).drop("spans")
 
 
 def digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
