@@ -19,7 +19,8 @@ stream that remembers one row.
 
 Results: matches never cross documents; null texts are empty; documents order by doc_id, nulls
 first; rows with the same doc_id and text are one document, other rows with the same doc_id
-order by a hash of their text.
+order by a hash of their text.  Rows without doc_id are known by 62 bits of their text's hash, as
+ids below -2**62, which real ids must not use; so they are no group of one key.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,6 @@ from varve.llm.common import kept, slices, stored, unused
 LENGTH, GRAM = 100, 32
 # Members a task refines together before it passes them on.
 _HELD = 1_000_000
-_NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _MEMBER, _SPAN = 0, 1
 _FIELDS = ["kind", "bucket", "sub", "doc", "at"]
@@ -95,7 +94,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def _text_key(raw: bytes) -> int:
-    return zlib.crc32(raw) & 0xFFFF
+    """Tells texts of one doc_id apart; 23 bits are what a place leaves free."""
+    return zlib.crc32(raw) & 0x7FFFFF
+
+
+def _doc(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """doc_id, or an id below all others from the text's hash."""
+    hashed = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2)
+    return F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 62) - 1) - hashed)
 
 
 class _Slice:
@@ -107,7 +113,7 @@ class _Slice:
         self.sizes = np.array([len(r) for r in self.raw], dtype=np.int64)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        self.docs = pc.fill_null(part.column("doc_id"), _NO_ID).to_numpy()
+        self.docs = part.column("doc").to_numpy()
         self.keys = np.array([_text_key(r) if len(r) >= length else 0 for r in self.raw], dtype=np.int64)
 
 
@@ -146,11 +152,12 @@ def _runs(s: _Slice, length: int, gram: int) -> tuple[np.ndarray, ...] | None:
 
 
 def _pack(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return (key << 44) | (start << 8) | count
+    """Key, place (texts are shorter than 4 GB) and count of a run in one number."""
+    return (key << 40) | (start << 8) | count
 
 
 def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return at >> 44, (at >> 8) & ((1 << 36) - 1), at & 255
+    return at >> 40, (at >> 8) & ((1 << 32) - 1), at & 255
 
 
 def _batch(kind: int, bucket, sub, doc, at) -> pa.RecordBatch:
@@ -260,7 +267,7 @@ def _members(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     yield from held.add(bucket, sub, s.docs[doc], _pack(s.keys[doc], start, count))
         yield from held.flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _ROWS)
+    return docs.select(_doc().alias("doc"), "text").mapInArrow(run, _ROWS)
 
 
 def _suffixes(texts: DataFrame, length: int) -> DataFrame:
@@ -292,17 +299,16 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, key, start, end): bytes to remove, document by document; spans may overlap.
 
-    ``doc`` is doc_id (the least bigint for null), ``key`` tells texts of one doc_id apart.
+    ``doc`` is doc_id (see ``_doc`` for null), ``key`` tells texts of one doc_id apart.
     """
     first = stored(_refined(_members(docs, length, gram), length))
     open_runs = first.where(F.col("kind") == _MEMBER).groupBy("doc").agg(F.collect_list("at").alias("open"))
-    ids = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"))
-    again = ids.join(open_runs, "doc").select("doc_id", "text", "open")
+    again = docs.select(_doc().alias("doc"), "text").join(open_runs, "doc").select("doc", "text", "open")
     second = stored(_refined(_suffixes(again, length), length).where(F.col("kind") == _SPAN))
     return (
         first.where(F.col("kind") == _SPAN)
         .unionByName(second)
-        .select("doc", F.shiftright("at", 44).alias("key"), F.shiftright("at", 8).bitwiseAND(F.lit((1 << 36) - 1)).alias("start"), F.col("sub").alias("end"))
+        .select("doc", F.shiftright("at", 40).alias("key"), F.shiftright("at", 8).bitwiseAND(F.lit((1 << 32) - 1)).alias("start"), F.col("sub").alias("end"))
     )
 
 
@@ -314,7 +320,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
         .groupBy(F.col("doc").alias(doc))
         .agg(F.collect_list(F.struct("key", "start", "end")).alias(cut))
     )
-    rows = docs.withColumn(doc, F.coalesce("doc_id", F.lit(_NO_ID))).join(found, doc, "left").drop(doc)
+    rows = docs.withColumn(doc, _doc()).join(found, doc, "left").drop(doc)
     made = ["kept", "n_bytes", "n_removed", "n_spans"]
     given = [f for f in docs.schema.fields if f.name not in made]
     schema = T.StructType([*given, T.StructField("kept", T.BinaryType()), *(T.StructField(m, T.LongType()) for m in made[1:])])
