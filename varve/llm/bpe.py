@@ -26,6 +26,9 @@ from varve.llm.common import WordCache, kept, parts_of, slices, texts_of
 # How the vocabulary splits a text into words before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Words, and pieces of texts, whose ids a worker remembers: workers share an executor's memory with Spark.
+CACHED = 150_000
+
 _NEVER = np.int64(1) << 40
 _LOCKSTEP = 64
 _BESIDE_SPACE = -1
@@ -204,8 +207,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.find = regex.compile(SPLIT).findall
-        self.words = WordCache(lambda words: encode_words(words, vocabulary))
-        self.pieces = WordCache(self._encode_pieces)
+        self.words = WordCache(lambda words: encode_words(words, vocabulary), CACHED)
+        self.pieces = WordCache(self._encode_pieces, CACHED)
         self.names = sorted(vocabulary.specials, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.names)) + ")")
 

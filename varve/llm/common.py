@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Bytes of text a worker turns into numpy arrays at once; one longer text is handled alone.
@@ -66,14 +67,26 @@ def strings(values: pa.Array) -> list[str]:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
-_KEPT: dict = {}
+# Kind -> key, stage that used it last, value.
+_KEPT: dict[str, tuple] = {}
 
 
 def kept(key: tuple, make: Callable):
-    """``make()``, once in the life of a Python worker: tasks that follow find it warm."""
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
+    """``make()``, kept for the tasks of a Python worker that follow and ask for the same ``key``.
+
+    Of a kind (the key's first part) only the last one is kept, and what the tasks of other stages
+    kept goes when a stage asks for the first time: workers live longer than the operators.
+    """
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
+    for kind in [k for k, (_, last, _) in _KEPT.items() if k != key[0] and last != stage]:
+        del _KEPT[kind]
+    if key[0] not in _KEPT or _KEPT[key[0]][0] != key:
+        _KEPT.pop(key[0], None)
+        _KEPT[key[0]] = (key, stage, make())
+    value = _KEPT[key[0]][2]
+    _KEPT[key[0]] = (key, stage, value)
+    return value
 
 
 class WordCache(dict):
