@@ -21,7 +21,7 @@ class _Step:
         self.active = active
         tracked = list(track_cols or [c for c in active.columns if c not in META and c != key])
         self.joined = (
-            source.withColumn("_sent", _once(key) if check_unique else F.lit(True)).alias("s")
+            source.withColumn("_sent", _once(source, key) if check_unique else F.lit(True)).alias("s")
             .join(
                 active.withColumn("_known", F.lit(True)).alias("t"),
                 F.col(f"s.{key}") == F.col(f"t.{key}"),
@@ -49,9 +49,13 @@ class _Step:
         ])
 
 
-def _once(key: str) -> Column:
-    """True, failing while running for a second row of a key; null keys match nothing and may repeat."""
-    repeat = (F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))) > 1) & F.col(key).isNotNull()
+def _once(source: DataFrame, key: str) -> Column:
+    """True, failing while running for a second row of a key; null keys match nothing and may repeat.
+
+    Rows without a key are spread by a hash of the row, so that they are no hot group.
+    """
+    lane = F.when(F.col(key).isNull(), F.xxhash64(*source.columns))
+    repeat = (F.row_number().over(Window.partitionBy(key, lane).orderBy(F.lit(0))) > 1) & F.col(key).isNotNull()
     message = F.lit(f"history source has several rows for one key ['{key}']")
     return F.when(repeat, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
 
