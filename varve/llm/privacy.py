@@ -235,13 +235,11 @@ def find(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         .groupBy(key)
         .agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias(terms_of))
     )
-    given_away = _term_spans(F.col("text"), F.col(terms_of))
-    return (
-        found.withColumn(key, F.when(F.size("spans") > 0, F.sha2("text", 256)))
-        .join(stored(by_text), key, "left")
-        .withColumn("spans", F.concat("spans", F.coalesce(given_away, F.array().cast(_SPANS))))
-        .drop(key, terms_of)
-    )
+    given_away = F.coalesce(_term_spans(F.col("text"), F.col(terms_of)), F.array().cast(_SPANS))
+    # Only the texts that hold an entity meet their terms; the others are not moved.
+    held = found.where(F.size("spans") > 0).withColumn(key, F.sha2("text", 256)).join(stored(by_text), key, "left")
+    held = held.withColumn("spans", F.concat("spans", given_away)).select(*found.columns)
+    return found.where(F.size("spans") == 0).unionByName(held)
 
 
 def rewrite(found: DataFrame) -> DataFrame:
