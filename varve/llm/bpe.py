@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varve.llm.common import WordCache, kept, parts_of, slices, texts_of
+from varve.llm.common import WordCache, give_back, kept, parts_of, slices, texts_of
 
 # How the vocabulary splits a text into words before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -271,6 +271,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             for part in slices(batch, text):
                 made = pa.array(encoder(texts_of(part, text)), type=pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, ids])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -282,8 +283,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
     schema = T.StructType([*encoded.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(("bpe", source.value), lambda: Encoder(Vocabulary(source.value)))
-        token = encoder.vocabulary.tokens.__getitem__
+        # Decoding has workers of its own, which need no more of the vocabulary than this.
+        token = kept(("bpe tokens", source.value), lambda: Vocabulary(source.value).tokens).__getitem__
         for batch in batches:
             for part in slices(batch, ids):
                 made = [
@@ -293,6 +294,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(made, type=pa.string())], [*part.schema.names, text]
                 )
+        give_back()
 
     return encoded.mapInArrow(run, schema)
 

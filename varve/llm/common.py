@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -67,6 +69,16 @@ def strings(values: pa.Array) -> list[str]:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker's share is wanted by other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 # Kind -> key, stage that used it last, value.
 _KEPT: dict[str, tuple] = {}
 
@@ -81,6 +93,7 @@ def kept(key: tuple, make: Callable):
     stage = context.stageId() if context else -1
     for kind in [k for k, (_, last, _) in _KEPT.items() if k != key[0] and last != stage]:
         del _KEPT[kind]
+        give_back()
     if key[0] not in _KEPT or _KEPT[key[0]][0] != key:
         _KEPT.pop(key[0], None)
         _KEPT[key[0]] = (key, stage, make())
