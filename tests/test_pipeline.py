@@ -455,6 +455,8 @@ def test_unknown_products_are_counted(spark, settings):
     pipeline.load_transactions(spark, s)
     assert pipeline.update_product_sales(spark, s) == {0: 3}
     assert table(spark, s, "gold", "product_sales_summary_gd").count() == 0
+    assert pipeline.update_customer_stats(spark, s, AS_OF) == {0: 3}
+    assert table(spark, s, "gold", "customers_stats_gd").count() == 0
 
 
 def test_silver_straight_from_a_stream(spark, settings, rows):

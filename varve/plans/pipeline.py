@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 from datetime import date
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -332,7 +333,7 @@ def apply_customer_stats(
         marked, seen = _observed(marts.with_customer(totals, customers, "left"), "total_transactions")
         folded = marts.fold_customers(spark.table(table), marts.customer_state(marked, as_of), as_of)
         publish_snapshot(spark, table, folded.rows, until)
-        lost = seen.get["lost"] or 0
+        lost = seen()
     if since < start:
         # Folded by a run that ended before its cursor moved, so its count is gone.
         totals = marts.customer_totals(_facts(spark, settings, since, min(start, until)))
@@ -371,7 +372,7 @@ def apply_product_sales(spark: SparkSession, settings: Settings, since: int, unt
             months,
             sort_by=marts.PRODUCT_KEYS[:1],
         )
-        lost = seen.get["lost"] or 0
+        lost = seen()
     gone = [F.col(MONTH).isin(some) & (F.col(VERSION) <= start) for start, some in starts.items() if start > since]
     if gone:
         days = marts.product_days(facts.filter(reduce(lambda a, b: a | b, gone)))
@@ -394,10 +395,21 @@ def _lost_count(marked_column: str) -> Column:
     return F.sum(F.when(~F.col("is_known"), F.col(marked_column))).alias("lost")
 
 
-def _observed(marked: DataFrame, counts: str) -> tuple[DataFrame, Observation]:
-    """Count, in the job that uses ``marked``, the facts without a known dimension row."""
+def _observed(marked: DataFrame, counts: str) -> tuple[DataFrame, Callable[[], int]]:
+    """``marked``, and how many facts without a known dimension row were in it once a job has used it.
+
+    The job counts them.  A job that finds no dimension row at all leaves ``marked`` out, and with it
+    the counting; only then they are counted by a job of their own.
+    """
     seen = Observation()
-    return marked.observe(seen, _lost_count(counts)), seen
+
+    def lost() -> int:
+        try:
+            return seen.get["lost"] or 0
+        except Py4JJavaError:
+            return _lost(marked, counts)
+
+    return marked.observe(seen, _lost_count(counts)), lost
 
 
 def _lost(marked: DataFrame, counts: str) -> int:
