@@ -83,17 +83,25 @@ def give_back() -> None:
 _KEPT: dict[str, tuple] = {}
 
 
+def forget_others(kind: str | None = None) -> int:
+    """Drop what tasks of other stages kept, but for ``kind``; the stage of this task."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
+    old = [k for k, (_, last, _) in _KEPT.items() if k != kind and last != stage]
+    for k in old:
+        del _KEPT[k]
+    if old:
+        give_back()
+    return stage
+
+
 def kept(key: tuple, make: Callable):
     """``make()``, kept for the tasks of a Python worker that follow and ask for the same ``key``.
 
     Of a kind (the key's first part) only the last one is kept, and what the tasks of other stages
     kept goes when a stage asks for the first time: workers live longer than the operators.
     """
-    context = TaskContext.get()
-    stage = context.stageId() if context else -1
-    for kind in [k for k, (_, last, _) in _KEPT.items() if k != key[0] and last != stage]:
-        del _KEPT[kind]
-        give_back()
+    stage = forget_others(key[0])
     if key[0] not in _KEPT or _KEPT[key[0]][0] != key:
         _KEPT.pop(key[0], None)
         _KEPT[key[0]] = (key, stage, make())

@@ -28,7 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varve.llm.common import WordCache, kept, slices, texts_of, unused
+from varve.llm.common import WordCache, give_back, kept, slices, texts_of, unused
+
+# Words whose projections a worker remembers.
+CACHED = 200_000
 
 FOLDS, HELD_OUT = 5, 0
 
@@ -179,7 +182,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             sums = np.bincount(owners, weights=weights[buckets], minlength=len(words))
             return (sums + 1j * np.bincount(owners, minlength=len(words))).tolist()
 
-        cache = kept(("quality", name), lambda: WordCache(measure))
+        cache = kept(("quality", name), lambda: WordCache(measure, CACHED))
         for batch in batches:
             for part in slices(batch, text):
                 words = [t.split() for t in texts_of(part, text)]
@@ -192,6 +195,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
                 logit = sums.real / np.maximum(sums.imag, 1) + bias
                 made = pa.array(1 / (1 + np.exp(-logit)), type=pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.common import slices, stored, strings, texts_of
+from varve.llm.common import forget_others, slices, stored, strings, texts_of
 
 BITS, PIVOTS = 64, 16
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fingerprint (bigint, the 64 bits) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             for part in slices(batch, "text"):
@@ -329,6 +330,7 @@ def _first_seen(docs: DataFrame, words: int, make: Callable, schema: str) -> Dat
     """``make(key, shingles)`` of each text with words (arrays of equal length), once a task for equal texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -348,6 +350,7 @@ def _text_keys(docs: DataFrame, words: int) -> DataFrame:
     """doc_id and unit (hash of the words in order) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             for part in slices(batch, "text"):
                 keys = pa.array(_shingled(part.column("text"), words)[0])
@@ -371,6 +374,7 @@ def _cell_counts(docs: DataFrame, words: int) -> np.ndarray:
     size = (1 << _CELL_BITS) // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         cells = np.zeros(1 << _CELL_BITS, dtype=np.int32)
         seen: set[int] = set()
         for batch in batches:
