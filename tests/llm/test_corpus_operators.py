@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import random
 import re
 import zlib
 
@@ -382,6 +383,62 @@ def test_main_text_under_names_of_boilerplate():
     assert mainhtml.extract_one(f"<body>{part}<div class=x>a b c</div>{part}</body>", {"div.x": -3.0}) == f"{story}\n\n{story}"
 
 
+def test_main_text_without_comments_sidebars_and_adverts():
+    story = " ".join(f"word{i}" for i in range(120))
+    half = f"<p>{story}</p>"
+    for size in (1, 20, 60, 119, 200):
+        other = f"<p>{' '.join(['other'] * size)}</p>"
+        for name in ("comments", "comment-list", "advert", "ad-slot", "ads", "cookie-notice", "post-comments"):
+            block = f"<div class='{name}'>{other}</div>"
+            for page in (
+                f"<body><article>{half}{block}{half}</article></body>",
+                f"<body><article>{half}{half}{block}</article></body>",
+                f"<body>{block}<article>{half}{half}</article>{block}</body>",
+                f"<body>{half}{block}{half}</body>",
+                f"<body><main>{half}<div id={name}>{other}</div>{half}</main></body>",
+            ):
+                # Comments that always stand inside articles are no part of them, whatever that teaches.
+                assert mainhtml.extract_one(page, {f"div.{name}": 5.0}) == f"{story}\n\n{story}", (name, size, page)
+        for name in ("sidebar", "left-sidebar", "notice", "newsletter-signup", "related", "social-links"):
+            block = f"<div class='{name}'>{other}</div>"
+            for page in (f"<body><article>{half}{block}{half}</article></body>", f"<body>{block}<article>{half}{half}</article>{block}</body>"):
+                assert mainhtml.extract_one(page, {}) == f"{story}\n\n{story}", (name, size, page)
+    # What holds all, what is named content as well, program text, and names that only hold such a word.
+    assert mainhtml.extract_one(f"<body><div class=comments>{half}</div></body>", {}) == story
+    assert mainhtml.extract_one(f"<body><div class=sidebar-right>{half}<div class=sidebar>one two</div></div></body>", {}) == story
+    assert mainhtml.extract_one(f"<body><div class='content header'>{half}</div>{half}</body>", {}) == f"{story}\n\n{story}"
+    assert mainhtml.extract_one(f"<body>{half}<pre>x <span class=comment># note</span></pre></body>", {}) == f"{story}\n\nx # note"
+    assert mainhtml.kind_of("comments-open") == mainhtml.kind_of("has-sidebar") == mainhtml.kind_of("post-header") == ""
+
+
+def test_main_text_is_the_best_of_all_stretches():
+    """The scan's region has the greatest sum of any contiguous stretch of words and tags."""
+    rng = random.Random(5)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 12)):
+            words = " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(0, 30)))
+            parts.append(rng.choice(["<p>%s</p>", "<section class='share-price'>%s</section>", "<div id=social-history>%s</div>", "%s<br>"]) % words)
+        page = "".join(parts)
+        events = [(m["text"], (m["tag"] or "").lower(), m["attrs"] or "", m["close"]) for m in mainhtml._TOKEN.finditer(page)]
+        scores, open_names = [], []
+        for text, tag, attrs, close in events:
+            if text is not None:
+                scores.append(float(len(text.split())))
+                continue
+            if close:
+                named = open_names.pop()
+            else:
+                named = "=" in attrs
+                if tag != "br":
+                    open_names.append(named)
+            scores.append(-mainhtml._against(mainhtml.UNSEEN) - 0.01 - (mainhtml.NAME_COST if named else 0.0))
+        sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        best = max(sums.values(), default=0.0)
+        texts = {" ".join(" ".join(e[0] or "" for e in events[i:j]).split()) for (i, j), x in sums.items() if x > best - 1e-9} if best > 0 else {""}
+        assert " ".join(mainhtml.extract_one(page, {}).split()) in texts, page
+
+
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     assert rows and all(r["round_trip"] for r in rows) and len({r["doc_id"] for r in rows}) == len(rows)

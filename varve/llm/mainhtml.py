@@ -7,7 +7,11 @@ Elements whose learned weight says "not content" (and kinds that hardly are: scr
 forms, menus ...) make no part of the region's text, but ``html``, ``body``, ``main``, ``article`` and
 elements that hold most of what the author marked (most of the page's words, if nothing is marked)
 are never taken out.
-Names that often mark what is not content make an element's tag dear, outside of marked content and
+Elements named as reader comments, adverts, sidebars, notices and the like (all parts of a class, id or role
+are such words or words of layout) are taken out in the same way, inside marked content, too.  Comments and
+adverts only stay where they hold nine tenths of it; learned weights overrule the other names, but for sidebars,
+as what always stands inside ``<article>`` need not be its text.
+Names that only hold such a word ("related-work") make an element's tag dear, outside of marked content and
 as far as no learned weight of the name says otherwise; its words count as any others.
 
 Blocks are cut at block-level tags; white space inside a block becomes one blank; blocks are
@@ -21,6 +25,7 @@ no text.
 
 from __future__ import annotations
 
+import functools
 import html
 import json
 import math
@@ -55,6 +60,25 @@ NAMED = re.compile(
     re.I,
 )
 
+# Parts of the names of elements to be taken out, and parts that say nothing beside them.
+COMMENTS = set("comment comments commentary respond replies disqus discussion".split())
+ADVERTS = set("ad ads advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored cookie cookies consent gdpr".split())
+SIDES = set("sidebar sidebars complementary".split())
+OTHERS = set(
+    "banner breadcrumb breadcrumbs contentinfo footer header hidden menu menus nav navbar navigation newsletter notice notices popup "
+    "promo promos promotion promotions recommend recommended recommendations related search share sharing social subscribe subscription "
+    "toolbar widget widgets".split()
+)
+LAYOUT = set(
+    "area bar block body bottom box buttons column container content group holder icons inner item items left links list main modal outer "
+    "overlay page panel primary right secondary section signup site slot space thread top unit wrap wrapper".split()
+)
+STORY = set("article entry post story".split())
+PLAIN_NAMES = set("article body content entry main page post story text".split())
+
+# Share of the marked words (the page's, if nothing is marked) that an element to be taken out must hold to stay.
+MOST, NEARLY_ALL = 0.5, 0.9
+
 # Log odds of tags no labelled page holds (a cost of about a seventh of a word), and the odds
 # of names below which an element is not content.
 UNSEEN, NOT_CONTENT = 1.8, -2.0
@@ -79,6 +103,31 @@ def keys_of(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
     return (tag, *(f"{tag}.{n}" for n in names)), any(NAMED.search(n) for n in names)
 
 
+@functools.lru_cache(maxsize=100_000)
+def kind_of(name: str) -> str:
+    """Which of the fixed lists a class, id or role belongs to: "foreign" (comments, adverts), "side", "other" or ""."""
+    parts = {x for x in re.split(r"[-_:]+|\d+", name) if x}
+    rest = parts - COMMENTS - ADVERTS - SIDES - OTHERS
+    if len(rest) == len(parts) or rest - LAYOUT - (set() if "header" in parts else STORY):
+        return ""
+    return "foreign" if parts & (COMMENTS | ADVERTS) else "side" if parts & SIDES else "other"
+
+
+def taken_out(keys: tuple[str, ...], weights: dict[str, float]) -> float:
+    """Share of the content that the element must hold to stay; 0 if it stays anyway."""
+    share = MOST if _never(keys) or any(weights.get(k, 0.0) < NOT_CONTENT for k in keys[1:]) else 0.0
+    names = [k[len(keys[0]) + 1 :] for k in keys[1:]]
+    if not any(n in PLAIN_NAMES for n in names):
+        for key, name in zip(keys[1:], names):
+            kind = kind_of(name)
+            # In program text a span of class "comment" is the text's own.
+            if kind == "foreign" and not (keys[0] in INLINE and COMMENTS & set(re.split(r"[-_]", name))):
+                share = NEARLY_ALL
+            elif kind == "side" or (kind == "other" and weights.get(key, 0.0) <= 0):
+                share = max(share, MOST)
+    return share
+
+
 class Open(NamedTuple):
     """An open element; all but tag and keys also hold for what stands in it.
 
@@ -98,14 +147,15 @@ _PAGE = Open("", (), 0, False)
 
 
 class Hidden:
-    """Elements to be taken out, unless they hold most of what the author marked (or of the page, if nothing is marked)."""
+    """Elements to be taken out, unless they hold so much of what the author marked (or of the page, if nothing is marked)."""
 
     def __init__(self) -> None:
-        # By number: the element around, words outside links, marked words, whether a control.
-        self.parent, self.words, self.inner, self.control = [0], [0], [0], [False]
+        # By number: the element around, words outside links, marked words, whether a control, share to stay.
+        self.parent, self.words, self.inner, self.control, self.share = [0], [0], [0], [False], [0.0]
 
-    def add(self, tag: str, parent: int) -> int:
+    def add(self, tag: str, parent: int, share: float) -> int:
         self.parent.append(parent)
+        self.share.append(share)
         self.words.append(0)
         self.inner.append(0)
         self.control.append(tag in CONTROLS or self.control[parent])
@@ -127,12 +177,12 @@ class Hidden:
             inner[self.parent[c]] += inner[c]
         out = [True]
         for c in range(1, len(words)):
-            most = 2 * inner[c] > inner[0] or (not inner[0] and 2 * words[c] > words[0])
+            most = inner[c] > self.share[c] * inner[0] or (not inner[0] and words[c] > self.share[c] * words[0])
             out.append(most and not self.control[c] and out[self.parent[c]])
         return out
 
 
-def tokens(page: str, hides: Callable[[tuple[str, ...]], bool], hidden: Hidden) -> Iterator[tuple[str, tuple[str, ...], str, list[Open]]]:
+def tokens(page: str, hides: Callable[[tuple[str, ...]], float], hidden: Hidden) -> Iterator[tuple[str, tuple[str, ...], str, list[Open]]]:
     """(kind, keys, text, open elements) of a page; kind is "text", "open", "close";
     begin and end of an element with a name of NAMED are "open named" and "close named".
 
@@ -163,13 +213,14 @@ def tokens(page: str, hides: Callable[[tuple[str, ...]], bool], hidden: Hidden)
             yield "open named" if named else "open", keys, "", stack
             if tag not in VOID and not m["attrs"].endswith("/"):
                 above = stack[-1]
-                number = hidden.add(tag, above.hidden) if tag not in KEPT and hides(keys) else above.hidden
+                share = 0.0 if tag in KEPT else hides(keys)
+                number = hidden.add(tag, above.hidden, share) if share else above.hidden
                 stack.append(Open(tag, keys, number, above.marked or tag in MARKED, above.link or tag == "a", named))
                 count[tag] += 1
 
 
-def _never(keys: tuple[str, ...]) -> bool:
-    return keys[0] in NEVER
+def _never(keys: tuple[str, ...]) -> float:
+    return MOST if keys[0] in NEVER else 0.0
 
 
 def _counts(page: str) -> Counter:
@@ -240,8 +291,8 @@ def extract_one(page: str, weights: dict[str, float]) -> str:
     numbers: list[int] = []
     hidden = Hidden()
 
-    def hides(keys: tuple[str, ...]) -> bool:
-        return _never(keys) or any(weights.get(k, 0.0) < NOT_CONTENT for k in keys[1:])
+    def hides(keys: tuple[str, ...]) -> float:
+        return taken_out(keys, weights)
 
     for kind, keys, text, stack in tokens(page, hides, hidden):
         top = stack[-1]
@@ -255,7 +306,7 @@ def extract_one(page: str, weights: dict[str, float]) -> str:
         else:
             odds = max((weights.get(f"<{k}>", UNSEEN) for k in keys), key=abs)
             scores.append(-_against(odds) - 0.01)
-            if kind.endswith("named") and not top.marked and keys[0] not in KEPT:
+            if kind.endswith("named") and not top.marked and keys[0] not in KEPT and keys[0] not in INLINE and not hides(keys):
                 known = [weights[k] for k in keys[1:] if k in weights]
                 scores[-1] -= NAME_COST * (_against(max(known, key=abs)) if known else 1.0)
             events.append(None if keys[0] not in INLINE else " " if keys[0] == "br" else "")
