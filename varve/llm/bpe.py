@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varve.llm.common import WordCache, give_back, kept, parts_of, slices, texts_of
+from varve.llm.common import WordCache, kept, parts_of, slices, texts_of, tidy
 
 # How the vocabulary splits a text into words before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -271,9 +271,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
             for part in slices(batch, text):
                 made = pa.array(encoder(texts_of(part, text)), type=pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, ids])
-        give_back()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -294,9 +293,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(made, type=pa.string())], [*part.schema.names, text]
                 )
-        give_back()
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

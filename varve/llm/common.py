@@ -79,6 +79,22 @@ def give_back() -> None:
         pass  # not this C library
 
 
+# Fixed values of the C library: the parameter that says from which size on memory is mapped, and that size.
+_MAPPED_FROM, _MAPPED = -3, 1 << 20
+
+
+def return_large() -> None:
+    """From now on this worker's large arrays, Arrow's too, go back to the system as soon as they are freed.
+
+    Left alone, the C library raises that size to 32 MB, and what is freed below stays with the worker.
+    """
+    try:
+        ctypes.CDLL(None).mallopt(_MAPPED_FROM, _MAPPED)
+        pa.set_memory_pool(pa.system_memory_pool())
+    except (AttributeError, OSError):
+        pass  # not this C library
+
+
 # Kind -> key, stage that used it last, value.
 _KEPT: dict[str, tuple] = {}
 
@@ -110,6 +126,20 @@ def kept(key: tuple, make: Callable):
     return value
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` as a task that starts without what other stages kept and leaves no freed memory with the worker."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_large()
+        forget_others()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 class WordCache(dict):
     """Values of words, computed for all unknown words of a slice together.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varve.llm.common import WordCache, give_back, kept, slices, texts_of, unused
+from varve.llm.common import WordCache, kept, slices, texts_of, tidy, unused
 
 # Words whose projections a worker remembers.
 CACHED = 200_000
@@ -195,9 +195,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
                 logit = sums.real / np.maximum(sums.imag, 1) + bias
                 made = pa.array(1 / (1 + np.exp(-logit)), type=pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, out])
-        give_back()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.common import forget_others, slices, stored, strings, texts_of
+from varve.llm.common import slices, stored, strings, texts_of, tidy
 
 BITS, PIVOTS = 64, 16
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -82,7 +82,6 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fingerprint (bigint, the 64 bits) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_others()
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             for part in slices(batch, "text"):
@@ -103,7 +102,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
                     [part.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "fingerprint"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fingerprint bigint")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, fingerprint bigint")
 
 
 def _masks(bits: list[int], blocks: int, keep: int) -> list[int]:
@@ -211,7 +210,7 @@ def _bucketed_links(keyed: DataFrame, k: int) -> DataFrame:
         keyed.repartition("choice", "key")
         .sortWithinPartitions("choice", "key")
         .select("choice", "key", "fingerprint")
-        .mapInArrow(run, "a bigint, b bigint")
+        .mapInArrow(tidy(run), "a bigint, b bigint")
     )
 
 
@@ -330,7 +329,6 @@ def _first_seen(docs: DataFrame, words: int, make: Callable, schema: str) -> Dat
     """``make(key, shingles)`` of each text with words (arrays of equal length), once a task for equal texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_others()
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -343,20 +341,19 @@ def _first_seen(docs: DataFrame, words: int, make: Callable, schema: str) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*made)], names)
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(tidy(run), schema)
 
 
 def _text_keys(docs: DataFrame, words: int) -> DataFrame:
     """doc_id and unit (hash of the words in order) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_others()
         for batch in batches:
             for part in slices(batch, "text"):
                 keys = pa.array(_shingled(part.column("text"), words)[0])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys], ["doc_id", "unit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, unit bigint")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, unit bigint")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -374,7 +371,6 @@ def _cell_counts(docs: DataFrame, words: int) -> np.ndarray:
     size = (1 << _CELL_BITS) // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_others()
         cells = np.zeros(1 << _CELL_BITS, dtype=np.int32)
         seen: set[int] = set()
         for batch in batches:
@@ -394,9 +390,9 @@ def _cell_counts(docs: DataFrame, words: int) -> np.ndarray:
         made = [np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.int32()), pa.array(made, type=pa.binary())], ["block", "n"])
 
-    parts = docs.select("text").mapInArrow(run, "block int, n binary")
+    parts = docs.select("text").mapInArrow(tidy(run), "block int, n binary")
     out = np.zeros(1 << _CELL_BITS, dtype=np.int32)
-    for row in parts.repartition("block").mapInArrow(added, "block int, n binary").collect():  # 64 rows
+    for row in parts.repartition("block").mapInArrow(tidy(added), "block int, n binary").collect():  # 64 rows
         out[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["n"], dtype=np.int32)
     return out
 
@@ -439,7 +435,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
             yield last
 
     schema = "token bigint, unit bigint, n int, pos int"
-    return prefixes.repartition("token").sortWithinPartitions("token", "unit").mapInArrow(run, schema)
+    return prefixes.repartition("token").sortWithinPartitions("token", "unit").mapInArrow(tidy(run), schema)
 
 
 def _alike(docs: DataFrame, units: DataFrame, words: int, similarity: float) -> DataFrame:
