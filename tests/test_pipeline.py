@@ -388,7 +388,12 @@ def test_two_snapshots_stay_on_disk(spark, settings):
         pipeline.load_customers(spark, s)
     assert table(spark, s, "silver", "customers_si").count() == 4
     base = f"{s.layer_path('silver')}/customers_si"
-    assert sorted(d for d in os.listdir(base) if d.startswith("v")) == ["v2", "v3"]
+    kept = [f"{v}/{k}" for v in os.listdir(base) if v.startswith("v") for k in os.listdir(f"{base}/{v}") if k.startswith("slice=")]
+    touched = {}
+    for i in range(4):
+        [k] = tables.touched_slices(spark, s.table("silver", "customers_si_slices"), spark.createDataFrame([(i,)], "customer_id INT"))
+        touched.setdefault(k, []).append(i)
+    assert sorted(kept) == sorted(f"v{v}/slice={k}" for k, versions in touched.items() for v in versions[-2:])
 
 
 def test_merging_does_not_shuffle_the_stored_side(spark, two_rounds):
@@ -403,11 +408,108 @@ def test_merging_does_not_shuffle_the_stored_side(spark, two_rounds):
             assert text.count("Exchange") == 1 and "Bucketed: true" in text
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    files = [f for f in os.listdir(tables.location_of(spark, s.table("silver", "customers_si")).removeprefix("file:"))
-             if f.endswith(".parquet")]
+    files = table(spark, s, "silver", "customers_si").inputFiles()
     assert 0 < len(files) <= 4
 
 
+def _slices(spark, s, name):
+    """Live folder and file names of every slice."""
+    found = {}
+    for path in spark.table(s.table("silver", name)).inputFiles():
+        folder, file = path.rsplit("/", 1)
+        found.setdefault(int(folder.rsplit("=", 1)[1]), set()).add((folder, file))
+    return found
+
+
+def test_untouched_slices_keep_their_files(spark, tmp_path, rows):
+    """A batch reads and rewrites the slices of its keys only, of customers and of products."""
+    s = Settings(root=str(tmp_path), env="slices", buckets=8)
+    pipeline.run_setup(spark, s)
+    customers(s, "c1.csv", *[f"{i},Ann,ann@x,NL,new,2024-01-01,18,f,1" for i in range(200)])
+    products(s, "p1.json", *[(i, "x", 5.0, 3.0, "10") for i in range(200)])
+    pipeline.run_bronze(spark, s, ("customers", "products"))
+    for step in (pipeline.load_customers, pipeline.load_products):
+        step(spark, s)
+    names = ("customers_si_slices", "products_si_slices")
+    before = {n: _slices(spark, s, n) for n in names}
+    for n in names:
+        assert sorted(before[n]) == list(range(8)) and all(len(files) == 1 for files in before[n].values())
+        # A slice's files are those of its bucket.
+        assert all(f"_{k:05d}." in file for k, files in before[n].items() for _, file in files)
+    customers(s, "c2.csv", "7,Bob,bob@x,NL,new,2024-01-01,18,m,1", "1000,New,new@x,NL,new,2024-01-01,18,m,1")
+    products(s, "p2.json", (7, "x", 6.0, 3.0, "10"), (8, "x", 5.0, 3.0, "10"))
+    pipeline.run_bronze(spark, s, ("customers", "products"))
+    for step in (pipeline.load_customers, pipeline.load_products):
+        step(spark, s)
+    for n, key, kind, changed in zip(names, ("customer_id", "product_id"), ("INT", "BIGINT"), ([7, 1000], [7])):
+        touched = tables.touched_slices(spark, s.table("silver", n), spark.createDataFrame([(k,) for k in changed], f"{key} {kind}"))
+        after = _slices(spark, s, n)
+        assert {k for k in after if after[k] != before[n][k]} == set(touched) != set(after)
+    assert rows(table(spark, s, "silver", "customers_si").filter("customer_id IN (6, 7, 1000)"), "customer_id", "name") == [
+        (1000, "New"), (6, "Ann"), (7, "Bob"),
+    ]
+    assert table(spark, s, "silver", "customers_si").count() == 201
+    history = table(spark, s, "silver", "products_si")
+    assert history.count() == 201
+    assert rows(history.filter("product_id = 7"), "price", "is_active") == [(5.0, False), (6.0, True)]
+
+
+@pytest.mark.parametrize("dies_at", ["ALTER", "_published_"])
+def test_crash_between_slices(spark, tmp_path, rows, monkeypatch, dies_at):
+    """Some slices are moved, the run dies: the retry ends what was begun, from the changes that stand."""
+    s = Settings(root=str(tmp_path), env=f"cut_{dies_at.strip('_').lower()}", buckets=4)
+    pipeline.run_setup(spark, s)
+    products(s, "p1.json", *[(i, "x", 5.0, 3.0, "10") for i in range(40)])
+    pipeline.run_bronze(spark, s, ["products"])
+    pipeline.load_products(spark, s)
+    products(s, "p2.json", *[(i, "x", 6.0, 3.0, "10") for i in range(40)])
+    pipeline.run_bronze(spark, s, ["products"])
+    real_sql, real_touch, seen = spark.sql, tables._touch, []
+
+    def sql(text, *args, **kwargs):
+        if "SET LOCATION" in text and "slice" in text:
+            seen.append(text)
+            if dies_at == "ALTER" and len(seen) == 3:
+                raise OSError("lost the driver")
+        return real_sql(text, *args, **kwargs)
+
+    def touch(session, path):
+        if dies_at in path:
+            raise OSError("lost the driver")
+        return real_touch(session, path)
+
+    with monkeypatch.context() as m:
+        m.setattr(spark, "sql", sql)
+        m.setattr(tables, "_touch", touch)
+        with pytest.raises(OSError):
+            pipeline.load_products(spark, s)
+    assert len(seen) >= 3
+    # Readers of the history do not see closed rows before all slices are in place.
+    assert table(spark, s, "silver", "products_si").count() == 40
+    pipeline.load_products(spark, s)
+    history = table(spark, s, "silver", "products_si")
+    assert rows(history.groupBy("price", "is_active").count()) == [(5.0, False, 40), (6.0, True, 40)]
+    assert table(spark, s, "silver", "products_si_changes").count() == 160
+
+
+def test_number_of_slices_outlives_the_session(spark, tmp_path, rows):
+    """Another number of shuffle partitions or buckets does not change tables that stand."""
+    s = Settings(root=str(tmp_path), env="lasting", buckets=4)
+    pipeline.run_setup(spark, s)
+    customers(s, "c1.csv", *[f"{i},Ann,ann@x,NL,new,2024-01-01,18,f,1" for i in range(20)])
+    pipeline.run_bronze(spark, s, ["customers"])
+    pipeline.load_customers(spark, s)
+    for name in ("customers_si", "customers_si_slices"):
+        spark.sql(f"DROP {'TABLE' if name.endswith('slices') else 'VIEW'} {s.table('silver', name)}")
+    again = Settings(root=str(tmp_path), env="lasting", buckets=7)
+    pipeline.run_setup(spark, again)
+    customers(again, "c2.csv", *[f"{i},Bob,bob@x,NL,new,2024-01-01,18,f,1" for i in range(10, 30)])
+    pipeline.run_bronze(spark, again, ["customers"])
+    pipeline.load_customers(spark, again)
+    found = table(spark, again, "silver", "customers_si").groupBy("name").count()
+    assert rows(found) == [("Ann", 10), ("Bob", 20)]
+
+
 def test_fact_lookup_prunes_months_at_run_time(spark, settings, rows):
     s = settings
     pipeline.run_setup(spark, s)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from varve import schemas
 from varve.functions import month_of, safe_date
-from varve.operators.changes import COMMITTED, POSTIMAGE, VERSION, new_images, read_changes
+from varve.operators.changes import CHANGE_TYPE, COMMITTED, POSTIMAGE, VERSION, new_images, read_changes
 from varve.operators.merge import insert_only, upsert
 from varve.operators.scd2 import active_after, scd2_changes
 from varve.plans import marts
@@ -37,19 +37,24 @@ from varve.sources.tables import (
     create_append_table,
     create_change_table,
     create_database,
+    create_sliced_table,
     create_snapshot_table,
+    in_slices,
     location_of,
     partition_values,
     partition_versions,
     publish_partitions,
     publish_snapshot,
+    sliced_version,
     snapshot_version,
     standing_versions,
+    touched_slices,
     values_of_versions,
 )
 from varve.streaming.ingest import ingest
 
 SILVER = {"customers_si": "customers_bz", "products_si": "products_bz", "transactions_si": "transactions_bz"}
+CUSTOMER_SLICES, PRODUCT_SLICES = "customers_si_slices", "products_si_slices"
 GOLD = ("customers_stats_gd", "sales_summary_gd", "product_sales_summary_gd")
 
 
@@ -72,13 +77,16 @@ def run_setup(spark: SparkSession, settings: Settings) -> None:
         table, path = at("bronze", name)
         create_append_table(spark, table, ddl, path, f"{BATCH} BIGINT")
 
-    for name, ddl, key in (
-        ("customers_si", schemas.CUSTOMERS_SI, "customer_id"),
-        ("products_si_active", schemas.PRODUCTS_SI, "product_id"),
-        ("meta_si", schemas.META_SI, None),
+    table, path = at("silver", "meta_si")
+    create_snapshot_table(spark, table, schemas.META_SI, path)
+    for name, slices, ddl, key in (
+        ("customers_si", CUSTOMER_SLICES, schemas.CUSTOMERS_SI, "customer_id"),
+        ("products_si_active", PRODUCT_SLICES, schemas.PRODUCTS_SI, "product_id"),
     ):
-        table, path = at("silver", name)
-        create_snapshot_table(spark, table, ddl, path, key=key, buckets=settings.buckets)
+        view, path = at("silver", name)
+        sliced = settings.table("silver", slices)
+        create_sliced_table(spark, sliced, ddl, path, key, settings.buckets)
+        spark.sql(f"CREATE OR REPLACE VIEW {view} AS SELECT {', '.join(schemas.columns(ddl))} FROM {sliced}")
     for name, ddl in (
         ("customers_si_changes", schemas.CUSTOMERS_SI),
         ("products_si_changes", schemas.PRODUCTS_SI),
@@ -135,16 +143,23 @@ def apply_customers(
     version: int,
     as_of: Column | date | None = None,
 ) -> None:
-    """Upsert one bronze batch into the current state of customers."""
-    table = settings.table("silver", "customers_si")
-    if snapshot_version(spark, table) >= version:
+    """Upsert one bronze batch into the current state of customers.
+
+    Only the slices of the batch's keys are read, and only those of changed keys are rewritten.
+    """
+    table, keys = settings.table("silver", CUSTOMER_SLICES), ["customer_id"]
+    if sliced_version(spark, table) >= version:
         return
-    keys, current = ["customer_id"], spark.table(table)
-    changes = upsert(current, clean_customers(batch, as_of), keys, check_unique=False).changes
-    written = _write_changes(spark, f"{table}_changes", changes, version)
+
+    def changes() -> DataFrame:
+        met = in_slices(spark, table, touched_slices(spark, table, batch))
+        return upsert(met, clean_customers(batch, as_of), keys, check_unique=False).changes
+
+    written = _write_changes(spark, settings.table("silver", "customers_si_changes"), changes, version)
     # A full-outer merge keeps the buckets of the table; see apply_changes for the same by keys.
+    current = in_slices(spark, table, touched_slices(spark, table, written))
     after = upsert(current, new_images(written), keys, check_unique=False).rows
-    publish_snapshot(spark, table, after, version)
+    publish_snapshot(spark, table, after, version, sliced=True)
 
 
 def apply_products(
@@ -152,17 +167,19 @@ def apply_products(
 ) -> None:
     """Merge one bronze batch into the product history.
 
-    Only the active rows are rewritten.  Closed rows are exactly the post-images in the
-    change log, so history grows by appending.
+    Only active rows are rewritten, those in slices of changed keys.  Closed rows are exactly the
+    post-images in the change log, so history grows by appending.
     """
-    table = settings.table("silver", "products_si_active")
-    if snapshot_version(spark, table) < version:
-        key, active = "product_id", spark.table(table)
-        changes = scd2_changes(active, clean_products(batch), key, check_unique=False)
-        written = _write_changes(
-            spark, settings.table("silver", "products_si_changes"), changes, version
-        )
-        publish_snapshot(spark, table, active_after(active, written, key), version)
+    table, key = settings.table("silver", PRODUCT_SLICES), "product_id"
+    if sliced_version(spark, table) < version:
+
+        def changes() -> DataFrame:
+            met = in_slices(spark, table, touched_slices(spark, table, batch))
+            return scd2_changes(met, clean_products(batch), key, check_unique=False)
+
+        written = _write_changes(spark, settings.table("silver", "products_si_changes"), changes, version)
+        active = in_slices(spark, table, touched_slices(spark, table, written))
+        publish_snapshot(spark, table, active_after(active, written, key), version, sliced=True)
     _publish_history_view(spark, settings)
 
 
@@ -220,22 +237,27 @@ def facts_of_months(facts: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def _write_changes(
-    spark: SparkSession, table: str, changes: DataFrame, version: int
+    spark: SparkSession, table: str, changes: Callable[[], DataFrame], version: int
 ) -> DataFrame:
-    """Write the changes and read them back: the merge join runs once and lineage ends here."""
-    stamped = changes.withColumn(COMMITTED, F.current_timestamp())
-    append_version(spark, table, stamped, version, then_by="_change_type")
+    """Write the changes and read them back: the merge join runs once and lineage ends here.
+
+    Changes that stand are not found again: a run that was cut off later may have moved some
+    slices already, and the changes give the same slices however often they are applied.
+    """
+    if not standing_versions(spark, table, [version], CHANGE_TYPE):
+        stamped = changes().withColumn(COMMITTED, F.current_timestamp())
+        append_version(spark, table, stamped, version, then_by=CHANGE_TYPE)
     return read_changes(spark, table, version - 1, version, types=None)
 
 
 def _publish_history_view(spark: SparkSession, settings: Settings) -> None:
-    active = settings.table("silver", "products_si_active")
+    active, sliced = settings.table("silver", "products_si_active"), settings.table("silver", PRODUCT_SLICES)
     closed = settings.table("silver", "products_si_changes")
     cols = ", ".join(schemas.columns(schemas.PRODUCTS_SI))
     spark.sql(
         f"CREATE OR REPLACE VIEW {settings.table('silver', 'products_si')} AS "
         f"SELECT {cols} FROM {active} UNION ALL SELECT {cols} FROM {closed} "
-        f"WHERE _change_type = '{POSTIMAGE}' AND {VERSION} <= {snapshot_version(spark, active)}"
+        f"WHERE {CHANGE_TYPE} = '{POSTIMAGE}' AND {VERSION} <= {sliced_version(spark, sliced)}"
     )
 
 

@@ -8,6 +8,8 @@ Three kinds of table cover every layer.
   the next directory and then moves the table's location, which is one catalog call.
 * *Partitioned snapshot*: the same per partition, so a batch rewrites only the partitions it
   touches.
+* *Sliced snapshot*: a partitioned one whose partitions are hash slices of its key, which are also
+  its buckets: a batch rewrites only the slices of its keys, and joins by key do not shuffle it.
 
 A location says which version produced it, so table contents and cursor cannot disagree: a
 batch whose version is already in the location is not applied again.  One writer per table.
@@ -24,14 +26,14 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from varve.errors import DatabaseMissing, NotNullViolated
 from varve.operators.changes import CHANGE_TYPE, COMMITTED, VERSION
 
 LAYERS = ("bronze", "silver", "gold")
-BATCH, MONTH = "batch_id", "transaction_month"
+BATCH, MONTH, SLICE = "batch_id", "transaction_month", "slice"
 # Only the table's own folder counts: the last one, or the one before ``name=value``.
 _VERSIONED = re.compile(r"/v(\d+)(?:/[^/=]+=[^/]*)?/?$")
 
@@ -122,7 +124,7 @@ def create_snapshot_table(
     if partition:
         columns, layout = f"{ddl}, {partition}", f"PARTITIONED BY ({partition.split()[0]})"
     if key:
-        count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        count = _lasting_buckets(spark, location, buckets)
         layout = f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {count} BUCKETS"
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet {layout} "
@@ -136,6 +138,40 @@ def create_snapshot_table(
             spark.sql(f"ALTER TABLE {table} SET LOCATION '{location}/v{newest}'")
 
 
+def create_sliced_table(
+    spark: SparkSession, table: str, ddl: str, location: str, key: str, slices: int | None = None
+) -> None:
+    """A snapshot cut into hash slices of ``key``, of which a publish rewrites only those it touches.
+
+    A slice is a bucket with a partition of its own: its number is the one Spark gives the bucket of
+    its keys.  So a join by key reads the buckets without a shuffle, and a filter by slice is
+    answered by the catalog.
+    """
+    _require_database(spark, table)
+    if spark.catalog.tableExists(table):
+        return
+    count = _lasting_buckets(spark, location, slices)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {table} ({ddl}, {SLICE} INT) USING parquet PARTITIONED BY ({SLICE}) "
+        f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {count} BUCKETS LOCATION '{location}/initial'"
+    )
+    _recover_partitions(spark, table, location, SLICE)
+
+
+def _lasting_buckets(spark: SparkSession, location: str, wanted: int | None) -> int:
+    """How many buckets the folders of a table are written with.
+
+    The first to create the table decides (the session's shuffle partitions where nothing is
+    ``wanted``); a file's name keeps it, as later sessions may have other settings.
+    """
+    fs, pattern = _hadoop(spark, f"{location}/_buckets_*")
+    for status in fs.globStatus(pattern) or []:
+        return int(status.getPath().getName().rsplit("_", 1)[1])
+    count = wanted or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _touch(spark, f"{location}/_buckets_{count}")
+    return count
+
+
 # Recovering ---------------------------------------------------------------------------------
 
 # Partitions added by one statement.
@@ -209,6 +245,40 @@ def snapshot_version(spark: SparkSession, table: str) -> int:
     return version_in(location_of(spark, table))
 
 
+def sliced_version(spark: SparkSession, table: str) -> int:
+    """Last version of a sliced table whose slices are all in place; -1 before the first publish."""
+    base = location_of(spark, table).rsplit("/", 1)[0]
+    return max((version for version, _ in _published(spark, base)), default=-1)
+
+
+def _published(spark: SparkSession, base: str) -> list[tuple[int, object]]:
+    fs, pattern = _hadoop(spark, f"{base}/_published_*")
+    found = [s.getPath() for s in fs.globStatus(pattern) or []]
+    return [(int(path.getName().rsplit("_", 1)[1]), path) for path in found]
+
+
+def touched_slices(spark: SparkSession, table: str, rows: DataFrame) -> list[int]:
+    """Slices of the keys in ``rows``: no more numbers than the table has slices."""
+    number = _slice_number(spark, table, _described(spark, table))
+    return sorted(r[0] for r in rows.select(number.alias(SLICE)).distinct().collect())
+
+
+def in_slices(spark: SparkSession, table: str, slices: Sequence[int]) -> DataFrame:
+    """The rows of some slices; the others are neither listed nor read."""
+    return spark.table(table).filter(F.col(SLICE).isin(list(slices))).drop(SLICE)
+
+
+def _slice_number(spark: SparkSession, table: str, described: dict[str, str]) -> Column:
+    key = _bucket_columns(described)[0]
+    # Of the table's type, because equal numbers of other types have other hashes.
+    typed = F.col(key).cast(spark.table(table).schema[key].dataType)
+    return F.pmod(F.hash(typed), F.lit(int(described["Num Buckets"]))).cast("int")
+
+
+def _bucket_columns(described: dict[str, str]) -> list[str]:
+    return re.findall(r"`([^`]+)`", described["Bucket Columns"])
+
+
 def partition_values(
     spark: SparkSession, table: str, name: str, within: dict[str, int] | None = None
 ) -> list[str]:
@@ -331,21 +401,30 @@ def publish_snapshot(
     version: int,
     sort_by: Sequence[str] = (),
     not_null: Sequence[str] = (),
+    sliced: bool = False,
 ) -> None:
     """Make ``rows`` the contents of ``table``; the previous version stays on disk.
 
+    Of a ``sliced`` table they become the contents of the slices they belong to, and must be all
+    rows of those; the other slices are neither read nor moved.
+
     Nulls in ``not_null`` columns are counted by the job that writes; any of them keeps the
     previous version in place and raises.
     """
     described = _described(spark, table)
     base = described["Location"].rsplit("/", 1)[0]
     path = f"{base}/v{version}"
+    if sliced:
+        rows = rows.withColumn(SLICE, _slice_number(spark, table, described))
+        # A version that was written to its end may be in place in part already.
+        if path_exists(spark, f"{path}/_SUCCESS"):
+            return _place_slices(spark, table, base, version)
     rows = _in_table_shape(spark, table, rows)
     missing = Observation()
     if not_null:
         rows = rows.observe(missing, *[F.count_if(F.col(c).isNull()).alias(c) for c in not_null])
     if "Num Buckets" in described:
-        _write_bucketed(spark, table, rows, path, described)
+        _write_bucketed(spark, table, rows, path, described, by=[SLICE] if sliced else [])
     else:
         if sort_by:
             rows = rows.sortWithinPartitions(*sort_by)
@@ -355,19 +434,22 @@ def publish_snapshot(
             if count:
                 _hadoop(spark, path)[0].delete(_hadoop(spark, path)[1], True)
                 raise NotNullViolated(table, column, count)
+    if sliced:
+        return _place_slices(spark, table, base, version)
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
     _drop_older(spark, f"{base}/v*", version_in(described["Location"]))
 
 
 def _write_bucketed(
-    spark: SparkSession, table: str, rows: DataFrame, path: str, described: dict[str, str]
+    spark: SparkSession, table: str, rows: DataFrame, path: str, described: dict[str, str], by: Sequence[str]
 ) -> None:
     """Write files in the table's buckets; only tables can be bucketed, so one stands in."""
     stand_in = f"{table}__next"
-    keys = re.findall(r"`([^`]+)`", described["Bucket Columns"])
+    keys = _bucket_columns(described)
     spark.sql(f"DROP TABLE IF EXISTS {stand_in}")
     (
         rows.write.mode("overwrite")
+        .partitionBy(*by)
         .bucketBy(int(described["Num Buckets"]), *keys)
         .sortBy(*keys)
         .option("path", path)
@@ -378,6 +460,38 @@ def _write_bucketed(
     spark.sql(f"DROP TABLE {stand_in}")
 
 
+def _place_slices(spark: SparkSession, table: str, base: str, version: int) -> None:
+    """Move the slices a version wrote to its folder, then note that it is in place.
+
+    Every step may be repeated.  Two versions of a slice stay on disk; folders that hold no slice
+    any more go, so that one listing of the folders stays as short as the table has slices.
+    """
+    fs, pattern = _hadoop(spark, f"{base}/v*/{SLICE}=*")
+    folders: dict[str, dict[int, object]] = {}
+    for status in fs.globStatus(pattern) or []:
+        path = status.getPath()
+        number = path.getName().split("=", 1)[1]
+        folders.setdefault(number, {})[version_in(path.toString())] = path
+    written = sorted((k for k, versions in folders.items() if version in versions), key=int)
+    spec = f"PARTITION ({SLICE} = {{}}) LOCATION '{base}/v{version}/{SLICE}={{}}'"
+    _add_partitions(spark, table, [spec.format(k, k) for k in written])
+    for k in written:
+        if len(folders[k]) > 1:
+            spark.sql(f"ALTER TABLE {table} PARTITION ({SLICE} = {k}) SET LOCATION '{base}/v{version}/{SLICE}={k}'")
+    spark.catalog.refreshTable(table)
+    _touch(spark, f"{base}/_published_{version}")
+    for older, mark in _published(spark, base):
+        if older < version:
+            fs.delete(mark, False)
+    left = {path.getParent() for k in written for v, path in folders[k].items() if v < version}
+    for k in written:
+        for older in sorted(v for v in folders[k] if v < version)[:-1]:
+            fs.delete(folders[k][older], True)
+    for folder in left:
+        if not _values_below(spark, folder.toString(), SLICE):
+            fs.delete(folder, True)
+
+
 def publish_partitions(
     spark: SparkSession,
     table: str,
@@ -423,7 +537,11 @@ def _hadoop(spark: SparkSession, path: str):
 
 def _mark_complete(spark: SparkSession, folder: str) -> None:
     """Jobs leave this mark themselves, but for dynamic overwrites."""
-    fs, mark = _hadoop(spark, f"{folder}/_SUCCESS")
+    _touch(spark, f"{folder}/_SUCCESS")
+
+
+def _touch(spark: SparkSession, path: str) -> None:
+    fs, mark = _hadoop(spark, path)
     fs.create(mark, True).close()
 
 
