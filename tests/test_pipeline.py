@@ -7,6 +7,7 @@ import subprocess
 import sys
 from datetime import date, datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from varve.plans.marts import customer_stats, product_sales, sales_summary
 from varve.sources import cursors, tables
 from varve.sources.tables import Settings, version_in
 from varve.sources.feeds import CUSTOMERS, PRODUCTS, TRANSACTIONS, read_feed, stream_feed
-from varve.streaming.ingest import ingest
+from varve.streaming.ingest import ingest, land_batch
 
 AS_OF = date(2024, 6, 30)
 
@@ -492,6 +493,58 @@ def test_crash_between_slices(spark, tmp_path, rows, monkeypatch, dies_at):
     assert table(spark, s, "silver", "products_si_changes").count() == 160
 
 
+def _ranges(files, column):
+    """(file, least, greatest) of every row group."""
+    found = []
+    for path in files:
+        meta = pq.read_metadata(path.removeprefix("file://").removeprefix("file:"))
+        number = next(i for i in range(meta.num_columns) if meta.schema.column(i).name == column)
+        for group in range(meta.num_row_groups):
+            stats = meta.row_group(group).column(number).statistics
+            found.append((path, stats.min, stats.max))
+    return found
+
+
+def test_bronze_and_facts_are_laid_out_by_key_and_time(spark, settings, rows):
+    """Of row groups, a key reads one a batch, a time range those of its batches; a hot key is cut."""
+    s = settings
+    pipeline.run_setup(spark, s)
+    bronze = s.table("bronze", "customers_bz")
+    columns = spark.table(bronze).drop("batch_id").schema
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for batch_id in range(2):
+            batch = spark.range(3000).select(
+                ((F.col("id") * 7919) % 1000).cast("int").alias("customer_id"),
+                F.lit(datetime(2024, 1, 1 + batch_id)).alias("inserted_time"),
+                *[F.lit(None).cast(f.dataType).alias(f.name) for f in columns if f.name not in ("customer_id", "inserted_time", "age")],
+                F.col("id").cast("int").alias("age"),
+            )
+            if batch_id == 1:
+                hot = (F.col("age") % 3 == 0)
+                batch = batch.withColumn("customer_id", F.when(hot, 500).otherwise(F.col("customer_id")))
+            land_batch(bronze, batch, batch_id, "customer_id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.table(bronze).count() == 6000
+    first = _ranges(spark.table(bronze).filter("batch_id = 0").inputFiles(), "customer_id")
+    assert len(first) == 4
+    for key in (0, 333, 999):
+        assert sum(low <= key <= high for _, low, high in first) <= 2
+    assert sum(high > low for _, low, high in first) == 4 and sum(high - low for _, low, high in first) < 1000
+    second = spark.table(bronze).filter("batch_id = 1")
+    per_file = [n for _, n in rows(second.filter("customer_id = 500").groupBy(F.input_file_name()).count())]
+    assert len(per_file) >= 2 and max(per_file) < 900
+    times = _ranges(spark.table(bronze).inputFiles(), "inserted_time")
+    assert {p for p, _, high in times if high.date() >= date(2024, 1, 2)} == set(second.inputFiles())
+    transactions(s, "t.json", *[(str(i), (i * 7919) % 1000, 1, 1, 1.0, f"2024-0{1 + i % 2}-01", "card", "web") for i in range(500)])
+    ingest(spark, TRANSACTIONS, s)
+    pipeline.load_transactions(spark, s)
+    for path in table(spark, s, "silver", "transactions_si").inputFiles():
+        ids = pq.read_table(path.removeprefix("file://").removeprefix("file:"), columns=["customer_id"])["customer_id"].to_pylist()
+        assert len(ids) > 0 and ids == sorted(ids)
+
+
 def test_number_of_slices_outlives_the_session(spark, tmp_path, rows):
     """Another number of shuffle partitions or buckets does not change tables that stand."""
     s = Settings(root=str(tmp_path), env="lasting", buckets=4)

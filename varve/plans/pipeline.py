@@ -226,7 +226,7 @@ def apply_transaction_batches(
         MONTH: month_of("transaction_date"),
         COMMITTED: F.current_timestamp() if committed is None else committed,
     })
-    append_versions(spark, table, facts, pending, MONTH)
+    append_versions(spark, table, facts, pending, MONTH, sort_by=["customer_id", "transaction_date"])
 
 
 def facts_of_months(facts: DataFrame, batch: DataFrame) -> DataFrame:

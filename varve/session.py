@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     # Dates and stamps are compared across engines and runs, so the zone is pinned.
     "spark.sql.session.timeZone": "UTC",
+    # Row groups keep the range of these stamps, not that of the default type.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     # Dirty text is handled with try_* functions, never by switching ANSI off.
     "spark.sql.ansi.enabled": "true",
     # AQE picks broadcast joins from measured sizes, splits skewed join partitions,

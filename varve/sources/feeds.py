@@ -17,11 +17,13 @@ class Feed:
     format: str
     schema: str
     options: dict[str, str] = field(default_factory=dict)
+    # Bronze batches are laid out in ranges of this column; their time is their partition.
+    key: str | None = None
 
 
-CUSTOMERS = Feed("customers", "customers_bz", "csv", schemas.CUSTOMERS_FEED, {"header": "true"})
+CUSTOMERS = Feed("customers", "customers_bz", "csv", schemas.CUSTOMERS_FEED, {"header": "true"}, "customer_id")
 # Whole-document JSON cannot be split: one file is one task, so land many files.
-PRODUCTS = Feed("products", "products_bz", "json", schemas.PRODUCTS_FEED, {"multiLine": "true"})
+PRODUCTS = Feed("products", "products_bz", "json", schemas.PRODUCTS_FEED, {"multiLine": "true"}, "product_id")
 TRANSACTIONS = Feed("transactions", "transactions_bz", "json", schemas.TRANSACTIONS_FEED)
 FEEDS = (CUSTOMERS, PRODUCTS, TRANSACTIONS)
 

@@ -327,16 +327,24 @@ def append_version(
     version: int,
     version_col: str = VERSION,
     then_by: str | None = None,
+    ranges_of: str | None = None,
 ) -> None:
     """Write ``rows`` as the partition of ``version``, replacing what a failed try left there.
 
     The partition's directory is written by path, because ``rows`` may read earlier versions
     of the same table, which INSERT OVERWRITE refuses.  REBALANCE gives files of the advisory
-    size: it splits a month that holds most of the batch and merges slivers.
+    size: it splits a month that holds most of the batch and merges slivers.  With ``ranges_of``
+    files hold sorted ranges of that column instead, so that a lookup by it reads one file of the
+    version; Spark reads ``rows`` once more to find the ranges.
     """
     path = f"{location_of(spark, table)}/{version_col}={version}"
     rows = _in_table_shape(spark, table, rows, without=(version_col,))
-    rows = rows.hint("rebalance", then_by) if then_by else rows.hint("rebalance")
+    if ranges_of:
+        # The hash cuts the range of a value that holds much of the batch.
+        ranges = rows.repartitionByRange(F.col(ranges_of), F.xxhash64(*rows.columns))
+        rows = ranges.sortWithinPartitions(*([then_by] if then_by else []), ranges_of)
+    else:
+        rows = rows.hint("rebalance", then_by) if then_by else rows.hint("rebalance")
     writer = rows.write.mode("overwrite")
     if then_by is None:
         writer.parquet(path)
@@ -349,15 +357,23 @@ def append_version(
 
 
 def append_versions(
-    spark: SparkSession, table: str, rows: DataFrame, versions: Sequence[int], then_by: str, version_col: str = VERSION
+    spark: SparkSession,
+    table: str,
+    rows: DataFrame,
+    versions: Sequence[int],
+    then_by: str,
+    version_col: str = VERSION,
+    sort_by: Sequence[str] = (),
 ) -> None:
     """Write ``rows``, which carry their version, as the partitions of several versions in one job.
 
-    A retry replaces the partitions it writes again; a version is complete by its mark, also one
+    Files are sorted by ``sort_by``, so that page indexes narrow a lookup by it.  A retry replaces the partitions it writes again; a version is complete by its mark, also one
     without rows.
     """
     location = location_of(spark, table)
     rows = _in_table_shape(spark, table, rows).hint("rebalance", version_col, then_by)
+    if sort_by:
+        rows = rows.sortWithinPartitions(version_col, then_by, *sort_by)
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -14,9 +14,12 @@ from varve.sources.feeds import Feed, read_feed, stream_feed
 from varve.sources.tables import BATCH, Settings, any_path, append_version, partition_values, path_exists
 
 
-def land_batch(table: str, batch: DataFrame, batch_id: int) -> None:
-    """Write one batch as its bronze partition (also the ``foreachBatch`` body)."""
-    append_version(batch.sparkSession, table, batch, batch_id, version_col=BATCH)
+def land_batch(table: str, batch: DataFrame, batch_id: int, key: str | None = None) -> None:
+    """Write one batch as its bronze partition (also the ``foreachBatch`` body).
+
+    With a ``key`` the files of the partition hold ranges of it, in order.
+    """
+    append_version(batch.sparkSession, table, batch, batch_id, version_col=BATCH, ranges_of=key)
 
 
 def ingest(
@@ -35,7 +38,7 @@ def ingest(
     path = settings.landing_path(feed.name)
     if not stream:
         done = [int(b) for b in partition_values(spark, table, BATCH)]
-        land_batch(table, read_feed(spark, feed, path), max(done, default=-1) + 1)
+        land_batch(table, read_feed(spark, feed, path), max(done, default=-1) + 1, feed.key)
         return
 
     checkpoint = settings.checkpoint_path(feed.name)
@@ -47,7 +50,7 @@ def ingest(
     query = (
         rows.writeStream.queryName(f"{table} ingest")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, batch_id: land_batch(table, batch, batch_id))
+        .foreachBatch(lambda batch, batch_id: land_batch(table, batch, batch_id, feed.key))
         .trigger(availableNow=True)
         .start()
     )
