@@ -114,6 +114,38 @@ def test_decontamination_of_changed_words(spark):
         assert decontaminate.lcs_length(items[k], texts[doc].split()) >= 0.6 * 30
 
 
+def test_decontamination_by_latent_retrieval(spark):
+    # Half of an item's words in order, those that weigh most among them: too few for a leak by words alone.
+    rng = np.random.default_rng(33)
+    common = [f"c{x}" for x in range(60)]
+    items = [[f"r{k}x{j}" if j % 3 == 0 else str(rng.choice(common)) for j in range(30)] for k in range(12)]
+    texts = [" ".join(rng.choice(common, 200)) for _ in range(300)]
+    light = [j for j in range(30) if j % 3][:15]
+    heavy = [j for j in range(30) if j % 3 == 0] + light[:5]
+    for words in items:
+        for at in (light, heavy):
+            changed = [f"new{j}" if j in at else w for j, w in enumerate(words)]
+            texts.append(" ".join([*rng.choice(common, 20), *changed, *rng.choice(common, 20)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs, bench).collect()}
+    assert set(found) == {(300 + 2 * k, k) for k in range(12)}
+    assert all(r["cosine"] > 0.5 and r["lcs"] < 0.6 for r in found.values())
+
+
+def test_the_latent_space_is_smaller_than_the_benchmark(spark):
+    rng = np.random.default_rng(34)
+    items = [(k, rng.integers(0, 40, 30).tolist(), [0]) for k in range(20)]
+    space = decontaminate.space_of(spark, items, np.ones(40), 1_000, decontaminate.Settings())
+    assert len(space.target) - (space.axis >= 0).sum() <= 10
+    # Windows that are the items themselves are nearest to them.
+    made = np.array([space.coords[space.local[words]].sum(0) for _, words, _ in items])
+    dot = made @ space.target
+    assert np.allclose(np.diag(dot), space.length**2, rtol=1e-3)
+    cosine = decontaminate._cosine(made, np.diag(dot), np.arange(20), space)
+    assert np.allclose(cosine[space.axis < 0], 1, atol=1e-3)
+
+
 def test_lcs_equals_the_table():
     rng = np.random.default_rng(1)
     for _ in range(50):

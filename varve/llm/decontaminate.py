@@ -5,15 +5,18 @@
    would keep fewer than four terms without them.
 2. A randomised SVD of the TF-IDF matrix of the benchmark's passages gives the latent space: a
    random sketch, sharpened by power iterations, each a pass of Spark tasks over the rows that
-   add up partial products; orthonormalised on the driver.  Items the space holds less
-   than half of are kept as they are, beside it.
-3. Documents are read in overlapping windows of words.  A leak has ``partly`` of the item's words,
-   frequent ones included, so every window that holds so many of them is a candidate: no leak is
-   lost before the verification, whatever words were changed.  The cosine is told, and decides
-   nothing.
+   add up partial products; orthonormalised on the driver.  It has at most half as many dimensions
+   as there are items, so items that share terms move together.  Items the space holds less
+   than half of are kept as they are, on an axis of their own beside it.
+3. Documents are read in overlapping windows of words, and every window is projected into the space.
+   An item is retrieved where the cosine of window and item is at least ``near`` and the window
+   holds ``held`` of the item's length.
 4. Candidates are verified on words: the longest common subsequence of item and window, and
    for partial matches the item's answer (its last sentence, or the column ``answer``), whose
-   rare words must be there.
+   rare words must be there.  What the space retrieved needs less common order (``loosely``).
+5. Rare words weigh most in the space, so a leak that changed them may not be near.  Beside the
+   retrieval, every window that holds ``partly`` of the item's words, frequent ones included, is a
+   candidate, too: none that has so much in common order is lost, whatever words were changed.
 
 What is broadcast is the benchmark's: terms x items in blocks of ``block`` items.
 
@@ -46,15 +49,19 @@ SCHEMA = "doc_id bigint, item_id bigint, cosine double, lcs double, answer doubl
 @dataclass(frozen=True)
 class Settings:
     """``same``: share of the item's words in common order that settles it;
-    ``partly``: the share that needs ``answer`` of the answer's rare words as well."""
+    ``partly``: the share that needs ``answer`` of the answer's rare words as well;
+    ``loosely``: the same for what the latent space retrieved."""
 
-    rank: int = 256
+    rank: int = 128
     power: int = 2
     common: float = 0.01
     block: int = 256
     same: float = 0.8
     partly: float = 0.6
+    loosely: float = 0.45
     answer: float = 0.6
+    near: float = 0.7
+    held: float = 0.4
     seed: int = 3
 
 
@@ -134,8 +141,8 @@ def document_frequency(found: DataFrame, width: int) -> tuple[np.ndarray, int]:
 
 
 def randomised_svd(rows: DataFrame, width: int, s: Settings, count: int) -> np.ndarray:
-    """Right singular vectors (width x rank) of the sparse ``rows`` (at array<int>, weight array<double>)."""
-    wanted = min(s.rank, count, width)
+    """Right singular vectors (width x rank) of the ``count`` sparse ``rows`` (at array<int>, weight array<double>)."""
+    wanted = min(s.rank, max(1, count // 2), width)
     basis = np.linalg.qr(np.random.default_rng(s.seed).normal(size=(width, min(width, wanted + 16))))[0]
 
     def product(basis: np.ndarray) -> np.ndarray:
@@ -167,17 +174,19 @@ def randomised_svd(rows: DataFrame, width: int, s: Settings, count: int) -> np.n
 
 @dataclass
 class Space:
-    """Items as the search sees them: ``scores`` (own terms x items) gives latent dot products.
+    """Items as the search sees them.
 
     ``local``: own number of each benchmark term, -1 for those that weigh nothing here.
+    ``coords`` (own terms x axes) are the weighted terms in the latent space, whose axes come first, and on the axes
+    of the items it does not hold; ``target`` (axes x items) are the items there, ``axis`` an item's own axis or -1.
     ``every`` numbers likewise all terms of the items, ``held`` (these terms x items) says how many
     of an item's words each is, ``need`` how many words in common order a leak has at least.
     """
 
     local: np.ndarray
-    weight: np.ndarray
-    latent: np.ndarray
-    scores: np.ndarray
+    coords: np.ndarray
+    target: np.ndarray
+    axis: np.ndarray
     length: np.ndarray
     items: list[tuple[int, list[int], list[int]]]
     every: np.ndarray
@@ -245,12 +254,18 @@ def space_of(spark: SparkSession, items: list[tuple[int, list[int], list[int]]],
         full[ids, k] = n * weight[ids]
         sparse.append((ids.tolist(), full[ids, k].tolist()))
     latent = randomised_svd(spark.createDataFrame(sparse, "at array<int>, weight array<double>"), len(used), s, len(items))
-    seen = latent @ (latent.T @ full)
-    lost = (seen * full).sum(0) < 0.5 * (full * full).sum(0)
-    seen[:, lost] = full[:, lost]
-    length = np.maximum((seen * full).sum(0), 1e-12) ** 0.5
+    whole = np.maximum((full * full).sum(0), 1e-12) ** 0.5
+    target = latent.T @ full
+    lost = np.flatnonzero((target * target).sum(0) < 0.5 * whole * whole)
+    axis = np.full(len(items), -1)
+    axis[lost] = latent.shape[1] + np.arange(len(lost))
+    target[:, lost] = 0
+    target = np.vstack([target, np.zeros((len(lost), len(items)))])
+    target[axis[lost], lost] = whole[lost]
+    length = np.maximum((target * target).sum(0), 1e-12) ** 0.5
+    coords = np.hstack([latent, full[:, lost] / whole[lost]]) * weight[:, None]
     named = [(i, words, _rare(answer, idf)) for i, words, answer in items]
-    return Space(local, weight, latent.astype(np.float32), (seen * weight[:, None]).astype(np.float32), length, named, *_filter(items, len(df), s))
+    return Space(local, coords.astype(np.float32), target.astype(np.float32), axis, length, named, *_filter(items, len(df), s))
 
 
 def _windows(space: Space) -> tuple[int, int]:
@@ -260,47 +275,121 @@ def _windows(space: Space) -> tuple[int, int]:
     return stretch, -(-(longest + longest // 2) // stretch) + 1
 
 
-def _search(at: np.ndarray, term: np.ndarray, space: Space, s: Settings) -> Iterator[tuple]:
-    """(item_id, cosine, lcs, answer) of one document: ``term`` stands ``at`` these words of it."""
+# Terms met together by the search, and the numbers of stretches kept for one document.
+_TOGETHER, _SPAN = 50_000, 1 << 32
+
+
+def _cosine(window: np.ndarray, dot: np.ndarray, k: np.ndarray, space: Space) -> np.ndarray:
+    """Cosine of windows in the latent space (rows) with one item each, ``k``, from their inner products."""
+    norm = (window[:, : len(space.target) - (space.axis >= 0).sum()] ** 2).sum(1)
+    own = np.where(space.axis[k] >= 0, window[np.arange(len(k)), space.axis[k]] ** 2, 0)
+    return np.minimum(1.0, dot / (space.length[k] * np.maximum(norm + own, 1e-18) ** 0.5))
+
+
+def _retrieved(doc: np.ndarray, at: np.ndarray, term: np.ndarray, space: Space, s: Settings) -> Iterator[tuple[int, int, int]]:
+    """(document, stretch, item): the windows, by the stretch they begin with, that are near an item in the latent space.
+
+    ``term`` stands ``at`` these words of ``doc``; documents and places ascend.
+    """
+    own = space.local[term]
+    mine = own >= 0
+    if not mine.any() or not len(space.target):
+        return
+    stretch, per_window = space.windows
+    key = doc[mine] * _SPAN + at[mine] // stretch
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    places = key[first]
+    total = np.cumsum(np.add.reduceat(space.coords[own[mine]], first, axis=0), axis=0, dtype=np.float64)
+    total = np.vstack([np.zeros((1, total.shape[1])), total])
+    window = total[np.searchsorted(places, places + per_window)] - total[:-1]
+    window = window.astype(np.float32)
+    dot = window @ space.target
+    w, k = np.nonzero(dot >= (s.held * space.length**2).astype(np.float32))
+    near = _cosine(window[w], dot[w, k], k, space) >= s.near
+    yield from zip((places[w[near]] // _SPAN).tolist(), (places[w[near]] % _SPAN).tolist(), k[near].tolist())
+
+
+def _wordy(doc: np.ndarray, at: np.ndarray, term: np.ndarray, space: Space) -> Iterator[tuple[int, int, int]]:
+    """(document, stretch, item): the windows that hold as many of an item's words as a leak has at least."""
     own = space.every[term]
     mine = own >= 0
     if not mine.any():
         return
+    doc, at, own, width = doc[mine], at[mine], own[mine], len(space.held)
+    # No window holds more than its document.
+    keys = np.unique(doc * width + own)
+    which = keys // width
+    first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+    whole = np.add.reduceat(space.held[keys % width], first, axis=0, dtype=space.held.dtype)
+    enough = whole >= space.need
+    some = np.flatnonzero(enough.any(axis=1))
+    for row, d in zip(some.tolist(), which[first[some]].tolist()):
+        a, b = np.searchsorted(doc, [d, d + 1])
+        for stretch, k in _wordy_windows(at[a:b], own[a:b], np.flatnonzero(enough[row]), space):
+            yield d, stretch, k
+
+
+def _wordy_windows(at: np.ndarray, own: np.ndarray, items: np.ndarray, space: Space) -> Iterator[tuple[int, int]]:
+    """(stretch, item) of one document, for some ``items``."""
     stretch, per_window = space.windows
     # A window begins at each stretch with a term and takes the stretches after it; a term counts once a window.
-    places, row = np.unique(at[mine] // stretch, return_inverse=True)
-    own, width, keys = own[mine], len(space.held), []
+    places, row = np.unique(at // stretch, return_inverse=True)
+    width, keys = len(space.held), []
     for step in range(per_window):
         inside = (row >= step) & (places[row] - places[np.maximum(row - step, 0)] < per_window)
         keys.append((row[inside] - step) * width + own[inside])
     keys = np.unique(np.concatenate(keys))
-    window = np.add.reduceat(space.held[keys % width], np.searchsorted(keys, np.arange(len(places)) * width), axis=0, dtype=space.held.dtype)
-    best: dict[int, tuple] = {}
-    last = -1
-    for w, k in np.argwhere(window >= space.need).tolist():
+    starts = np.searchsorted(keys, np.arange(len(places)) * width)
+    window = np.add.reduceat(space.held[(keys % width)[:, None], items], starts, axis=0, dtype=space.held.dtype)
+    for w, k in np.argwhere(window >= space.need[items]).tolist():
+        yield int(places[w]), int(items[k])
+
+
+def _search(ats: list[np.ndarray], terms: list[np.ndarray], space: Space, s: Settings) -> Iterator[tuple]:
+    """(document, item_id, cosine, lcs, answer) of documents: ``terms`` of each stand ``ats`` these words of it."""
+    doc = np.repeat(np.arange(len(ats)), [len(a) for a in ats])
+    at, term = np.concatenate(ats), np.concatenate(terms)
+    near_ones = set(_retrieved(doc, at, term, space, s))
+    stretch, per_window = space.windows
+    best: dict[tuple[int, int], tuple] = {}
+    last = None
+    for d, place, k in sorted(near_ones.union(_wordy(doc, at, term, space))):
         item, words, rare = space.items[k]
-        if w != last:
-            last = w
-            low = int(places[w]) * stretch - stretch
-            a, b = np.searchsorted(at, [low, low + (per_window + 2) * stretch])
-            near_at, here = at[a:b], term[a:b]
+        if (d, place) != last:
+            last = d, place
+            low = (place - 1) * stretch
+            a, b = np.searchsorted(ats[d], [low, low + (per_window + 2) * stretch])
+            near_at, here = ats[d][a:b], terms[d][a:b]
             near = here.tolist()
             present = set(near)
+        partly = s.loosely if (d, place, k) in near_ones else s.partly
         # No part of the stretch has more in common order than the whole.
-        if lcs_length(words, near) < space.need[k]:
+        if lcs_length(words, near) < math.ceil(min(partly, s.same) * len(words) - 1e-9):
             continue
         lcs = _tightest(words, near_at, near)
         answer = sum(x in present for x in rare) / len(rare)
-        if lcs >= s.same or (lcs >= s.partly and answer >= s.answer):
+        if lcs >= s.same or (lcs >= partly and answer >= s.answer):
             ids = space.local[here]
-            ids, n = np.unique(ids[ids >= 0], return_counts=True)
-            norm = float(np.linalg.norm((n * space.weight[ids]) @ space.latent[ids]))
-            cosine = min(1.0, float(n @ space.scores[ids, k] / (space.length[k] * max(norm, 1e-9))))
-            if k not in best or (lcs, cosine) > (best[k][2], best[k][1]):
-                best[k] = (item, cosine, lcs, answer)
+            window = space.coords[ids[ids >= 0]].sum(axis=0, keepdims=True)
+            cosine = float(_cosine(window, window[0] @ space.target[:, [k]], np.array([k]), space)[0]) if len(space.target) else 0.0
+            if (d, k) not in best or (lcs, cosine) > (best[d, k][3], best[d, k][2]):
+                best[d, k] = (d, item, cosine, lcs, answer)
     yield from best.values()
 
 
+def _together(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of documents (begin, end) of some ``_TOGETHER`` terms; one longer is alone."""
+    begin = held = 0
+    for k, size in enumerate(sizes):
+        if held and held + size > _TOGETHER:
+            yield begin, k
+            begin = k
+            held = 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def _tightest(item: list[int], at: np.ndarray, near: list[int]) -> float:
     """Greatest share of the item in common order with a stretch of words half as long again."""
     size, step = max(4, len(item) + len(item) // 2), max(1, len(item) // 4)
@@ -324,10 +413,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, at, term in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "term"))):
-                at, term = np.frombuffer(at, dtype=np.int32), np.frombuffer(term, dtype=np.int32)
+            ids, raw_at, raw_term = (batch.column(c).to_pylist() for c in ("doc_id", "at", "term"))
+            for a, b in _together([len(x) // 4 for x in raw_at]):
+                ats, terms = ([np.frombuffer(x, dtype=np.int32) for x in raw[a:b]] for raw in (raw_at, raw_term))
                 for space in sent.value:
-                    rows += [(doc_id, *r) for r in _search(at, term, space, s)]
+                    rows += [(ids[a + r[0]], *r[1:]) for r in _search(ats, terms, space, s)]
             columns = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             names = ["doc_id", "item_id", "cosine", "lcs", "answer"]
