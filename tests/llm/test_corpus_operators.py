@@ -272,6 +272,16 @@ def test_near_duplicates_of_many_variants(spark):
     assert 4 < len(want) < 200 and kept_of(spark, texts) == want
 
 
+def test_near_duplicates_are_candidates_by_fingerprint(spark):
+    # One word changed: linked by fingerprints.  Other words altogether: not.
+    rng = np.random.default_rng(24)
+    base = [f"w{x}" for x in rng.integers(0, 100_000, 400)]
+    texts = [(1, " ".join(base)), (2, " ".join([*base[:-1], "changed"])), (3, " ".join(reversed(base))), (4, "")]
+    marked = simhash._text_keys(spark.createDataFrame(texts, "doc_id bigint, text string"), 5)
+    found = marked.join(simhash._linked(marked.select("unit", "fingerprint", "n")), "unit").collect()
+    assert {r["doc_id"] for r in found} == {1, 2} and len({r["token"] for r in found}) == 1
+
+
 def test_near_duplicates_far_apart_in_bits(spark):
     # A line repeated more often in one text: equal to 0.8 and more as sets, far apart as weighted fingerprints.
     rng = np.random.default_rng(22)

@@ -14,8 +14,10 @@ most ``k``.  Of a bucket's links only a shortest spanning forest leaves the task
 fingerprint and bucket, never all pairs.  Buckets of more than ``split`` fingerprints are cut again by the same rule over the
 bits their key leaves open, so that no task holds one whole.
 
-The pipeline's near-duplicates (``near_classes``) do not go by fingerprints: pairs of distinct texts
-are found by an exact join on the rarest shingles, and the similarity of their shingle sets decides.
+The pipeline's near-duplicates (``near_classes``) come from the same search: distinct texts whose
+fingerprints are linked are candidates, and the similarity of their shingle sets decides.  Texts can be
+alike with fingerprints farther apart, so an exact join on the rarest shingles follows for what is not
+joined by then.
 
 Results: nulls and texts without words have fingerprint zero and link like any other; equal
 texts meet in one fingerprint; a component's id is its smallest doc_id (null only if all are).
@@ -345,15 +347,18 @@ def _first_seen(docs: DataFrame, words: int, make: Callable, schema: str) -> Dat
 
 
 def _text_keys(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and unit (hash of the words in order) of every document."""
+    """doc_id, unit (hash of the words in order), fingerprint (majority over the set of shingles) and n (shingles) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                keys = pa.array(_shingled(part.column("text"), words)[0])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys], ["doc_id", "unit"])
+                keys, sets = _shingled(part.column("text"), words)
+                sizes = [len(x) for x in sets]
+                made = _majority(np.concatenate(sets), sizes).view(np.int64)
+                columns = [part.column("doc_id"), pa.array(keys), pa.array(made), pa.array(sizes, type=pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "unit", "fingerprint", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, unit bigint")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, unit bigint, fingerprint bigint, n int")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -438,16 +443,31 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("token").sortWithinPartitions("token", "unit").mapInArrow(tidy(run), schema)
 
 
+def _linked(units: DataFrame, k: int = 3) -> DataFrame:
+    """token, unit, n: units whose fingerprints ``k`` bits link, by the smallest fingerprint they reach (token)."""
+    tied = components(links(units.select("fingerprint").distinct(), k)).withColumnRenamed("node", "fingerprint")
+    tokens = units.where("n > 0").join(tied, "fingerprint", "left").select(F.coalesce("root", "fingerprint").alias("token"), "unit", "n")
+    crowd = tokens.groupBy("token").count().where("count > 1").select("token")
+    return tokens.join(crowd, "token", "left_semi")
+
+
+# Rounds in which what fingerprints link is compared with one text of each group.
+_HUBS = 4
+
+
 def _alike(docs: DataFrame, units: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b) pairs of units of at least ``similarity`` that join all that such pairs join.
 
-    The shingles' one order is by rarity.  Sets so alike share one of their rarest, at places that
+    Units of linked fingerprints are compared with one of their group first; those that are alike are
+    joined, and the others compared with another one.  Then the exact search follows.  The shingles' one
+    order is by rarity.  Sets so alike share one of their rarest, at places that
     leave room for the overlap they need, so every pair that can be alike is a candidate of some token.
     Where candidates are many, each token's units are first compared with one of them, another each
     round, and pairs of what is joined by then need no comparison; what is left is compared pair by pair.
     """
+    linked = stored(_linked(units))
     shared = stored(_shared(_prefixes(docs, words, similarity)))
-    wanted = shared.select("unit").distinct()
+    wanted = shared.select("unit").union(linked.select("unit")).distinct()
     ids = units.join(wanted, "unit", "left_semi").select(F.col("least").alias("doc_id")).distinct()
     texts = docs.select("doc_id", "text")
     texts = texts.join(ids, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
@@ -473,8 +493,21 @@ def _alike(docs: DataFrame, units: DataFrame, words: int, similarity: float) ->
         )
         return met.select(F.least("unit", "unit2").alias("a"), F.greatest("unit", "unit2").alias("b")).distinct()
 
-    rows = shared.withColumn("root", F.col("unit"))
     judged = edges = None
+    left = linked
+    for turn in range(_HUBS):
+        hubs = left.groupBy("token").agg(F.min_by("unit", F.struct(F.xxhash64("unit", F.lit(turn)), "unit")).alias("hub"))
+        met = left.join(hubs, "token").where("unit <> hub").select(F.least("unit", "hub").alias("a"), F.greatest("unit", "hub").alias("b"))
+        now = decided(met)
+        if now.isEmpty():
+            break
+        judged = now if judged is None else judged.unionByName(now)
+        joined = now.where("alike").select(F.explode(F.array("a", "b")).alias("unit")).union(hubs.select("hub"))
+        left = stored(left.join(joined.distinct(), "unit", "left_anti").select("token", "unit", "n"))
+    rows = shared.withColumn("root", F.col("unit"))
+    if judged is not None:
+        tied = components(judged.where("alike").select("a", "b")).withColumnRenamed("node", "unit")
+        rows = stored(shared.join(tied, "unit", "left").select("token", "unit", "n", "pos", F.coalesce("root", "unit").alias("root")))
     before = math.inf
     for turn in itertools.count():
         crowd = rows.groupBy("token", "root").count().groupBy("token")
@@ -506,8 +539,9 @@ def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     Units are the distinct texts, by their words; every two that are so alike are in one component.
     """
     marked = stored(_text_keys(docs, words))
-    units = stored(marked.groupBy("unit").agg(F.min("doc_id").alias("least")))
-    return _named(marked, units, _alike(docs, units, words, similarity), "unit")
+    least = (F.min(c).alias(name) for c, name in (("doc_id", "least"), ("fingerprint", "fingerprint"), ("n", "n")))
+    units = stored(marked.groupBy("unit").agg(*least))
+    return _named(marked.select("doc_id", "unit"), units.select("unit", "least"), _alike(docs, units, words, similarity), "unit")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
