@@ -11,13 +11,14 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from varve import schemas
 from varve.errors import CheckpointLost, CursorMissing, DatabaseMissing, NotNullViolated, TableLost
 from varve.operators.changes import read_changes, read_changes_after
 from varve.operators.merge import upsert
-from varve.plans import pipeline
+from varve.plans import marts, pipeline
 from varve.plans.marts import customer_stats, product_sales, sales_summary
 from varve.sources import cursors, tables
-from varve.sources.tables import Settings, version_in
+from varve.sources.tables import BATCH, Settings, version_in
 from varve.sources.feeds import CUSTOMERS, PRODUCTS, TRANSACTIONS, read_feed, stream_feed
 from varve.streaming.ingest import ingest, land_batch
 
@@ -801,3 +802,55 @@ def test_lost_table_is_noticed_after_commits_are_purged(spark, settings):
     pipeline.run_setup(spark, s)
     with pytest.raises(TableLost):
         ingest(spark, CUSTOMERS, s)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_are_shuffled_once(spark, settings, rows, monkeypatch):
+    """Compared with each other and with standing facts, and written, where one shuffle brings them."""
+    pipeline.run_setup(spark, settings)
+    ddl = f"{schemas.TRANSACTIONS_BZ}, {BATCH} BIGINT"
+
+    def fact(id_, amount, day, batch, at=1):
+        return (id_, 1, 1, 6, amount, day, "card", "web", datetime(2024, 7, at), None, batch)
+
+    written = []
+    append = pipeline.append_versions
+
+    def watched(spark, table, facts, *args, **kwargs):
+        written.append((_plan(facts).count("Exchange shufflepartitionid"), kwargs.get("spread")))
+        append(spark, table, facts, *args, **kwargs)
+
+    monkeypatch.setattr(pipeline, "append_versions", watched)
+    monkeypatch.setattr(pipeline, "ROWS_OF_PART", 8)
+    january = [fact(f"t{i}", float(i), f"2024-01-{i % 28 + 1:02}", 0) for i in range(30)]
+    early = [*january, fact("t0", 99.0, "2024-01-01", 0, at=2), fact("a", 1.0, "2024-02-01", 0), fact(None, 1.0, "2024-02-01", 0)]
+    pipeline.apply_transaction_batches(spark, settings, spark.createDataFrame(early, ddl), [0])
+    late = [fact("t0", 50.0, "2024-01-01", 1), fact("t1", 50.0, "2024-01-03", 1), fact("a", 5.0, "2024-02-01", 2),
+            fact("b", 7.0, "2024-02-01", 2), fact("b", 6.0, "2024-02-01", 1), fact("b", 9.0, "bad", 1),
+            fact(None, 2.0, "2024-02-01", 1), fact(None, 3.0, "2024-02-01", 2)]
+    pipeline.apply_transaction_batches(spark, settings, spark.createDataFrame(late, ddl), [1, 2])
+    facts = spark.table(settings.table("silver", "transactions_si"))
+    got = rows(facts.selectExpr("transaction_id", "transaction_date", "total_amount", "_commit_version", "transaction_month"))
+    first = [(f"t{i}", date(2024, 1, i % 28 + 1), 99.0 if i == 0 else float(i), 0, "2024-01") for i in range(30)]
+    february = [("a", 1.0, 0), (None, 1.0, 0), ("b", 6.0, 1), (None, 2.0, 1)]
+    second = [("t1", date(2024, 1, 3), 50.0, 1, "2024-01"), *[(i, date(2024, 2, 1), n, v, "2024-02") for i, n, v in february]]
+    assert got == sorted(first + second, key=repr)
+    assert written == [(1, False), (1, False)]
+    # A month of more rows than a part is written by several tasks.
+    files = facts.filter("_commit_version = 0 AND transaction_month = '2024-01'").selectExpr("_metadata.file_path").distinct()
+    assert files.count() > 1
+
+
+def test_parts_of_months(spark, monkeypatch):
+    monkeypatch.setattr(pipeline, "ROWS_OF_PART", 32)
+    part, parts = pipeline._parts_of_months({"2024-01": 1, "2024-02": 1, "2024-03": 100, "2024-04": 2, "2024-05": 33})
+    ids = spark.range(400).selectExpr("cast(id as string) AS transaction_id", "date'2024-01-01' AS day")
+    of = {}
+    for month in range(1, 7):
+        dated = ids.select("transaction_id", F.add_months("day", month - 1).alias("transaction_date"))
+        of[month] = {r[0] for r in dated.select(part).distinct().collect()}
+    assert parts == 8 and of == {1: {0}, 2: {0}, 3: {1, 2, 3, 4}, 4: {5}, 5: {6, 7}, 6: {0}}
+    assert pipeline._parts_of_months({})[1] == 1

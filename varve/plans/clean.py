@@ -37,6 +37,7 @@ RATING_RANGE = (0, 5)
 
 
 _STAMPS = ("inserted_time", "source_modified")
+TRANSACTION_KEYS = ["transaction_id", "transaction_date"]
 
 
 def _latest(df: DataFrame, keys: Sequence[str], feed: str) -> DataFrame:
@@ -87,27 +88,46 @@ def clean_products(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_transactions(df: DataFrame, batch: str | None = None) -> DataFrame:
-    """Transactions with a date, a customer and a product; newest per id and date.
-
-    With a ``batch`` column several batches are cleaned at once: of an id and date the first
-    batch's newest row stays, and the column with it.
-    """
+def valid_transactions(df: DataFrame) -> DataFrame:
+    """Transactions with a date, a customer and a product; the date as DATE."""
     dated = df.filter(
         present("transaction_date", fold=False)
         & F.col("customer_id").isNotNull()
         & F.col("product_id").isNotNull()
     ).withColumn("transaction_date", safe_date("transaction_date"))
-    valid = dated.filter(F.col("transaction_date").isNotNull())
-    keys = ["transaction_id", "transaction_date"]
-    if batch is None:
-        latest, kept = _latest(valid, keys, schemas.TRANSACTIONS_FEED), []
-    else:
-        # Newest is greatest, so the batch that came first is the greatest negative one.
-        first = valid.withColumn("_first", -F.col(batch))
-        stamps = [c for c in _STAMPS if c in df.columns]
-        rows = first.select(*schemas.columns(schemas.TRANSACTIONS_FEED), batch, "_first", *stamps)
-        latest, kept = latest_by_key(rows, keys, ["_first", *stamps]), [batch]
+    return dated.filter(F.col("transaction_date").isNotNull())
+
+
+def clean_transactions(df: DataFrame) -> DataFrame:
+    """Transactions with a date, a customer and a product; newest per id and date."""
+    latest = _latest(valid_transactions(df), TRANSACTION_KEYS, schemas.TRANSACTIONS_FEED)
+    return _clean_facts(latest)
+
+
+def clean_new_transactions(
+    df: DataFrame, batch: str, standing: DataFrame, part: Column, parts: int
+) -> DataFrame:
+    """Several batches cleaned at once, without what is among the keys of ``standing``.
+
+    Of an id and date the first batch's newest row stays, and the ``batch`` column with it; a
+    standing key comes before every batch.  ``part`` gives the partition, of ``parts``, of a row
+    by its id and date: one shuffle brings whole rows to where they are compared, and may be
+    written.  Null ids equal no standing one.
+    """
+    # Newest is greatest, so the batch that came first is the greatest negative one.
+    first, stands, place = "_first", "_stands", "_part"
+    stamps = [c for c in _STAMPS if c in df.columns]
+    # What is the same in most rows stands together: shuffled rows shrink better.
+    rows = valid_transactions(df).select(
+        F.lit(False).alias(stands), (-F.col(batch)).alias(first), *stamps, *schemas.columns(schemas.TRANSACTIONS_FEED)
+    )
+    known = standing.filter(F.col("transaction_id").isNotNull()).select(F.lit(True).alias(stands), *TRANSACTION_KEYS)
+    placed = rows.unionByName(known, allowMissingColumns=True).withColumn(place, part).repartitionById(parts, F.col(place))
+    latest = latest_by_key(placed, [place, *TRANSACTION_KEYS], [stands, first, *stamps]).filter(~F.col(stands))
+    return _clean_facts(latest.withColumn(batch, -F.col(first)), [batch])
+
+
+def _clean_facts(latest: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     clamped = latest.withColumns({
         "quantity": clamp("quantity", lo=0),
         "total_amount": clamp("total_amount", lo=0),

@@ -10,7 +10,8 @@ depend on how runs were grouped.  Every step can be repeated after a crash: see
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 from functools import reduce
 
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from varve import schemas
 from varve.functions import month_of, safe_date
 from varve.operators.changes import CHANGE_TYPE, COMMITTED, POSTIMAGE, VERSION, new_images, read_changes
-from varve.operators.merge import insert_only, upsert
+from varve.operators.merge import upsert
 from varve.operators.scd2 import active_after, scd2_changes
 from varve.plans import marts
-from varve.plans.clean import clean_customers, clean_products, clean_transactions
+from varve.plans.clean import clean_customers, clean_new_transactions, clean_products, valid_transactions
 from varve.sources.cursors import read_cursor, seed_cursors, write_cursor
 from varve.sources.feeds import FEEDS
 from varve.sources.tables import (
@@ -56,6 +57,9 @@ from varve.streaming.ingest import ingest
 SILVER = {"customers_si": "customers_bz", "products_si": "products_bz", "transactions_si": "transactions_bz"}
 CUSTOMER_SLICES, PRODUCT_SLICES = "customers_si_slices", "products_si_slices"
 GOLD = ("customers_stats_gd", "sales_summary_gd", "product_sales_summary_gd")
+# Facts that one task compares and writes, some 26 MB of a file.
+ROWS_OF_PART = 1_000_000
+_MONTHS_IN_A_LIST = 500
 
 
 # Setup --------------------------------------------------------------------------------------
@@ -217,16 +221,56 @@ def apply_transaction_batches(
     pending = [v for v in versions if v not in standing]
     if not pending:
         return
-    keys, first = ["transaction_id", "transaction_date"], pending[0]
+    first = pending[0]
     batches = batches.filter(F.col(BATCH) >= first)
-    earlier = facts_of_months(spark.table(table).filter(F.col(VERSION) < first), batches)
-    facts = insert_only(earlier, clean_transactions(batches, BATCH), keys)
+    months, earlier = _batches_of_months(batches), spark.table(table).filter(F.col(VERSION) < first)
+    # Months in a list are pruned by the catalog; very many of them while the query runs.
+    few = len(months) <= _MONTHS_IN_A_LIST
+    earlier = earlier.filter(F.col(MONTH).isin(list(months))) if few else facts_of_months(earlier, batches)
+    rows_of = Counter({month: rows for month, (rows, _) in months.items()})
+    rows_of.update(dict(map(tuple, earlier.groupBy(MONTH).count().collect())))
+    part, parts = _parts_of_months(rows_of)
+    facts = clean_new_transactions(batches, BATCH, earlier, part, parts)
     facts = facts.withColumns({
         VERSION: F.col(BATCH),
         MONTH: month_of("transaction_date"),
         COMMITTED: F.current_timestamp() if committed is None else committed,
     })
-    append_versions(spark, table, facts, pending, MONTH, sort_by=["customer_id", "transaction_date"])
+    # Where a month of many versions is cut, every part would write a file for each of them.
+    spread = any(n > 2 and rows_of[month] > ROWS_OF_PART for month, (_, n) in months.items())
+    sort_by = ["customer_id", "transaction_date"]
+    append_versions(spark, table, facts, pending, MONTH, sort_by=sort_by, spread=spread)
+
+
+def _batches_of_months(batches: DataFrame) -> dict[str, tuple[int, int]]:
+    """Valid rows of ``batches`` a month, and how many batches they are of: a row for each month, collected."""
+    dated = valid_transactions(batches).select(month_of("transaction_date").alias(MONTH), BATCH)
+    counted = dated.groupBy(MONTH, BATCH).count().groupBy(MONTH)
+    return {month: (rows, of) for month, rows, of in counted.agg(F.sum("count"), F.count("*")).collect()}
+
+
+def _parts_of_months(rows_of: Mapping[str, int]) -> tuple[Column, int]:
+    """The part in which a fact is compared and written, by its month and id, and the number of parts.
+
+    A month has a part for every ``ROWS_OF_PART`` rows; small months share one.
+    """
+    start, parts, shared = {}, 0, 0
+    for month, rows in sorted(rows_of.items()):
+        shared += rows
+        # Into the part before this one as long as that stays small.
+        start[month] = parts - 1 if parts and shared <= ROWS_OF_PART // 16 else parts
+        if start[month] == parts:
+            parts += -(-rows // ROWS_OF_PART)
+            shared = rows
+    month, number = month_of("transaction_date"), F.lit(0)
+    if start:
+        first = F.create_map(*[F.lit(x) for pair in start.items() for x in pair])
+        number = F.coalesce(F.element_at(first, month), number)
+    cut = {m: -(-rows // ROWS_OF_PART) for m, rows in rows_of.items() if rows > ROWS_OF_PART}
+    if cut:
+        count = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])
+        number += F.pmod(F.xxhash64("transaction_id"), F.coalesce(F.element_at(count, month), F.lit(1))).cast("int")
+    return number.cast("int"), max(parts, 1)
 
 
 def facts_of_months(facts: DataFrame, batch: DataFrame) -> DataFrame:

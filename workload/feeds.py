@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = date(2002, 1, 1)
@@ -22,24 +22,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _text_date(c: str) -> Column:
-    return F.col(c).cast("date").cast("string")
-
-
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    year = F.year("l_shipdate")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("transaction_id"),
-        F.when(F.col("l_discount") == 0.1, None).otherwise(F.col("o_custkey")).cast("int").alias("customer_id"),
-        F.when((F.col("l_discount") == 0.0) & (F.col("l_tax") == 0.08), None)
-        .otherwise(F.col("l_partkey")).cast("int").alias("product_id"),
+    year = F.year("day")
+    # What only a line decides is settled before the join, which moves small codes instead of doubles.
+    narrow = lines.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
         (F.col("l_quantity") - 5).cast("int").alias("quantity"),
         F.when(F.col("l_tax") == 0.07, -F.col("l_extendedprice"))
         .otherwise(F.col("l_extendedprice")).alias("total_amount"),
-        F.when((F.col("l_tax") == 0.0) & (F.col("l_discount") == 0.09), "null")
-        .when((F.col("l_tax") == 0.0) & (F.col("l_discount") == 0.08), "2024-13-40")
-        .otherwise(_text_date("l_shipdate")).alias("transaction_date"),
+        F.col("l_shipdate").cast("date").alias("day"),
+        F.when(F.col("l_discount") == 0.1, "no customer")
+        .when((F.col("l_discount") == 0.0) & (F.col("l_tax") == 0.08), "no product")
+        .when((F.col("l_tax") == 0.0) & (F.col("l_discount") == 0.09), "no date")
+        .when((F.col("l_tax") == 0.0) & (F.col("l_discount") == 0.08), "bad date").alias("spoiled"),
+    )
+    spoiled = {what: F.col("spoiled") == what for what in ("no customer", "no product", "no date", "bad date")}
+    return narrow.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("transaction_id"),
+        F.when(spoiled["no customer"], None).otherwise(F.col("o_custkey")).cast("int").alias("customer_id"),
+        F.when(spoiled["no product"], None).otherwise(F.col("l_partkey")).cast("int").alias("product_id"),
+        "quantity",
+        "total_amount",
+        F.when(spoiled["no date"], "null").when(spoiled["bad date"], "2024-13-40")
+        .otherwise(F.col("day").cast("string")).alias("transaction_date"),
         F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("payment_method"),
         F.col("l_returnflag").alias("store_type"),
         F.make_timestamp(year, F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0)).alias("inserted_time"),
