@@ -854,3 +854,18 @@ def test_parts_of_months(spark, monkeypatch):
         of[month] = {r[0] for r in dated.select(part).distinct().collect()}
     assert parts == 8 and of == {1: {0}, 2: {0}, 3: {1, 2, 3, 4}, 4: {5}, 5: {6, 7}, 6: {0}}
     assert pipeline._parts_of_months({})[1] == 1
+
+
+
+def test_customer_totals_shuffle_once(spark, rows):
+    days = "explode(sequence(date'2023-12-30', date'2024-02-01'))"
+    tx = spark.sql(f"SELECT 1 AS customer_id, {days} AS transaction_date, 'a' AS transaction_id, 1.5 AS total_amount, 'Completed' AS order_status")
+    tx = tx.unionByName(tx.limit(1).withColumns({"customer_id": F.lit(2), "transaction_date": F.lit(None).cast("date")}))
+    totals = marts.customer_totals(tx)
+    assert _plan(marts.customer_totals(spark.range(9).selectExpr(
+        "cast(id AS int) AS customer_id", "date'2024-01-01' AS transaction_date", "'a' AS transaction_id",
+        "1.5 AS total_amount", "'Completed' AS order_status"))).count("Exchange hash") == 1
+    got = {r["customer_id"]: r for r in totals.collect()}
+    assert got[1]["order_days"] == {2023 * 12 + 12: 3 << 29, 2024 * 12 + 1: 2**31 - 1, 2024 * 12 + 2: 1}
+    assert (got[1]["first_order_date"], got[1]["last_order_date"]) == (date(2023, 12, 30), date(2024, 2, 1))
+    assert got[2]["order_days"] == {} and got[2]["first_order_date"] is None and got[2]["total_transactions"] == 1

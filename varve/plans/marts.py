@@ -11,7 +11,8 @@ a customer or product holding a third of all facts is already folded map-side.
 
 Days are kept as one 31-bit mask for each month a customer bought in.  A ``bitmap_construct_agg``
 bitmap is 4,096 bytes for every customer, however few days it has, also in the hash tables and
-shuffles of the aggregation; the masks are 8 bytes a month.
+shuffles of the aggregation; the masks are 8 bytes a month.  They are made of the distinct dates of a
+customer, which one aggregate collects: no more than there are days, also of a hot customer.
 """
 
 from __future__ import annotations
@@ -97,28 +98,49 @@ def sales_summary(tx: DataFrame, stamp: Column | None = None) -> DataFrame:
 
 def customer_totals(tx: DataFrame) -> DataFrame:
     """Counted facts per customer, known or not; days as bits."""
-    day = F.col("transaction_date")
-    per_month = (
+    totals = (
         counted(tx)
-        .groupBy("customer_id", (F.year(day) * 12 + F.month(day)).alias("month"))
+        .groupBy("customer_id")
         .agg(
-            F.bit_or(F.expr("shiftleft(1, day(transaction_date) - 1)")).alias("days"),
-            F.min(day).alias("first_order_date"),
-            F.max(day).alias("last_order_date"),
+            F.sort_array(F.collect_set("transaction_date")).alias("dates"),
             F.count("transaction_id").alias("total_transactions"),
             exact_total("total_amount").alias("spent"),
             amounts("total_amount").alias("amounts"),
         )
     )
-    masks = F.collect_list(F.when(F.col("month").isNotNull(), F.struct("month", "days")))
-    return per_month.groupBy("customer_id").agg(
-        F.min("first_order_date").alias("first_order_date"),
-        F.max("last_order_date").alias("last_order_date"),
-        F.map_from_entries(masks).alias("order_days"),
-        F.sum("total_transactions").alias("total_transactions"),
-        F.sum("spent").cast("decimal(37,4)").alias("spent"),
-        F.sum("amounts").alias("amounts"),
+    return totals.select(
+        "customer_id",
+        F.array_min("dates").alias("first_order_date"),
+        F.array_max("dates").alias("last_order_date"),
+        _month_masks(F.col("dates")).alias("order_days"),
+        "total_transactions",
+        "spent",
+        "amounts",
+    )
+
+
+def _month_masks(dates: Column) -> Column:
+    """Distinct dates, in order, as a map from their month to its days as bits: one pass over them."""
+
+    def month(day: Column) -> Column:
+        return F.year(day) * 12 + F.month(day)
+
+    def state(months: Column, masks: Column, month: Column, mask: Column) -> Column:
+        return F.struct(months.alias("months"), masks.alias("masks"), month.alias("month"), mask.alias("mask"))
+
+    def with_day(seen: Column, day: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1), F.day(day) - 1)
+        same = state(seen["months"], seen["masks"], seen["month"], seen["mask"].bitwiseOR(bit))
+        return F.when(seen["month"] == month(day), same).otherwise(state(*closed(seen), month(day), bit))
+
+    def closed(seen: Column) -> tuple[Column, Column]:
+        return F.array_append(seen["months"], seen["month"]), F.array_append(seen["masks"], seen["mask"])
+
+    none = F.array().cast("array<int>")
+    masks = F.aggregate(
+        dates, state(none, none, month(F.get(dates, 0)), F.lit(0)), with_day, lambda seen: F.map_from_arrays(*closed(seen))
     )
+    return F.when(F.size(dates) == 0, F.map_from_arrays(none, none)).otherwise(masks)
 
 
 def with_customer(totals: DataFrame, customers: DataFrame, how: str = "inner") -> DataFrame:
