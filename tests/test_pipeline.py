@@ -856,6 +856,16 @@ def test_parts_of_months(spark, monkeypatch):
     assert pipeline._parts_of_months({})[1] == 1
 
 
+def test_unkeyed_batches_are_not_shuffled(spark, settings):
+    pipeline.run_setup(spark, settings)
+    bronze = settings.table("bronze", "transactions_bz")
+    some = spark.range(90).selectExpr("cast(id AS string) AS transaction_id", "cast(id AS int) AS customer_id")
+    columns = [F.col(c) if c in some.columns else F.lit(None).alias(c) for c in schemas.columns(schemas.TRANSACTIONS_BZ)]
+    land_batch(bronze, some.repartition(3).select(*columns), 0)
+    files = {r[0].rsplit("/", 1)[1] for r in spark.table(bronze).selectExpr("_metadata.file_path").distinct().collect()}
+    assert len(files) == 3 and all(f.endswith(".zstd.parquet") for f in files)
+    assert spark.table(bronze).count() == 90
+
 
 def test_customer_totals_shuffle_once(spark, rows):
     days = "explode(sequence(date'2023-12-30', date'2024-02-01'))"

@@ -43,7 +43,7 @@ from varve.plans.clean import (
 from varve.sources.cursors import write_cursor
 from varve.sources.feeds import CUSTOMERS, PRODUCTS, TRANSACTIONS, read_archive, read_feed
 from varve.sources.feeds import archived_files as files_in_archive
-from varve.sources.tables import BATCH, MONTH, Settings
+from varve.sources.tables import BATCH, MONTH, WRITTEN, Settings
 from workload import feeds
 from workload.workspace import workspace
 
@@ -375,7 +375,7 @@ def _landed(
     rows = _timed(change(feeds.transactions(spark, sf_dir)))
     columns = spark.table(bronze).columns
     # The join's tasks write their part of every batch: no second shuffle of whole rows.
-    rows.select(*columns).write.partitionBy(BATCH).mode("append").parquet(path)
+    rows.select(*columns).write.partitionBy(BATCH).mode("append").options(**WRITTEN).parquet(path)
     spark.sql(f"ALTER TABLE {bronze} RECOVER PARTITIONS")
     return settings
 
@@ -503,7 +503,7 @@ _PER_DOCUMENT = 20_000
 def _land_transactions(spark: SparkSession, sf_dir: str, settings: Settings) -> None:
     columns = schemas.columns(schemas.TRANSACTIONS_FEED)
     feeds.transactions(spark, sf_dir).select(*columns).write.mode("append").json(
-        settings.landing_path("transactions")
+        settings.landing_path("transactions"), compression="gzip"
     )
 
 
