@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -133,6 +134,52 @@ def test_decontamination_by_latent_retrieval(spark):
     assert all(r["cosine"] > 0.5 and r["lcs"] < 0.6 for r in found.values())
 
 
+def test_decontamination_looks_up_only_odd_words_one_by_one(spark, monkeypatch):
+    # Words of every kind are the same terms as before; those of letters below 0x250 never become Python's.
+    known = ["casa", "ñandú", "straße", "i̇stanbul", "ⱥb", "слово", "中文", "a_b", "_x_", "don't", "λόγος"]
+    words = ["Casa,", "¿ÑANDÚ?", "«straße»", "İstanbul", "Ⱥb", "СЛОВО!", "「中文」", "(a_b)", "_x_", "“Don't”", "ΛΌΓΟΣ", "...", "Casas", "x" * 40, "º"]
+    asked = []
+    looked_up = decontaminate.WordCache.of
+    monkeypatch.setattr(decontaminate.WordCache, "of", lambda self, ws: asked.extend(ws) or looked_up(self, ws))
+    frame = type("Frame", (), {"select": lambda self, *_: self, "mapInArrow": lambda self, run, _: run})()
+    frame.sparkSession = spark
+    text = "  \u3000".join(words) + "\x1c" + "casa\u0085CASA"
+    run = decontaminate.hits(frame, known)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [text, None, "casa\n"]})
+    made = pa.Table.from_batches(list(run(iter([batch])))).to_pylist()
+    number = {t: i for i, t in enumerate(known)}
+    for row, t in zip(made, (text, "", "casa\n")):
+        want = [(i, number[w]) for i, w in enumerate(decontaminate._EDGE.sub("", x.lower()) for x in t.split()) if w in number]
+        assert list(zip(*(np.frombuffer(row[c], dtype=np.int32).tolist() for c in ("at", "term")))) == want
+    assert set(asked) == {"İstanbul", "СЛОВО!", "「中文」", "“Don't”", "ΛΌΓΟΣ"}
+
+
+def test_documents_that_cannot_leak_are_not_cut_into_windows(spark):
+    rng = np.random.default_rng(35)
+    items = [(k, rng.integers(0, 400, 30).tolist(), [0]) for k in range(20)]
+    space = decontaminate.space_of(spark, items, np.ones(400), 1_000, decontaminate.Settings())
+    terms = [rng.integers(0, 400, 12).astype(np.int32) for _ in range(200)]
+    terms[150] = np.array(items[7][1], dtype=np.int32)
+    ats = [np.arange(len(t), dtype=np.int32) for t in terms]
+    asked = []
+
+    class Coords:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def __matmul__(self, other):
+            return self.rows @ other
+
+        def __getitem__(self, at):
+            asked.append(len(at))
+            return self.rows[at]
+
+    space.coords = Coords(space.coords)
+    found = list(decontaminate._search(ats, terms, space, decontaminate.Settings()))
+    assert [r[:2] for r in found] == [(150, 7)]
+    assert sum(asked) < 400  # of 1,919 terms that weigh something
+
+
 def test_the_latent_space_is_smaller_than_the_benchmark(spark):
     rng = np.random.default_rng(34)
     items = [(k, rng.integers(0, 40, 30).tolist(), [0]) for k in range(20)]

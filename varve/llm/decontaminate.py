@@ -41,7 +41,10 @@ from pyspark.sql import functions as F
 from varve.llm.common import WordCache, slices, stored, strings, tidy
 
 _EDGE = re.compile(r"^\W+|\W+$")
-# Words a worker remembers: frequent ones stay.
+# Arrow lowers code points below 0x250 as Python does but for one; words that hold others are looked up one by one.
+_ODD = r"[^\x{0}-\x{24f}]|\x{130}"
+_EDGES = "".join(c for c in map(chr, range(0x250)) if re.match(r"\W", c))
+# Odd words a worker remembers: frequent ones stay.
 CACHED = 200_000
 SCHEMA = "doc_id bigint, item_id bigint, cosine double, lcs double, answer double"
 
@@ -71,17 +74,28 @@ def words_of(text: str) -> list[str]:
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence: one big integer holds a row of the table."""
-    places: dict[str, int] = {}
+    """Length of the longest common subsequence."""
+    places = _places(a)
+    return _common_order(len(a), [places[w] for w in b if w in places])
+
+
+def _places(a: list) -> dict:
+    """Where each word of ``a`` stands, as bits."""
+    places: dict = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return places
+
+
+def _common_order(size: int, met: list[int]) -> int:
+    """Length of the longest common subsequence of ``size`` words with those that stand ``met`` there: one big integer
+    holds a row of the table."""
+    full = (1 << size) - 1
     row = full
-    for w in b:
-        if hit := places.get(w):
-            both = row & hit
-            row = ((row + both) | (row - both)) & full
-    return len(a) - row.bit_count()
+    for hit in met:
+        both = row & hit
+        row = ((row + both) | (row - both)) & full
+    return size - row.bit_count()
 
 
 def hits(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -93,14 +107,20 @@ def hits(docs: DataFrame, terms: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {t: i for i, t in enumerate(sent.value)}
+        known = pa.array(sent.value, type=pa.string())
         cache = WordCache(lambda ws: [index.get(_EDGE.sub("", w.lower()), -1) for w in ws], CACHED)
         for batch in batches:
             for part in slices(batch, "text"):
-                # Arrow's white space is that of str.split(); a word that repeats here is looked up once.
-                cut = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(part.column("text"), "")))
-                coded = cut.flatten().dictionary_encode()
-                known = np.array(cache.of(strings(coded.dictionary)), dtype=np.int32)
-                found = known[coded.indices.to_numpy()]
+                # Arrow's white space is that of str.split().
+                text = pc.fill_null(part.column("text"), "")
+                cut = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(text))
+                words = cut.flatten()
+                plain = pc.utf8_trim(pc.utf8_lower(words), characters=_EDGES)
+                found = pc.fill_null(pc.index_in(plain, value_set=known), -1).to_numpy().astype(np.int32)
+                if pc.any(pc.match_substring_regex(text, _ODD)).as_py():
+                    odd = np.flatnonzero(pc.match_substring_regex(words, _ODD).to_numpy(zero_copy_only=False))
+                    coded = words.take(pa.array(odd)).dictionary_encode()
+                    found[odd] = np.array(cache.of(strings(coded.dictionary)), dtype=np.int32)[coded.indices.to_numpy()]
                 places = np.flatnonzero(found >= 0)
                 starts = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])
                 bounds = np.searchsorted(places, starts).tolist()
@@ -197,6 +217,22 @@ class Space:
     def windows(self) -> tuple[int, int]:
         return _windows(self)
 
+    # Made by each worker, not sent.
+    @functools.cached_property
+    def gain(self) -> np.ndarray:
+        """What a term adds at most to a window's inner product with an item."""
+        return np.maximum(self.coords @ self.target, 0)
+
+    @functools.cached_property
+    def counts(self) -> np.ndarray:
+        """``held`` as numbers whose products are fast, and exact as long as items are shorter than 2**24 words."""
+        return self.held.astype(np.float32)
+
+    @functools.cached_property
+    def places(self) -> list[dict[int, int]]:
+        """Where each word stands in an item."""
+        return [_places(words) for _, words, _ in self.items]
+
 
 def benchmark_items(benchmark: DataFrame) -> list[tuple[int, list[str], list[str]]]:
     """(item_id, words, words of its answer) of every item with words, in order of item_id."""
@@ -275,8 +311,25 @@ def _windows(space: Space) -> tuple[int, int]:
     return stretch, -(-(longest + longest // 2) // stretch) + 1
 
 
-# Terms met together by the search, and the numbers of stretches kept for one document.
-_TOGETHER, _SPAN = 50_000, 1 << 32
+# Terms met together by the search, numbers of stretches kept for one document, and cells (documents or stretches by
+# terms) held together.
+_TOGETHER, _SPAN, _CELLS = 50_000, 1 << 32, 1 << 20
+
+
+def _sums(doc: np.ndarray, own: np.ndarray, weights: np.ndarray, once: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For some documents at a time: the first of them, and the sums of the ``weights`` of their terms ``own`` (a term
+    counts ``once`` or each time it stands there).  Numbers of documents ascend."""
+    width = len(weights)
+    step = max(1, _CELLS // max(1, width))
+    for low in range(0, int(doc[-1]) + 1, step):
+        a, b = np.searchsorted(doc, [low, low + step])
+        cells = np.zeros((min(step, int(doc[-1]) + 1 - low), width), dtype=np.float32)
+        at = (doc[a:b] - low) * width + own[a:b]
+        if once:
+            cells.ravel()[at] = 1
+        else:
+            np.add.at(cells.ravel(), at, 1)
+        yield low, cells @ weights
 
 
 def _cosine(window: np.ndarray, dot: np.ndarray, k: np.ndarray, space: Space) -> np.ndarray:
@@ -296,6 +349,14 @@ def _retrieved(doc: np.ndarray, at: np.ndarray, term: np.ndarray, space: Space,
     if not mine.any() or not len(space.target):
         return
     stretch, per_window = space.windows
+    # No window has more in common with an item than the terms of its document that speak for it (but for rounding).
+    least = (s.held * space.length**2).astype(np.float32)
+    may = np.zeros(int(doc[-1]) + 1, dtype=bool)
+    for low, most in _sums(doc[mine], own[mine], space.gain, once=False):
+        may[low : low + len(most)] = (most >= 0.999 * least).any(axis=1)
+    mine &= may[doc]
+    if not mine.any():
+        return
     key = doc[mine] * _SPAN + at[mine] // stretch
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     places = key[first]
@@ -304,7 +365,7 @@ def _retrieved(doc: np.ndarray, at: np.ndarray, term: np.ndarray, space: Space,
     window = total[np.searchsorted(places, places + per_window)] - total[:-1]
     window = window.astype(np.float32)
     dot = window @ space.target
-    w, k = np.nonzero(dot >= (s.held * space.length**2).astype(np.float32))
+    w, k = np.nonzero(dot >= least)
     near = _cosine(window[w], dot[w, k], k, space) >= s.near
     yield from zip((places[w[near]] // _SPAN).tolist(), (places[w[near]] % _SPAN).tolist(), k[near].tolist())
 
@@ -315,34 +376,39 @@ def _wordy(doc: np.ndarray, at: np.ndarray, term: np.ndarray, space: Space) -> I
     mine = own >= 0
     if not mine.any():
         return
-    doc, at, own, width = doc[mine], at[mine], own[mine], len(space.held)
+    doc, at, own = doc[mine], at[mine], own[mine]
     # No window holds more than its document.
-    keys = np.unique(doc * width + own)
-    which = keys // width
-    first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
-    whole = np.add.reduceat(space.held[keys % width], first, axis=0, dtype=space.held.dtype)
-    enough = whole >= space.need
-    some = np.flatnonzero(enough.any(axis=1))
-    for row, d in zip(some.tolist(), which[first[some]].tolist()):
-        a, b = np.searchsorted(doc, [d, d + 1])
-        for stretch, k in _wordy_windows(at[a:b], own[a:b], np.flatnonzero(enough[row]), space):
-            yield d, stretch, k
+    for low, whole in _sums(doc, own, space.counts, once=True):
+        enough = whole >= space.need
+        for d in np.flatnonzero(enough.any(axis=1)).tolist():
+            a, b = np.searchsorted(doc, [low + d, low + d + 1])
+            for stretch, k in _wordy_windows(at[a:b], own[a:b], np.flatnonzero(enough[d]), space):
+                yield low + d, stretch, k
 
 
 def _wordy_windows(at: np.ndarray, own: np.ndarray, items: np.ndarray, space: Space) -> Iterator[tuple[int, int]]:
     """(stretch, item) of one document, for some ``items``."""
     stretch, per_window = space.windows
     # A window begins at each stretch with a term and takes the stretches after it; a term counts once a window.
-    places, row = np.unique(at // stretch, return_inverse=True)
-    width, keys = len(space.held), []
-    for step in range(per_window):
-        inside = (row >= step) & (places[row] - places[np.maximum(row - step, 0)] < per_window)
-        keys.append((row[inside] - step) * width + own[inside])
-    keys = np.unique(np.concatenate(keys))
-    starts = np.searchsorted(keys, np.arange(len(places)) * width)
-    window = np.add.reduceat(space.held[(keys % width)[:, None], items], starts, axis=0, dtype=space.held.dtype)
-    for w, k in np.argwhere(window >= space.need[items]).tolist():
-        yield int(places[w]), int(items[k])
+    place = at // stretch
+    begins = np.append(True, place[1:] != place[:-1])
+    places = place[begins]
+    # Stretches without terms between them, as far as a window reaches; words of none of the items are left out.
+    line = np.append(0, np.cumsum(np.minimum(places[1:] - places[:-1], per_window)))
+    terms, term = np.unique(own, return_inverse=True)
+    weights = space.counts[terms[:, None], items]
+    row = line[np.cumsum(begins) - 1]
+    step = max(1, _CELLS // len(terms))
+    for low in range(0, len(places), step):
+        mine = line[low : low + step] - line[low]
+        a, b = np.searchsorted(row, [line[low], line[low] + mine[-1] + per_window])
+        held = np.zeros((int(mine[-1]) + per_window, len(terms)), dtype=bool)
+        held[row[a:b] - line[low], term[a:b]] = True
+        window = held[mine]
+        for k in range(1, per_window):
+            window |= held[mine + k]
+        for w, k in np.argwhere(window.astype(np.float32) @ weights >= space.need[items]).tolist():
+            yield int(places[low + w]), int(items[k])
 
 
 def _search(ats: list[np.ndarray], terms: list[np.ndarray], space: Space, s: Settings) -> Iterator[tuple]:
@@ -363,10 +429,14 @@ def _search(ats: list[np.ndarray], terms: list[np.ndarray], space: Space, s: Set
             near = here.tolist()
             present = set(near)
         partly = s.loosely if (d, place, k) in near_ones else s.partly
+        needed = math.ceil(min(partly, s.same) * len(words) - 1e-9)
+        where = space.places[k]
+        met = [where.get(w, 0) for w in near]
+        shared = [x for x in met if x]
         # No part of the stretch has more in common order than the whole.
-        if lcs_length(words, near) < math.ceil(min(partly, s.same) * len(words) - 1e-9):
+        if len(shared) < needed or _common_order(len(words), shared) < needed:
             continue
-        lcs = _tightest(words, near_at, near)
+        lcs = _tightest(len(words), near_at, met, needed)
         answer = sum(x in present for x in rare) / len(rare)
         if lcs >= s.same or (lcs >= partly and answer >= s.answer):
             ids = space.local[here]
@@ -390,12 +460,17 @@ def _together(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def _tightest(item: list[int], at: np.ndarray, near: list[int]) -> float:
-    """Greatest share of the item in common order with a stretch of words half as long again."""
-    size, step = max(4, len(item) + len(item) // 2), max(1, len(item) // 4)
+def _tightest(length: int, at: np.ndarray, met: list[int], needed: int) -> float:
+    """Greatest share of an item of ``length`` words in common order with a stretch of words half as long again, those
+    that share fewer than ``needed`` left out.  ``met``: where the word ``at`` each place stands in the item (0: nowhere)."""
+    size, step = max(4, length + length // 2), max(1, length // 4)
     starts = np.arange(at[0], max(at[0] + 1, at[-1] + 1 - size + step), step)
-    cuts = zip(np.searchsorted(at, starts).tolist(), np.searchsorted(at, starts + size).tolist())
-    return max(lcs_length(item, near[a:b]) for a, b in cuts) / len(item)
+    best = 0
+    for a, b in zip(np.searchsorted(at, starts).tolist(), np.searchsorted(at, starts + size).tolist()):
+        shared = [x for x in met[a:b] if x]
+        if len(shared) >= needed and len(shared) > best:
+            best = max(best, _common_order(length, shared))
+    return best / length
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
