@@ -349,6 +349,20 @@ def test_near_duplicates_of_equal_fingerprints(spark):
     assert kept_of(spark, texts) == one_of_each_by_brute_force(texts) == {0, 1, 2, 3}
 
 
+def test_near_duplicates_make_sets_of_pairs_only(spark, monkeypatch):
+    # Two at a time share rare shingles, but lengths rule out that they are alike; the last and rows without an id are.
+    rng = np.random.default_rng(25)
+    base = [f"w{x}" for x in rng.integers(0, 10_000, 600)]
+    texts = [(i, " ".join([*(f"p{i % 4}x{x}" for x in range(20)), *base[: int(40 * 1.4**i)]])) for i in range(9)]
+    texts += [(20, texts[8][1] + " changed"), (None, texts[3][1] + " new"), (None, texts[8][1])]
+    made = []
+    sets = simhash._shingle_sets
+    monkeypatch.setattr(simhash, "_shingle_sets", lambda docs, words: made.extend(r["unit"] for r in sets(docs, words).collect()) or sets(docs, words))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], DOCS).repartition(2)
+    assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in simhash.one_of_each(df).collect()) == [-1, -1, *range(9)]
+    assert len(set(made)) == 4  # 8, 20, 3 and the one like 3
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     good = [(i, rng.normal(size=6).tolist(), 0) for i in range(120)] + [(200 + i, [1.0] + [0.0] * 5, 1) for i in range(8)] + [(50, [9.0] * 6, 0)]

@@ -467,14 +467,15 @@ def _alike(docs: DataFrame, units: DataFrame, words: int, similarity: float) ->
     """
     linked = stored(_linked(units))
     shared = stored(_shared(_prefixes(docs, words, similarity)))
-    wanted = shared.select("unit").union(linked.select("unit")).distinct()
-    ids = units.join(wanted, "unit", "left_semi").select(F.col("least").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text")
-    texts = texts.join(ids, "doc_id", "left_semi").unionByName(texts.where("doc_id IS NULL"))
-    sets = stored(_shingle_sets(texts, words).join(wanted, "unit", "left_semi").dropDuplicates(["unit"]))
     least = similarity / (1 + similarity)
 
     def decided(pairs: DataFrame) -> DataFrame:
+        # Sets are larger than texts: only those of the pairs are made and shuffled, and none is kept.
+        pairs = stored(pairs)
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("unit")).distinct())
+        ids = stored(units.join(wanted, "unit", "left_semi").select(F.col("least").alias("id")).distinct())
+        texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
+        sets = _shingle_sets(texts, words).join(wanted, "unit", "left_semi").dropDuplicates(["unit"])
         return stored(
             pairs.join(sets.select(F.col("unit").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("unit").alias("b"), F.col("shingles").alias("y")), "b")
@@ -547,7 +548,7 @@ def near_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates, that of smallest doc_id (rows without one stay); of rows with the
     same doc_id all that share it stay."""
-    kept_ids = (
-        near_classes(docs, words, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    )
-    return docs.join(kept_ids, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    # The ids that go are fewer than those that stay: few enough, and whole rows need no shuffle.
+    gone = near_classes(docs, words, similarity).where("doc_id IS NOT NULL").groupBy("doc_id")
+    gone = stored(gone.agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays").select("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti")
