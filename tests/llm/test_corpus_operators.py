@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from varve.llm import bpe, chat, decontaminate, mainhtml, neighbours, privacy, quality, repeats, simhash, tokenfiles
+from varve.llm import bpe, chat, common, decontaminate, mainhtml, neighbours, privacy, quality, repeats, simhash, tokenfiles
 from varve.llm.queries import ORACLE, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -545,3 +545,27 @@ def test_main_text_is_the_best_of_all_stretches():
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     assert rows and all(r["round_trip"] for r in rows) and len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def test_tasks_get_batches_of_few_bytes_whatever_the_texts(spark):
+    # One batch of 20 MB before: ten thousand rows, if they held less than 64 MB.
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    def met():
+        return long.mapInArrow(common.tidy(sizes), "rows bigint, bytes bigint").collect()
+
+    long = spark.range(0, 2_000, 1, 1).selectExpr("id AS doc_id", "repeat('abcde fghi', 1000) AS text")
+    spark.conf.unset(limit)
+    try:
+        found = met()
+        assert sum(r["rows"] for r in found) == 2_000
+        assert max(r["bytes"] for r in found) < 1.1 * common.BATCH_BYTES
+        # A limit that the session has is its own.
+        spark.conf.set(limit, str(1 << 20))
+        assert max(r["bytes"] for r in met()) < 1.1 * (1 << 20)
+    finally:
+        spark.conf.unset(limit)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Bytes of text a worker turns into numpy arrays at once; one longer text is handled alone.
 SLICE_BYTES = 2 << 20
+# Bytes a task and its worker hand each other at once: what Spark holds of them outside its heap grows with it.
+BATCH_BYTES = 4 << 20
 # Words a worker remembers; beyond that it forgets them all and starts again.
 CACHED_WORDS = 600_000
 
@@ -126,8 +128,17 @@ def kept(key: tuple, make: Callable):
     return value
 
 
+def small_batches() -> None:
+    """Arrow batches of this session hold about ``BATCH_BYTES`` from now on, unless it has a limit of its own."""
+    spark = SparkSession.getActiveSession()
+    if spark and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """``run`` as a task that starts without what other stages kept and leaves no freed memory with the worker."""
+    """``run`` as a task that starts without what other stages kept, gets small batches and leaves no freed memory with
+    the worker."""
+    small_batches()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return_large()
